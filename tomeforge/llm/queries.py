@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import embedding, simhash, tokencount
 from .common import table
 
 QUERIES: dict = {}
@@ -16,6 +18,25 @@ def query(f):
     return f
 
 
+def tokenizer_path() -> str:
+    """The public byte-level BPE file. A parameter of the operators; TOKENIZER_PATH overrides it."""
+    if path := os.environ.get("TOKENIZER_PATH"):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op1_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.with_token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), 1024)
