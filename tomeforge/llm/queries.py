@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embedding, simhash, tokencount
+from . import embedding, packing, simhash, tokencount
 from .common import table
 
 QUERIES: dict = {}
@@ -40,3 +41,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.with_token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), 1024)
+
+
+@query
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")

@@ -19,6 +19,7 @@ matter as tokens may still reach back over.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -257,38 +258,57 @@ class PieceCounter:
         return total
 
 
+class Cut:
+    """Texts cut into pieces: piece i is raw[start[i]:stop[i]]; text t has pieces first[t] to first[t + 1].
+
+    A string of an added token is a part of its own, as the library takes it by default:
+    ``special`` has the token's text by the number of the part's first piece, and its other
+    pieces are void.
+    """
+
+    def __init__(self, texts: list[str], added: list[str]):
+        parts, firsts, tagged = [], [], []
+        split = re.compile("(" + "|".join(map(re.escape, added)) + ")").split if added else None
+        for text in texts:
+            firsts.append(len(parts))
+            if split and any(x in text for x in added):
+                for k, part in enumerate(split(text)):
+                    if k % 2:
+                        tagged.append(len(parts))
+                    parts.append(part)
+            else:
+                parts.append(text)
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        joined = "\x00".join([*parts, ""])
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).copy()
+        ends = np.cumsum(lengths + 1) - 1
+        points[ends] = END
+        begins = piece_starts(points)
+        begins[ends] = True  # the place after each part ends its last piece
+        self.raw = joined.encode("utf-8")
+        width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        width[ends] = 1
+        offset = np.concatenate(([0], np.cumsum(width)))
+        where = np.flatnonzero(begins)
+        real = np.ones(len(points), bool)
+        real[ends] = False
+        real = real[where]
+        count = np.concatenate(([0], np.cumsum(real)))
+        stop = offset[np.concatenate((where[1:], [len(points)]))]
+        self.start, self.stop = offset[where][real], stop[real]
+        part_first = count[np.searchsorted(where, np.concatenate(([0], ends + 1))[: len(parts) + 1])]
+        self.first = np.append(part_first[firsts], len(self.start)).astype(np.int64)
+        self.special = {int(part_first[t]): parts[t] for t in tagged}
+        self.void = [i for t in tagged for i in range(int(part_first[t]) + 1, int(part_first[t + 1]))]
+
+
 def count_tokens(texts: list[str], machine: PieceCounter) -> np.ndarray:
-    """Tokens of each text; strings of added tokens count one each, as the library takes them by default."""
-    parts, owner, extra = [], [], np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        rest = [text]
-        for special in machine.added:
-            if special in text:
-                cut = [x.split(special) for x in rest]
-                extra[i] += sum(len(x) - 1 for x in cut)
-                rest = [y for x in cut for y in x]
-        parts += rest
-        owner += [i] * len(rest)
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    joined = "\x00".join([*parts, ""])
-    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).copy()
-    ends = np.cumsum(lengths + 1) - 1
-    points[ends] = END
-    begins = piece_starts(points)
-    begins[ends] = True  # the place after each text ends its last piece
-    data = np.frombuffer(joined.encode("utf-8"), np.uint8)
-    width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-    width[ends] = 1
-    offset = np.concatenate(([0], np.cumsum(width)))
-    where = np.flatnonzero(begins)
-    piece = ~np.isin(where, ends, assume_unique=True)
-    start, stop = offset[where], offset[np.concatenate((where[1:], [len(points)]))]
-    tokens = np.zeros(len(where), np.int64)
-    tokens[piece] = machine.count(data, start[piece], stop[piece])
-    sums = np.concatenate(([0], np.cumsum(tokens)))
-    first = np.searchsorted(where, np.concatenate(([0], ends[:-1] + 1)))
-    each = sums[np.searchsorted(where, ends)] - sums[first]
-    return extra + np.bincount(owner, each, len(texts)).astype(np.int64)
+    """Tokens of each text."""
+    cut = Cut(texts, machine.added)
+    tokens = machine.count(np.frombuffer(cut.raw, np.uint8), cut.start, cut.stop)
+    tokens[list(cut.special)] = 1
+    tokens[cut.void] = 0
+    return np.diff(np.concatenate(([0], np.cumsum(tokens)))[cut.first])
 
 
 @lru_cache(2)
