@@ -4,7 +4,8 @@ A conversation is one string of blocks, each
     <|im_start|>ROLE newline TEXT <|im_sep|> TEXT ... <|im_end|> newline
 where a block holds the texts of adjacent turns of one role. Inside roles and texts, each
 ``<|`` is written ``<\\|``, and any run of backslashes between ``<`` and ``|`` gets one more, so
-no text can hold a marker and the text comes back by taking one off. The loss mask covers the
+no text can hold a marker and the text comes back by taking one off. A line end in a role is
+written ``<|nl|>``. The loss mask covers the
 texts of assistant blocks, without markers.
 """
 
@@ -13,9 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import own, with_value
 
-START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
+
+START, SEP, END, LINE = "<|im_start|>", "<|im_sep|>", "<|im_end|>", "<|nl|>"
 
 
 def escaped(text: Column) -> Column:
@@ -38,7 +39,7 @@ def formatted(conversations: DataFrame, id_col: str = "conv_id", turn_col: str =
     """
     turn = F.struct(
         F.col(turn_col).alias("turn"),
-        escaped(F.coalesce(F.col(role_col), F.lit(""))).alias("role"),
+        F.replace(escaped(F.coalesce(F.col(role_col), F.lit(""))), F.lit("\n"), F.lit(LINE)).alias("role"),
         escaped(F.coalesce(F.col(text_col), F.lit(""))).alias("text"),
     )
     grouped = conversations.select(F.col(id_col).alias("id"), turn.alias("t")).groupBy("id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
@@ -53,7 +54,7 @@ def formatted(conversations: DataFrame, id_col: str = "conv_id", turn_col: str =
     def add(a: Column, p: Column) -> Column:
         start = a["at"] + F.length(p["head"])
         size = F.length(p["text"])
-        span = F.when(p["role"] == loss_role, F.array(F.struct(start.alias("start"), size.alias("length")))).otherwise(F.array().cast("array<struct<start:int,length:int>>"))
+        span = F.when(p["role"] == F.lit(loss_role), F.array(F.struct(start.alias("start"), size.alias("length")))).otherwise(F.array().cast("array<struct<start:int,length:int>>"))
         return F.struct((start + size + F.length(p["tail"])).alias("at"), F.concat(a["spans"], span).alias("spans"))
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
@@ -68,7 +69,7 @@ def read_back(chats: DataFrame) -> DataFrame:
     def opened(block: Column) -> Column:
         body = F.regexp_replace(block, r"<\|im_end\|>\n\z", "")
         at = F.instr(body, "\n")
-        role = F.substring(body, F.lit(1), at - 1)
+        role = F.replace(F.substring(body, F.lit(1), at - 1), F.lit(LINE), F.lit("\n"))
         texts = F.split(F.substring(body, at + 1, F.length(body)), r"<\|im_sep\|>", -1)
         return F.transform(texts, lambda t: F.struct(unescaped(role).alias("role"), unescaped(t).alias("text")))
 

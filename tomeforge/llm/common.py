@@ -25,16 +25,23 @@ def own(name: str) -> str:
     return f"__{name}_{uuid.uuid4().hex[:8]}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, in the cluster's shared folder.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, as the session's spark.checkpoint.dir names it.
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset, as in
-    tests on one machine, a local folder is made.
+    Only where that is unset, as in tests on one machine, a local folder is made.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

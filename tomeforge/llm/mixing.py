@@ -3,8 +3,8 @@
 Every document of a source is to be taken r times on average, r being the source's target over
 its size. The whole copies in r are certain. For the rest, p = r - floor(r), documents are
 ranked by random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)), with u a hash of the
-document, and taken from the front until the source's words are reached; the last place goes to
-the document, or to none, whose size comes nearest to what is left.
+document, and taken from the front until the source's words are reached; the last places, three
+at most, go to the documents, or to none, whose sizes come nearest to what is left.
 
 A source may hold a third of all rows, so ranks are not sorted in one task: words are summed by
 source and bin of rank, the bin where the target falls is found from those sums, and only that
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, words
 
 BINS = 1 << 12
+LAST = 3
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
@@ -64,7 +65,7 @@ def rules(rows: DataFrame, weights: tuple[float, ...], most: float, seed: int) -
     """One row per source of ``rows`` (id, source, size): its target, and which of its documents get how many copies.
 
     A document gets ``certain`` copies, and one more if its (odds, id) is up to (``cut_odds``,
-    ``cut_id``) or its bin is below ``edge``, or if its id is ``last_id``.
+    ``cut_id``) or its bin is below ``edge``, or if its id is one of ``last_ids``.
     """
     rates = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -86,18 +87,24 @@ def rules(rows: DataFrame, weights: tuple[float, ...], most: float, seed: int) -
     inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(order)).where(F.col("upto") <= F.col("rest"))
     cut = inside.groupBy("source").agg(F.max(F.struct("odds", "id")).alias("cut")).select(F.col("source").alias("c"), F.col("cut.odds").alias("cut_odds"), F.col("cut.id").alias("cut_id"))
     found = rates.join(edge.drop("before"), same("s", "e"), "left").drop("e").join(cut, same("s", "c"), "left").drop("c")
-    found = checkpointed(found.withColumn("last_id", F.lit(None).cast(rows.schema["id"].dataType)).withColumn("has_last", F.lit(False)))
-
-    # the last place: what is still missing, and the document left over whose size is nearest to it, if nearer than none
-    chosen = with_copies(rows.where("size > 0"), found, seed)
-    extra = F.col("copies") - F.col("certain")
-    got = chosen.groupBy("source").agg(F.sum(F.col("size") * extra).alias("got"), F.first("rest").alias("rest"))
-    got = checkpointed(got.select(F.col("source").alias("g"), (F.col("rest") - F.col("got")).alias("missing")))
-    off = F.abs(F.col("size") - F.col("missing"))
-    left = chosen.where(extra == 0).join(got, same("source", "g")).where((off < F.col("missing")) & (F.col("p") > 0))
-    last = left.groupBy("source").agg(F.min(F.struct(off.alias("off"), "id")).alias("last"))
-    last = last.select(F.col("source").alias("l"), F.col("last.id").alias("last_id"), F.lit(True).alias("has_last"))
-    return checkpointed(found.drop("last_id", "has_last").join(last, same("s", "l"), "left").drop("l"))
+    ids = f"array<{rows.schema['id'].dataType.simpleString()}>"
+    found = checkpointed(found.withColumn("last_ids", F.array().cast(ids)))
+
+    # the last places: what is still missing, and the document left over whose size is nearest to it, if nearer than none;
+    # only the very last may go beyond
+    for place in range(LAST):
+        chosen = with_copies(rows.where("size > 0"), found, seed)
+        extra = F.col("copies") - F.col("certain")
+        got = chosen.groupBy("source").agg(F.sum(F.col("size") * extra).alias("got"), F.first("rest").alias("rest"))
+        got = checkpointed(got.select(F.col("source").alias("g"), (F.col("rest") - F.col("got")).alias("missing")))
+        off = F.abs(F.col("size") - F.col("missing"))
+        left = chosen.where(extra == 0).join(got, same("source", "g")).where((off < F.col("missing")) & (F.col("p") > 0))
+        left = left if place == LAST - 1 else left.where("size <= missing")
+        last = left.groupBy("source").agg(F.min(F.struct(off.alias("off"), "id")).alias("last"))
+        last = last.select(F.col("source").alias("l"), F.array("last.id").alias("new"))
+        more = F.concat("last_ids", F.coalesce("new", F.array().cast(ids)))
+        found = checkpointed(found.join(last, same("s", "l"), "left").withColumn("last_ids", more).drop("l", "new"))
+    return found
 
 
 def with_copies(rows: DataFrame, found: DataFrame, seed: int) -> DataFrame:
@@ -108,7 +115,8 @@ def with_copies(rows: DataFrame, found: DataFrame, seed: int) -> DataFrame:
     at_edge = F.coalesce(bin_of(odds) == F.col("edge"), F.lit(False))
     within = at_edge & F.col("cut_odds").isNotNull() & (place <= F.struct(F.col("cut_odds").alias("odds"), F.col("cut_id").alias("id")))
     below = F.coalesce(bin_of(odds) < F.col("edge"), F.col("p") > 0)
-    taken = F.coalesce(within | below, F.lit(False)) | (F.coalesce("has_last", F.lit(False)) & F.col("id").eqNullSafe(F.col("last_id")))
+    last = F.exists("last_ids", lambda x: x.eqNullSafe(F.col("id")))
+    taken = F.coalesce(within | below, F.lit(False)) | F.coalesce(last, F.lit(False))
     return joined.withColumn("copies", F.col("certain") + taken.cast("long"))
 
 

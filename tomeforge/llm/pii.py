@@ -241,8 +241,8 @@ def likely(kind: str, x: Column) -> Column:
     return with_value(row, lambda r: scored(kind, trees, r) >= threshold)
 
 
-def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``found``: for each kind an array of (start, end), code points, end exclusive, by start.
+def with_spans(docs: DataFrame, text_col: str = "text", name: str = "found") -> DataFrame:
+    """``docs`` with a column ``name``: for each kind an array of (start, end), code points, end exclusive, by start.
 
     Base kinds hold every match of their pattern that passes their rules; the other kinds
     hold candidates that the trees keep, which may overlap spans of other kinds. A null text
@@ -252,7 +252,7 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     plain = lambda a: F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     keep = lambda kind: lambda x: strict(kind, x) if kind in BASE else likely(kind, x)
     kept = [plain(F.filter(matches(text, k), keep(k))).alias(k) for k in KINDS]
-    return docs.withColumn("found", F.struct(*kept))
+    return docs.withColumn(name, F.struct(*kept))
 
 
 def listed(found: Column, kinds: tuple[str, ...]) -> Column:
@@ -284,5 +284,5 @@ def redacted(text: Column, found: Column) -> Column:
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in the text column replaced by kinds in brackets. A null text stays null."""
     found = own("found")
-    out = with_spans(docs.drop("found") if text_col != "found" else docs, text_col).withColumnRenamed("found", found)
+    out = with_spans(docs, text_col, found)
     return out.withColumn(text_col, redacted(F.col(text_col), F.col(found))).select(*docs.columns)

@@ -147,15 +147,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns, with one row of each group of near duplicates: the one of the smallest id.
 
-    Rows of the same id are told apart by their number in the scan, so one of them stays;
-    ``docs`` is read twice and should be a table or a checkpoint, whose rows keep their
-    order. Groups whose ids are all null keep one row as well.
+    Rows of one id are told apart by a digest of all their columns, and of rows alike in every
+    column one stays. Groups whose ids are all null keep one row as well. Texts are not
+    shuffled, but for rows that are repeated whole; ``docs`` is read twice.
     """
     columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
-    row = F.monotonically_increasing_id().alias("row")
-    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), row).alias("key")
-    numbered = docs.select(key, *columns)
+    digest = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), digest.alias("digest"))
+    keyed = docs.select(key.alias("key"), *columns)
     text = f"c{docs.columns.index(text_col)}"
-    groups = near_duplicates(numbered, "key", text, **options)
-    keep = groups.where(F.col("key") == F.col("component_id")).select("key")
-    return numbered.join(keep, "key", "left_semi").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    groups = near_duplicates(keyed, "key", text, **options)
+    keep = checkpointed(groups.where(F.col("key") == F.col("component_id")).groupBy("key").agg(F.count("*").alias("n")))
+    kept = keyed.join(keep.where("n = 1").select("key"), "key", "left_semi")
+    if not (again := keep.where("n > 1").select("key")).isEmpty():
+        kept = kept.unionByName(keyed.join(again, "key", "left_semi").dropDuplicates(["key"]))
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
