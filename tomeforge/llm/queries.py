@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding, license, mixing, packing, pii, quality, simhash, tokencount
+from . import chat, embedding, license, mixing, packing, pii, quality, simhash, substring, tokencount
 from .common import table
 
 QUERIES: dict = {}
@@ -33,6 +33,12 @@ def op1_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units to remove, one row each, with the place of the one that stays."""
+    return substring.repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts are control strings."""

@@ -11,8 +11,14 @@ from . import queries as q
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return dict(q.QUERIES)
+    return q.QUERIES | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
