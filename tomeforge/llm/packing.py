@@ -26,39 +26,114 @@ from .tokencount import Cut
 
 
 class Encoder:
-    """Token ids by the tokenizers library, which is asked once for each distinct piece while it is remembered."""
+    """Token ids by the tokenizers library, which is asked once for each distinct piece while it is remembered.
 
-    def __init__(self, path: str, most: int = 300_000):
+    Pieces of up to 16 bytes are found many at a time, by their bytes as two numbers, in a
+    table with open addressing; longer ones in a dictionary. Both start anew when they hold
+    ``most`` pieces.
+    """
+
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        added = self.library.get_added_tokens_decoder()
-        self.added = {t.content: self._bytes([i]) for i, t in added.items()}
-        self.most, self.young, self.old = most, {}, {}
-
-    @staticmethod
-    def _bytes(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit numbers."""
+        self.added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.most = most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.bits, self.pieces, self.length = 16, 0, 0
+        self.low, self.high = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint64)
+        self.size, self.entry = np.zeros(1 << self.bits, np.int8), np.zeros(1 << self.bits, np.int32)
+        self.long: dict[bytes, int] = {}
+        self.first, self.number = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.pool = np.zeros(1 << 16, np.uint32)
+
+    def _slots(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Each piece's place in the table, or the free place where it belongs."""
+        mixed = (low ^ (high * np.uint64(0xC2B2AE3D27D4EB4F)) ^ size.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        slot = (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+        odd = np.arange(len(slot))
+        while True:
+            at = slot[odd]
+            taken = self.size[at] > 0
+            other = taken & ((self.low[at] != low[odd]) | (self.high[at] != high[odd]) | (self.size[at] != size[odd]))
+            odd = odd[other]
+            if not len(odd):
+                return slot
+            slot[odd] = (slot[odd] + 1) & (len(self.size) - 1)
+
+    def _insert(self, low: np.ndarray, high: np.ndarray, size: np.ndarray, entry: np.ndarray) -> None:
+        if 2 * self.pieces > len(self.size):
+            kept = self.size > 0
+            low, high, size, entry = (np.concatenate((a[kept], b)) for a, b in ((self.low, low), (self.high, high), (self.size, size), (self.entry, entry)))
+            self.bits = int(4 * self.pieces - 1).bit_length()
+            self.low, self.high = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint64)
+            self.size, self.entry = np.zeros(1 << self.bits, np.int8), np.zeros(1 << self.bits, np.int32)
+        while len(low):
+            slot = self._slots(low, high, size)
+            _, one = np.unique(slot, return_index=True)  # two new pieces may want one place
+            at = slot[one]
+            self.low[at], self.high[at], self.size[at], self.entry[at] = low[one], high[one], size[one], entry[one]
+            low, high, size, entry = (np.delete(x, one) for x in (low, high, size, entry))
+
+    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+        """Ask the library for pieces not known; their new entries."""
+        found = [e.ids for e in self.library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        return self._store(found)
+
+    def _store(self, found: list[list[int]]) -> np.ndarray:
+        count = np.fromiter(map(len, found), np.int32, len(found))
+        ids = np.fromiter((i for f in found for i in f), np.uint32, int(count.sum()))
+        new = np.arange(self.pieces, self.pieces + len(found), dtype=np.int32)
+        while self.pieces + len(found) > len(self.first):
+            self.first, self.number = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.number))
+        while self.length + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        self.first[new], self.number[new] = self.length + np.cumsum(count) - count, count
+        self.pool[self.length : self.length + len(ids)] = ids
+        self.pieces, self.length = self.pieces + len(found), self.length + len(ids)
+        return new
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, as unsigned 32-bit numbers."""
+        if self.pieces > self.most:
+            self._clear()
         cut = Cut(texts, sorted(self.added, key=len, reverse=True))
-        raw = cut.raw
-        pieces = [raw[a:b] for a, b in zip(cut.start.tolist(), cut.stop.tolist())]
-        if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        new = list({p for p in pieces if p not in young})
-        young.update((p, old[p]) for p in new if p in old)
-        new = [p for p in new if p not in old]
-        for p, e in zip(new, self.library.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
-            young[p] = self._bytes(e.ids)
-        ids = [young[p] for p in pieces]
+        raw = cut.raw + bytes(16)
+        eight = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))  # the eight bytes from each place on
+        n = cut.stop - cut.start
+        mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+        low, high = eight[cut.start] & mask[np.minimum(n, 8)], eight[cut.start + 8 * (n > 8)] & mask[np.clip(n - 8, 0, 8)]
+        entry = np.full(len(n), -1, np.int64)
+        short = np.flatnonzero(n <= 16)
+        size = n.astype(np.int8, casting="unsafe")
+        slot = self._slots(low[short], high[short], size[short])
+        known = self.size[slot] > 0
+        entry[short[known]] = self.entry[slot[known]]
+        start, stop = cut.start, cut.stop
+        missed = short[~known]
+        new: dict[bytes, int] = {}
+        number = [new.setdefault(raw[start[i] : stop[i]], len(new)) for i in missed.tolist()]
+        if new:
+            made = self._learn(list(new))
+            entry[missed] = made[number]
+            one = missed[np.unique(number, return_index=True)[1]]
+            self._insert(low[one], high[one], size[one], made)
+        rest = np.flatnonzero(n > 16).tolist()
+        long = [raw[start[i] : stop[i]] for i in rest]
+        if new := list({p for p in long if p not in self.long}):
+            self.long.update(zip(new, self._learn(new).tolist()))
+        entry[rest] = [self.long[p] for p in long]
         for i, text in cut.special.items():
-            ids[i] = self.added[text]
-        for i in cut.void:
-            ids[i] = b""
-        return [b"".join(ids[a:b]) for a, b in zip(cut.first[:-1].tolist(), cut.first[1:].tolist())]
+            entry[i] = self._store([[self.added[text]]])[0]
+        count = self.number[entry].astype(np.int64)
+        count[cut.void] = 0
+        ends = np.cumsum(count)
+        ids = self.pool[np.repeat(self.first[entry] - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        at = np.concatenate(([0], ends))[cut.first].tolist()
+        return [ids[a:b] for a, b in zip(at, at[1:])]
 
 
 @lru_cache(2)
@@ -103,15 +178,15 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, linear: float = 1.0,
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
-        encoder, end = encoder_for(path), Encoder._bytes([end_id])
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
+        encoder, end = encoder_for(path), np.array([end_id], "<u4")
         names, coded, tokens, texts, size = [], [], 0, [], 0
 
         def settle() -> int:
-            new = [ids + end for ids in encoder.encode(texts)] if texts else []
+            new = [np.concatenate((ids, end)) for ids in encoder.encode(texts)] if texts else []
             coded.extend(new)
             texts.clear()
-            return sum(map(len, new)) // 4
+            return sum(map(len, new))
 
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -141,7 +216,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, linear: float = 1.0,
                 yield batch
 
         for ids, coded in blocks(typed()):
-            lengths = np.array([len(x) // 4 for x in coded], np.int64)
+            lengths = np.array([len(x) for x in coded], np.int64)
             doc, start, length, number, offset = map(list, zip(*assign(lengths, capacity, linear, quadratic)))
             for lo in range(0, len(doc), 4096):
                 d, a, n = doc[lo : lo + 4096], start[lo : lo + 4096], length[lo : lo + 4096]
@@ -149,7 +224,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, linear: float = 1.0,
                     pa.array([ids[i] for i in d], kind),
                     pa.array(a, pa.int64()),
                     pa.array(n, pa.int64()),
-                    pa.array([coded[i][4 * s : 4 * (s + k)] for i, s, k in zip(d, a, n)], pa.binary()),
+                    pa.array([coded[i][s : s + k].astype("<u4").tobytes() for i, s, k in zip(d, a, n)], pa.binary()),
                     pa.array(lengths[d]),
                     pa.array(np.array(number[lo : lo + 4096], np.int64) + sequence),
                     pa.array(offset[lo : lo + 4096], pa.int64()),
