@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import search
+from . import experiments, history, index, relational, search
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: tuple = (search,)
+MODULES = (search, index, experiments, history, relational)
 
 
 def queries() -> dict[str, Query]:

@@ -144,8 +144,8 @@ def second_page(spark, sf_dir):
 
 
 @register(f"""WITH {corpus.SQL}, hit AS (SELECT chunk_id, body, strpos(lower(body), 'license') AS pos FROM chunks WHERE contains(lower(body), 'license')),
-cut AS (SELECT *, greatest(pos - 1 - 20, 0) AS a, least(pos - 1 + 7 + 20, length(body)) AS z FROM hit)
-SELECT chunk_id, (CASE WHEN a > 0 THEN '…' ELSE '' END) || substring(body, a + 1, z - a) || (CASE WHEN z < length(body) THEN '…' ELSE '' END) AS excerpt FROM cut""")
+excerpts AS (SELECT *, greatest(pos - 1 - 20, 0) AS a, least(pos - 1 + 7 + 20, length(body)) AS z FROM hit)
+SELECT chunk_id, (CASE WHEN a > 0 THEN '…' ELSE '' END) || substring(body, a + 1, z - a) || (CASE WHEN z < length(body) THEN '…' ELSE '' END) AS excerpt FROM excerpts""")
 def excerpt_window(spark, sf_dir):
     found = corpus.chunks(spark, sf_dir).where(F.contains(F.lower("body"), F.lit("license")))
     return found.select("chunk_id", text.excerpt(F.col("body"), ["license"], 20).alias("excerpt"))
