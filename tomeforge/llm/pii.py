@@ -252,7 +252,8 @@ def with_spans(docs: DataFrame, text_col: str = "text", name: str = "found") ->
     plain = lambda a: F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     keep = lambda kind: lambda x: strict(kind, x) if kind in BASE else likely(kind, x)
     kept = [plain(F.filter(matches(text, k), keep(k))).alias(k) for k in KINDS]
-    return docs.withColumn(name, F.struct(*kept))
+    # bound as one value, so that uses of its fields do not search again
+    return docs.withColumn(name, with_value(F.struct(*kept), lambda found: found))
 
 
 def listed(found: Column, kinds: tuple[str, ...]) -> Column:
@@ -266,7 +267,6 @@ def redacted(text: Column, found: Column) -> Column:
     """The text with every span replaced by its kind in brackets; overlapping spans become one, of the first's kind."""
     named = lambda kind: lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"))
     parts = [F.transform(found[k], named(k)) for k in KINDS]
-    spans = F.sort_array(F.concat(*parts))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("done"))
 
     def add(acc: Column, x: Column) -> Column:
@@ -274,11 +274,9 @@ def redacted(text: Column, found: Column) -> Column:
         new = F.concat(acc["done"], F.array(gap, F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] < acc["at"], acc["done"]).otherwise(new).alias("done"))
 
-    whole = with_value(
-        F.aggregate(spans, zero, add),
-        lambda r: F.concat(F.array_join(r["done"], ""), F.substring(text, r["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    whole = lambda r: F.concat(F.array_join(r["done"], ""), F.substring(text, r["at"] + 1, F.length(text)))
+    replace = lambda spans: F.when(F.size(spans) > 0, with_value(F.aggregate(spans, zero, add), whole)).otherwise(text)
+    return with_value(F.sort_array(F.concat(*parts)), replace)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -66,35 +66,53 @@ def line_fails(line: Column, repeats: Column) -> Column:
     return (bare != "") & (shouting | boilerplate | (bare.rlike(f"[{SYMBOLS}·»›]") & with_value(signs, marked)) | (repeats & stutter))
 
 
-def judged(docs: DataFrame, text_col: str = "text", max_loss: float = 0.4, clean: bool = False) -> DataFrame:
-    """``docs`` with ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, ``n_lost_words``, ``base_failed``, ``kept``.
+FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost_words", "base_failed", "kept")
+
+
+def verdict(text: Column, max_loss: float, clean: bool) -> Column:
+    """All measures of a text, and whether it is kept, as one struct; each value is bound once and then used.
 
-    With ``clean``, also ``clean_text``: the text without its failing lines. Null and empty
-    texts have no words, so they fail the base rules. Rows are judged each for itself, in one
-    pass without a shuffle; other columns pass through, but those of the names above are
-    replaced. An empty table gives an empty result.
+    With ``clean``, also ``clean_text``: the text without its failing lines.
     """
-    text, w, lines = own("text"), own("words"), own("lines")
-    body = F.col(text)
-    with_words = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
+    body = F.coalesce(text, F.lit(""))
     count = lambda a, x: a + F.when(x["bad"], F.size(words(x["line"]))).otherwise(0)
-    repeats = F.col("n_repeat_words") >= 6
-    flagged = F.transform(F.split(body, "\n", -1), lambda x: F.struct(x.alias("line"), line_fails(x, repeats).alias("bad")))
-    seen = F.filter(F.split(body, "\n", -1), with_words)
-    out = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
-    out = out.withColumn(w, words(body))
-    out = out.withColumns({
-        "n_words": F.size(w).cast("long"),
-        "word_chars": F.length(F.array_join(w, "")).cast("long"),
-        "n_symbols": F.length(F.regexp_replace(body, f"[^{SYMBOLS}]+", "")).cast("long"),
-        "n_dup_lines": with_value(seen, lambda s: F.size(s) - F.size(F.array_distinct(s))).cast("long"),
-        "n_repeat_words": repeat_words(F.col(w)),
-    })
-    out = out.withColumn(lines, flagged).withColumn("n_lost_words", F.aggregate(F.col(lines), F.lit(0), count).cast("long"))
-    if clean:
-        good = F.transform(F.filter(F.col(lines), lambda x: ~x["bad"]), lambda x: x["line"])
-        out = out.withColumn("clean_text", F.array_join(good, "\n"))
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = out.withColumn("base_failed", base)
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("n_lost_words") <= max_loss * F.col("n_words")))
-    return out.drop(text, w, lines)
+    with_words = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
+
+    def measured(w: Column, repeats: Column, lines: Column) -> Column:
+        seen = F.transform(F.filter(lines, lambda x: with_words(x["line"])), lambda x: x["line"])
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.length(F.regexp_replace(body, f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
+            with_value(seen, lambda s: F.size(s) - F.size(F.array_distinct(s))).cast("long").alias("n_dup_lines"),
+            repeats.alias("n_repeat_words"),
+            F.aggregate(lines, F.lit(0), count).cast("long").alias("n_lost_words"),
+            *([F.array_join(F.transform(F.filter(lines, lambda x: ~x["bad"]), lambda x: x["line"]), "\n").alias("clean_text")] if clean else []),
+        )
+
+    def judged(m: Column) -> Column:
+        base = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+        kept = ~base & (m["n_lost_words"] <= max_loss * m["n_words"])
+        names = FIELDS[:6] + (("clean_text",) if clean else ())
+        return F.struct(*[m[n].alias(n) for n in names], base.alias("base_failed"), kept.alias("kept"))
+
+    flagged = lambda r: F.transform(F.split(body, "\n", -1), lambda x: F.struct(x.alias("line"), line_fails(x, r >= 6).alias("bad")))
+    whole = lambda w: with_value(repeat_words(w), lambda r: with_value(flagged(r), lambda lines: with_value(measured(w, r, lines), judged)))
+    return with_value(words(body), whole)
+
+
+def judged(docs: DataFrame, text_col: str = "text", max_loss: float = 0.4, clean: bool = False, only_kept: bool = False) -> DataFrame:
+    """``docs`` with ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, ``n_lost_words``, ``base_failed``, ``kept``.
+
+    With ``clean``, also ``clean_text``: the text without its failing lines. With
+    ``only_kept``, the rows that are kept. Null and empty texts have no words, so they fail
+    the base rules. Rows are judged each for itself, in one pass without a shuffle; other
+    columns pass through, but those of the names above are replaced. An empty table gives an
+    empty result.
+    """
+    found = own("verdict")
+    result = verdict(F.col(text_col), max_loss, clean)
+    # a filter on the verdict would be pushed below it and judge each text twice; a generator judges once
+    out = docs.withColumn(found, F.explode(F.filter(F.array(result), lambda v: v["kept"])) if only_kept else result)
+    names = [*FIELDS, *(["clean_text"] if clean else [])]
+    return out.withColumns({n: F.col(found)[n] for n in names}).drop(found)
