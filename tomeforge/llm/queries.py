@@ -11,7 +11,6 @@ from . import chat, embedding, license, mixing, packing, pii, quality, simhash,
 from .common import table
 
 QUERIES: dict = {}
-ORACLES: dict = {}
 
 
 def query(f):

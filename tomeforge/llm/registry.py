@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from . import queries as q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,4 +23,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(q.ORACLES)
+    return dict(oracles.ORACLES)
