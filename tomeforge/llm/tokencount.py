@@ -114,9 +114,18 @@ def piece_starts(points: np.ndarray, chunk: int = 256) -> np.ndarray:
     pad = -n % chunk
     grid = np.concatenate((kinds, np.full(pad, CLASSES["end"], np.uint8))).reshape(-1, chunk).T.copy()
     maps = np.repeat(np.arange(len(STATES), dtype=np.uint8)[None], grid.shape[1], 0)
-    flat, width = TO.ravel(), TO.shape[1]
-    for row in grid:
+    flat, width, head = TO.ravel(), TO.shape[1], 16
+    for row in grid[:head]:
         maps = flat[maps.astype(np.intp) * width + row[:, None]]
+    # a map that has become constant stays so, and needs one run from here; the few others need all
+    open_ = np.flatnonzero((maps != maps[:, :1]).any(1))
+    one, rest = maps[:, 0], maps[open_]
+    for row in grid[head:]:
+        one = flat[one.astype(np.intp) * width + row]
+        if len(open_):
+            rest = flat[rest.astype(np.intp) * width + row[open_, None]]
+    maps = np.repeat(one[:, None], len(STATES), 1)
+    maps[open_] = rest
     state = np.concatenate(([0], prefix_scan(maps)[:-1, 0])).astype(np.intp)
     marks, emit = np.empty_like(grid), OUT.ravel()
     for i, row in enumerate(grid):
