@@ -164,3 +164,16 @@ def test_watch_publishes_once(engine, tmp_path):
     stream = spark.readStream.format("text").load(str(tmp_path / "changes"))
     assert engine.watch(stream, str(tmp_path / "ck")).awaitTermination(120)
     assert engine.store.generations() == [1] and engine.check() == "ok"
+
+
+def test_embedding_provider(spark):
+    from tomeforge.operators import caches
+
+    def provider(texts):
+        if any("boom" in t for t in texts):
+            raise OSError("no answer")
+        return [[float(len(t)), 1.0] if t != "bad" else [float("nan"), 1.0] for t in texts]
+
+    rows = spark.createDataFrame([("a", "xy"), ("b", "bad"), ("c", "boom")], "cache_key string, text string").repartition(3)
+    got = {r.cache_key: r.vector for r in caches.embedded(rows, provider, 2, batch=1, retries=0).collect()}
+    assert got == {"a": [2.0, 1.0], "b": None, "c": None}

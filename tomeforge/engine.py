@@ -63,7 +63,7 @@ class Engine:
         without one are pending. ``history`` is a table of commits.
         """
         intake = filesystem.intake(self.spark, self.source, self.rules(), self.config.max_file_bytes)
-        files = filesystem.classified(intake).persist()
+        files, tables = filesystem.classified(intake).persist(), {}
         try:
             manifest = reconcile.manifest_hash(files).first()["manifest_hash"]
             record = {"manifest_hash": manifest, "config_fingerprint": self.config.fingerprint(), "parser": PARSER, "scope": self.scope}
@@ -81,7 +81,8 @@ class Engine:
             self.store.fail(str(error)[:500])
             raise
         finally:
-            files.unpersist()
+            for df in (files, *tables.values()):
+                df.unpersist()
 
     def _tables(self, files: DataFrame) -> dict[str, DataFrame]:
         scope = F.lit(self.scope)
@@ -95,7 +96,7 @@ class Engine:
         chunks = chunks.select(
             "chunk_id", "parent_chunk_id", "path", "role", "heading", "symbol", "kind", "line_start", "line_end",
             safe.alias("text"), F.sha2(safe, 256).alias("text_hash"), F.monotonically_increasing_id().alias("ord"),
-        )
+        ).persist()
         found = chunking.symbols(files)
         sid = F.concat(F.lit("sym-"), F.sha2(F.concat_ws("\n", scope, "path", "kind", "name", "line_start"), 256))
         found = found.withColumn("symbol_id", sid)
@@ -132,7 +133,7 @@ class Engine:
         chunks = self.store.table("chunks")
         named = chunks.select("chunk_id", "path", "role", "heading", "line_start")
         if path:
-            named = named.where(F.col("path").rlike("^" + "".join({"*": ".*", "?": "."}.get(c, "\\" + c if not c.isalnum() and c not in "_/" else c) for c in path) + "$"))
+            named = named.where(F.col("path").rlike(text.glob_regex(path)))
         if role:
             named = named.where(F.col("role") == role)
         order = [F.round("score", 9), F.col("path"), F.col("line_start"), F.col("chunk_id")]

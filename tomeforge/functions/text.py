@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,3 +99,17 @@ def title(heading: Column, path: Column) -> Column:
 def permalink(base: Column, path: Column, first: Column, last: Column) -> Column:
     """A link for a pinned revision; null for any other base."""
     return F.when(base.rlike("^git:[0-9a-fA-F]{40}$"), F.format_string("%s/%s#L%d-L%d", base, path, first, last))
+
+
+def glob_regex(pattern: str) -> str:
+    """A filter's glob: * and ? cross separators, classes stand in brackets, case counts."""
+    out, i = "", 0
+    while i < len(pattern):
+        end = pattern.find("]", i + 2) if pattern[i] == "[" else -1
+        if end > 0:
+            out += "[" + pattern[i + 1 : end].replace("\\", r"\\").replace("[", r"\[") + "]"
+            i = end + 1
+        else:
+            out += {"*": ".*", "?": "."}.get(pattern[i], re.escape(pattern[i]))
+            i += 1
+    return f"(?s)^{out}$"

@@ -13,7 +13,8 @@ SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs", "/
 def covering_chunk(points: DataFrame, chunks: DataFrame, line: str = "line") -> DataFrame:
     """``points`` (path, ref_id, line) with the first chunk, by ``ord``, whose lines cover it; null if none does."""
     within = (F.col(line) >= F.col("line_start")) & (F.col(line) <= F.col("line_end"))
-    found = points.join(chunks.select("path", "line_start", "line_end", "ord", "chunk_id"), "path").where(within)
+    places = points.select("path", "ref_id", line)
+    found = places.join(chunks.select("path", "line_start", "line_end", "ord", "chunk_id"), "path").where(within)
     first = found.groupBy("ref_id").agg(F.min_by("chunk_id", "ord").alias("chunk_id"))
     return points.join(first, "ref_id", "left")
 
@@ -21,7 +22,7 @@ def covering_chunk(points: DataFrame, chunks: DataFrame, line: str = "line") ->
 def local_symbols(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """``refs`` (ref_id, path, name, line) with ``symbol_id``: the first same-named symbol declared at or above, else the first below."""
     named = symbols.select("path", "name", F.col("line_start").alias("declared"), "ord", "symbol_id")
-    found = refs.join(named, ["path", "name"])
+    found = refs.select("ref_id", "path", "name", "line").join(named, ["path", "name"])
     best = found.groupBy("ref_id").agg(F.min_by("symbol_id", F.struct(F.col("declared") > F.col("line"), F.col("ord"))).alias("symbol_id"))
     return refs.join(best, "ref_id", "left")
 

@@ -156,10 +156,10 @@ def fallback_paths(spark, sf_dir):
     return corpus.files(spark, sf_dir).where(F.contains(F.lower("path"), F.lit("src1/e"))).select("path").orderBy("path").limit(5)
 
 
-@register(f"WITH {corpus.SQL} SELECT path FROM files WHERE path GLOB 'src[1-2]/?n/*5.txt'")
+@register(f"WITH {corpus.SQL} SELECT path FROM files WHERE path GLOB 'src[1-2]/?n/*1.txt'")
 def path_glob_filter(spark, sf_dir):
     """The filter's dialect: * and ? cross separators, classes in brackets."""
-    return corpus.files(spark, sf_dir).where(F.col("path").rlike(r"^src[1-2]/.n/.*5\.txt$")).select("path")
+    return corpus.files(spark, sf_dir).where(F.col("path").rlike(text.glob_regex("src[1-2]/?n/*1.txt"))).select("path")
 
 
 # vectors

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import pr_hints
+from ..functions.text import glob_regex, pr_hints
 
 ESCAPES = {"a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13, '"': 34, "\\": 92}
 
@@ -90,5 +90,4 @@ def hunks(diffs: DataFrame, key: str, diff: str, most: int = 20) -> DataFrame:
 
 def touches(paths: Column, pattern: str) -> Column:
     """Whether any affected path matches a glob whose * and ? cross separators."""
-    regex = "^" + re.sub(r"\\\*", ".*", re.sub(r"\\\?", ".", re.escape(pattern))).replace(r"\[", "[").replace(r"\]", "]").replace(r"\-", "-") + "$"
-    return F.exists(paths, lambda p: p.rlike(regex))
+    return F.exists(paths, lambda p: p.rlike(glob_regex(pattern)))
