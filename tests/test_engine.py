@@ -177,3 +177,15 @@ def test_embedding_provider(spark):
     rows = spark.createDataFrame([("a", "xy"), ("b", "bad"), ("c", "boom")], "cache_key string, text string").repartition(3)
     got = {r.cache_key: r.vector for r in caches.embedded(rows, provider, 2, batch=1, retries=0).collect()}
     assert got == {"a": [2.0, 1.0], "b": None, "c": None}
+
+
+def test_envelope_faults_of_a_stream(spark, tmp_path):
+    """Two batches, so the state of a run is kept between them."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    parts = [[("a", 0, "started"), ("b", 0, "started")], [("a", 1, "completed"), ("a", 2, "progress"), ("b", 3, "progress")]]
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, "run_id string, sequence long, type string").coalesce(1).write.parquet(str(tmp_path / f"in{i}"))
+    stream = spark.readStream.schema("run_id string, sequence long, type string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
+    query = events.envelope_faults(stream).writeStream.format("memory").queryName("faults").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120) and query.exception() is None
+    assert {tuple(r) for r in spark.table("faults").collect()} == {("a", 2, "after the end"), ("b", 3, "gap")}

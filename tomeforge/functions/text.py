@@ -82,9 +82,11 @@ def remote_name(url: Column) -> Column:
 
 
 def duration(ms: Column) -> Column:
-    seconds = F.floor(ms / 1000)
+    """Seconds with one decimal under a minute, else minutes and whole seconds."""
+    seconds = ms / 1000
     minutes = F.floor(seconds / 60)
-    return F.when(minutes > 0, F.format_string("%dm %02ds", minutes, seconds % 60)).otherwise(F.format_string("%ds", seconds))
+    long = F.format_string("%dm %02ds", minutes, F.floor(seconds - minutes * 60))
+    return F.when(seconds < 60, F.format_string("%.1fs", seconds)).otherwise(long)
 
 
 def utc(ms: Column) -> Column:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation, experiments, history, index, relational, search
+from . import evaluation, experiments, history, index, relational, scalar, search
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (search, index, experiments, evaluation, history, relational)
+MODULES = (search, index, experiments, evaluation, history, scalar, relational)
 
 
 def queries() -> dict[str, Query]:
