@@ -189,3 +189,14 @@ def test_envelope_faults_of_a_stream(spark, tmp_path):
     query = events.envelope_faults(stream).writeStream.format("memory").queryName("faults").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     assert query.awaitTermination(120) and query.exception() is None
     assert {tuple(r) for r in spark.table("faults").collect()} == {("a", 2, "after the end"), ("b", 3, "gap")}
+
+
+def test_report(spark):
+    from tomeforge.operators import grading
+    from tomeforge.plans.experiments import trials
+
+    rows = trials(spark, "/root/testdata/sf0.01")
+    found = grading.report(rows, rows.select("trial", "condition"), "en", ["fr", "de"], 0.5, -9.0, iterations=50)
+    assert found["gate"] == "pass" and {c["comparison"] for c in found["comparisons"]} == {"fr", "de"}
+    assert all(c["low"] <= c["difference"] <= c["high"] for c in found["comparisons"])
+    assert "# Verdict: pass" in grading.markdown(found)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import experiments as ex
+from ..operators import grading
 from ..session import table
 
 QUERIES: dict = {}
@@ -242,3 +243,18 @@ def utc_stamps(spark, sf_dir):
 @register("SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z+]+://', ''), '/+$', '') AS name, split_part(split_part(url, '://', 2), '/', 1) AS host FROM pages")
 def remote_names(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.remote_name(F.col("url")).alias("name"), F.parse_url("url", F.lit("HOST")).alias("host"))
+
+
+@register("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR doc_id % 3 = 1 THEN 'not_graded' WHEN doc_id % 5 IN (1, 2) THEN CASE WHEN doc_id % 7 = 0 THEN 'evaluator_error' WHEN doc_id % 4 = 0 THEN 'pass' WHEN doc_id % 4 = 1 THEN 'evaluator_error' WHEN doc_id % 4 = 2 THEN 'evaluator_error' ELSE 'not_graded' END
+WHEN doc_id % 4 = 0 THEN 'evaluator_error' WHEN doc_id % 4 < 3 THEN 'pass' ELSE 'fail' END AS grade FROM documents""")
+def grading_states(spark, sf_dir):
+    """Five kinds of tasks, three statuses, and records that are valid, invalid, sticky, unreadable or absent."""
+    n = F.col("doc_id")
+    method = F.when(n % 5 == 1, "humanRubric").when(n % 5 == 2, "modelJudge").when(n % 5 > 2, "contains")
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", method.alias("task_method"), F.when(n % 3 == 1, "error").otherwise("completed").alias("status"),
+        F.when(n % 4 > 0, n % 4 < 3).alias("checks_passed"), F.when(n % 4 == 2, "engine").when(n % 4 < 2, "operator").alias("record_source"),
+        F.when(n % 4 < 2, "pass").when(n % 4 == 2, "evaluator_error").alias("record_status"), F.when(n % 4 < 3, method).alias("record_method"),
+        F.when(n % 4 == 0, "clear").when(n % 4 == 1, " ").alias("record_reason"), (n % 7 == 0).alias("record_unreadable"),
+    )
+    return grading.graded(rows).select("doc_id", "grade")
