@@ -90,8 +90,10 @@ def duration(ms: Column) -> Column:
 
 
 def utc(ms: Column) -> Column:
-    """Epoch milliseconds as RFC 3339."""
-    return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """Epoch milliseconds as RFC 3339, whatever the session's time zone."""
+    none = F.lit(0)
+    since = F.make_dt_interval(none, none, none, (ms.cast("decimal(18,0)") / 1000).cast("decimal(18,6)"))
+    return F.date_format(F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'") + since, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def title(heading: Column, path: Column) -> Column:

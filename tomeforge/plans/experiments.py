@@ -206,7 +206,7 @@ s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS se
 def session_debounce(spark, sf_dir):
     """One publication per quiet period of two hours."""
     events = table(spark, sf_dir, "events").select("user_id", "ts")
-    found = events.groupBy("user_id", F.session_window("ts", "2 hours").alias("w")).agg(F.count("*").alias("changes"), F.min("ts").alias("opened"))
+    found = events.groupBy("user_id", F.session_window("ts", "2 hours").alias("w")).agg(F.count("*").alias("changes"), F.min("ts").cast("timestamp_ntz").alias("opened"))
     return found.drop("w")
 
 

@@ -75,7 +75,7 @@ def cube_parts(spark, sf_dir):
 @register("SELECT date_trunc('day', l_shipdate)::TIMESTAMP AS day, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1")
 def distinct_suppliers(spark, sf_dir):
     (lines,) = t(spark, sf_dir, "lineitem")
-    return lines.groupBy(F.date_trunc("day", "l_shipdate").alias("day")).agg(F.count_distinct("l_suppkey").alias("suppliers"))
+    return lines.groupBy(F.date_trunc("day", "l_shipdate").cast("timestamp_ntz").alias("day")).agg(F.count_distinct("l_suppkey").alias("suppliers"))
 
 
 @register("SELECT c_mktsegment, c_custkey, CAST(r AS INTEGER) AS r FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) WHERE r <= 5")
@@ -95,4 +95,4 @@ def intersected(spark, sf_dir):
 def tumbling_events(spark, sf_dir):
     (events,) = t(spark, sf_dir, "events")
     rows = events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("total"))
-    return rows.select(F.col("w.start").alias("hour"), "event_type", "events", "total")
+    return rows.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "events", "total")
