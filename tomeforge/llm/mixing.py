@@ -21,6 +21,8 @@ from .common import checkpointed, words
 
 BINS = 1 << 12
 LAST = 3
+#: Sources up to which their rules, some 200 bytes each, are broadcast; beyond, documents are shuffled by source.
+BROADCAST_SOURCES = 10_000
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
@@ -61,6 +63,11 @@ def same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
+def small(by_source: DataFrame) -> DataFrame:
+    """A checkpointed table with a row per source, to be broadcast if it is measured to be small."""
+    return F.broadcast(by_source) if by_source.count() <= BROADCAST_SOURCES else by_source
+
+
 def rules(rows: DataFrame, weights: tuple[float, ...], most: float, seed: int) -> DataFrame:
     """One row per source of ``rows`` (id, source, size): its target, and which of its documents get how many copies.
 
@@ -73,7 +80,7 @@ def rules(rows: DataFrame, weights: tuple[float, ...], most: float, seed: int) -
     rest = F.greatest(F.col("target") - F.col("certain") * F.col("source_size"), F.lit(0.0))
     rates = checkpointed(rates.withColumn("rest", rest).withColumnRenamed("source", "s"))
 
-    drawn = rows.where("size > 0").join(rates.select("s", "p", "rest"), same("source", "s")).where("p > 0").drop("s")
+    drawn = rows.where("size > 0").join(small(rates.select("s", "p", "rest")), same("source", "s")).where("p > 0").drop("s")
     drawn = drawn.withColumn("odds", odds_of(F.col("id"), F.col("p"), seed)).withColumn("bin", bin_of(F.col("odds")))
     bins = drawn.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     run = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
@@ -83,7 +90,7 @@ def rules(rows: DataFrame, weights: tuple[float, ...], most: float, seed: int) -
 
     # only the bin where the target falls is ranked row by row
     order = W.partitionBy("source").orderBy(F.struct("odds", "id")).rangeBetween(W.unboundedPreceding, 0)
-    inside = drawn.join(edge, same("source", "e") & (F.col("bin") == F.col("edge")))
+    inside = drawn.join(small(edge), same("source", "e") & (F.col("bin") == F.col("edge")))
     inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(order)).where(F.col("upto") <= F.col("rest"))
     cut = inside.groupBy("source").agg(F.max(F.struct("odds", "id")).alias("cut")).select(F.col("source").alias("c"), F.col("cut.odds").alias("cut_odds"), F.col("cut.id").alias("cut_id"))
     found = rates.join(edge.drop("before"), same("s", "e"), "left").drop("e").join(cut, same("s", "c"), "left").drop("c")
@@ -98,7 +105,7 @@ def rules(rows: DataFrame, weights: tuple[float, ...], most: float, seed: int) -
         got = chosen.groupBy("source").agg(F.sum(F.col("size") * extra).alias("got"), F.first("rest").alias("rest"))
         got = checkpointed(got.select(F.col("source").alias("g"), (F.col("rest") - F.col("got")).alias("missing")))
         off = F.abs(F.col("size") - F.col("missing"))
-        left = chosen.where(extra == 0).join(got, same("source", "g")).where((off < F.col("missing")) & (F.col("p") > 0))
+        left = chosen.where(extra == 0).join(small(got), same("source", "g")).where((off < F.col("missing")) & (F.col("p") > 0))
         left = left if place == LAST - 1 else left.where("size <= missing")
         last = left.groupBy("source").agg(F.min(F.struct(off.alias("off"), "id")).alias("last"))
         last = last.select(F.col("source").alias("l"), F.array("last.id").alias("new"))
@@ -109,7 +116,7 @@ def rules(rows: DataFrame, weights: tuple[float, ...], most: float, seed: int) -
 
 def with_copies(rows: DataFrame, found: DataFrame, seed: int) -> DataFrame:
     """``rows`` (id, source, and others) with their source's rule and ``copies``."""
-    joined = rows.join(found, same("source", "s"), "left").drop("s")
+    joined = rows.join(small(found), same("source", "s"), "left").drop("s")
     odds = odds_of(F.col("id"), F.col("p"), seed)
     place = F.struct(odds.alias("odds"), F.col("id").alias("id"))
     at_edge = F.coalesce(bin_of(odds) == F.col("edge"), F.lit(False))
