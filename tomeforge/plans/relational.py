@@ -23,20 +23,21 @@ def t(spark, sf_dir, *names):
     return [table(spark, sf_dir, n) for n in names]
 
 
-REVENUE = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+def revenue():
+    return F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue")
 
 
 @register("SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS BIGINT) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS lines FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-01-01' GROUP BY 1, 2")
 def grouped_totals(spark, sf_dir):
     (lines,) = t(spark, sf_dir, "lineitem")
-    return lines.where("l_shipdate <= timestamp '2000-01-01'").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").cast("long").alias("quantity"), F.round(F.sum(REVENUE), 2).alias("revenue"), F.count("*").alias("lines"))
+    return lines.where("l_shipdate <= timestamp '2000-01-01'").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").cast("long").alias("quantity"), revenue(), F.count("*").alias("lines"))
 
 
 @register("SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate >= TIMESTAMP '1997-01-01' GROUP BY 1")
 def joined_revenue(spark, sf_dir):
     lines, orders, customers, nations = t(spark, sf_dir, "lineitem", "orders", "customer", "nation")
     rows = lines.join(orders.where("o_orderdate >= timestamp '1997-01-01'"), F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.groupBy("n_name").agg(F.round(F.sum(REVENUE), 2).alias("revenue"))
+    return rows.groupBy("n_name").agg(revenue())
 
 
 @register("SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")

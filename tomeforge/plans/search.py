@@ -76,18 +76,22 @@ def boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(spark, sf_dir).withColumn("score", F.col("score") + gain)
 
 
-ORDER = [F.expr("round(score, 9)"), F.expr("path"), F.expr("line")]
-OUT = ("chunk_id", "path", "line", F.expr("round(score, 6) AS score"))
+def order() -> list:
+    return [F.round("score", 9), F.col("path"), F.col("line")]
+
+
+def out(df: DataFrame) -> DataFrame:
+    return df.select("chunk_id", "path", "line", F.round("score", 6).alias("score"))
 
 
 @register(SQL + " SELECT chunk_id, path, line, round(score, 6) AS score FROM hits ORDER BY round(hits.score, 9), path, line LIMIT 10")
 def bm25_topk(spark, sf_dir):
-    return hits(spark, sf_dir).orderBy(*ORDER).limit(10).select(*OUT)
+    return out(hits(spark, sf_dir).orderBy(*order()).limit(10))
 
 
 @register(SQL + " SELECT chunk_id, path, line, round(score, 6) AS score FROM boosted")
 def bm25_boosted(spark, sf_dir):
-    return boosted(spark, sf_dir).select(*OUT)
+    return out(boosted(spark, sf_dir))
 
 
 @register(SQL + " SELECT term, field, df FROM df")
@@ -120,7 +124,7 @@ def phrase_match(spark, sf_dir):
 
 @register(SQL + ", cap AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY round(score, 9), path, line) AS in_file FROM boosted) SELECT chunk_id, path, CAST(in_file AS INTEGER) AS in_file FROM cap WHERE in_file <= 1")
 def per_file_cap(spark, sf_dir):
-    return lexical.per_file(boosted(spark, sf_dir), ORDER, 1).select("chunk_id", "path", "in_file")
+    return lexical.per_file(boosted(spark, sf_dir), order(), 1).select("chunk_id", "path", "in_file")
 
 
 BUDGET = 120
@@ -131,7 +135,7 @@ page AS (SELECT r.chunk_id, rank, CAST(ceil(length(body) / 4) AS BIGINT) AS cost
 spent AS (SELECT *, sum(cost) OVER (ORDER BY rank) AS spent FROM page)
 SELECT chunk_id, CAST(rank AS INTEGER) AS rank, CAST(spent AS BIGINT) AS spent FROM spent WHERE spent <= {BUDGET} OR rank = 1""")
 def token_budget_page(spark, sf_dir):
-    page = lexical.page(boosted(spark, sf_dir), ORDER, 0, 20).select("chunk_id", "rank")
+    page = lexical.page(boosted(spark, sf_dir), order(), 0, 20).select("chunk_id", "rank")
     bodies = corpus.chunks(spark, sf_dir).select("chunk_id", "body")
     page = bodies.join(F.broadcast(page), "chunk_id")  # 20 rows at most
     return lexical.within_budget(page, text.estimated_tokens(F.col("body")), BUDGET).select("chunk_id", "rank", "spent")
@@ -140,7 +144,7 @@ def token_budget_page(spark, sf_dir):
 @register(SQL + """, ranked AS (SELECT chunk_id, row_number() OVER (ORDER BY round(score, 9), path, line) AS rank FROM boosted)
 SELECT chunk_id, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank > 5 AND rank <= 10""")
 def second_page(spark, sf_dir):
-    return lexical.page(boosted(spark, sf_dir), ORDER, 5, 5).select("chunk_id", "rank")
+    return lexical.page(boosted(spark, sf_dir), order(), 5, 5).select("chunk_id", "rank")
 
 
 @register(f"""WITH {corpus.SQL}, hit AS (SELECT chunk_id, body, strpos(lower(body), 'license') AS pos FROM chunks WHERE contains(lower(body), 'license')),
@@ -203,7 +207,7 @@ vec AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY cosine DESC, vec_id
 @register(HYBRID + " SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM lex UNION ALL SELECT * FROM vec) GROUP BY doc_id")
 def rrf_hybrid(spark, sf_dir):
     """Documents by lexical rank and by vector rank, fused; vec_id stands for doc_id."""
-    lex = boosted(spark, sf_dir).withColumn("rank", F.row_number().over(W.orderBy(*ORDER)))
+    lex = boosted(spark, sf_dir).withColumn("rank", F.row_number().over(W.orderBy(*order())))
     lex = lex.groupBy(F.substring_index("chunk_id", ":", 1).cast("long").alias("doc_id")).agg(F.min("rank").alias("rank"))
     vec = vectors.ranked(cosines(spark, sf_dir), 200).select(F.col("vec_id").alias("doc_id"), "rank")
     return vectors.fused([lex, vec], "doc_id").select("doc_id", F.round("score", 9).alias("score"))
