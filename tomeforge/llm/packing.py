@@ -33,7 +33,7 @@ class Encoder:
     ``most`` pieces.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -166,7 +166,7 @@ def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float)
     return out
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 1024, linear: float = 1.0, quadratic: float = 1 / 1024, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, block_tokens: int = 1 << 21, at_once: int = 1 << 20) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 1024, linear: float = 1.0, quadratic: float = 1 / 1024, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, block_tokens: int = 1 << 20, at_once: int = 1 << 18) -> DataFrame:
     """One row per piece: id, ``start``, ``length``, ``ids`` (little-endian unsigned 32-bit), ``doc_tokens``, ``sequence_id``, ``offset``.
 
     A document's ids are the library's for its whole text, then ``end_id``; null and empty
@@ -218,16 +218,16 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, linear: float = 1.0,
         for ids, coded in blocks(typed()):
             lengths = np.array([len(x) for x in coded], np.int64)
             doc, start, length, number, offset = map(list, zip(*assign(lengths, capacity, linear, quadratic)))
-            for lo in range(0, len(doc), 4096):
-                d, a, n = doc[lo : lo + 4096], start[lo : lo + 4096], length[lo : lo + 4096]
+            for lo in range(0, len(doc), 1024):
+                d, a, n = doc[lo : lo + 1024], start[lo : lo + 1024], length[lo : lo + 1024]
                 columns = [
                     pa.array([ids[i] for i in d], kind),
                     pa.array(a, pa.int64()),
                     pa.array(n, pa.int64()),
                     pa.array([coded[i][s : s + k].astype("<u4").tobytes() for i, s, k in zip(d, a, n)], pa.binary()),
                     pa.array(lengths[d]),
-                    pa.array(np.array(number[lo : lo + 4096], np.int64) + sequence),
-                    pa.array(offset[lo : lo + 4096], pa.int64()),
+                    pa.array(np.array(number[lo : lo + 1024], np.int64) + sequence),
+                    pa.array(offset[lo : lo + 1024], pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
             sequence += max(number) + 1

@@ -107,14 +107,14 @@ def prefix_scan(maps: np.ndarray) -> np.ndarray:
     return done
 
 
-def piece_starts(points: np.ndarray, chunk: int = 256) -> np.ndarray:
+def piece_starts(points: np.ndarray, chunk: int = 128) -> np.ndarray:
     """For code points with END after each text: whether a piece begins at each."""
     kinds = _classes()[points]
     n = len(kinds)
     pad = -n % chunk
     grid = np.concatenate((kinds, np.full(pad, CLASSES["end"], np.uint8))).reshape(-1, chunk).T.copy()
     maps = np.repeat(np.arange(len(STATES), dtype=np.uint8)[None], grid.shape[1], 0)
-    flat, width, head = TO.ravel(), TO.shape[1], 16
+    flat, width, head = TO.ravel(), TO.shape[1], 12
     for row in grid[:head]:
         maps = flat[maps.astype(np.intp) * width + row[:, None]]
     # a map that has become constant stays so, and needs one run from here; the few others need all
