@@ -63,7 +63,8 @@ class Engine:
         without one are pending. ``history`` is a table of commits.
         """
         intake = filesystem.intake(self.spark, self.source, self.rules(), self.config.max_file_bytes)
-        files, tables = filesystem.classified(intake).persist(), {}
+        files = filesystem.classified(intake).persist()
+        self._held = [files]
         try:
             manifest = reconcile.manifest_hash(files).first()["manifest_hash"]
             record = {"manifest_hash": manifest, "config_fingerprint": self.config.fingerprint(), "parser": PARSER, "scope": self.scope}
@@ -71,6 +72,9 @@ class Engine:
             if served and served["manifest_hash"] == manifest and served["config_fingerprint"] == record["config_fingerprint"]:
                 return served
             tables = self._tables(files)
+            # what ranking needs of the whole corpus is kept in the record, so that a search scans no texts for it
+            stats = lexical.corpus_stats(self._held[-1], FIELDS, EXTRA).first()
+            record |= {"chunks": stats["n"], "mean_length": stats["mean_length"]}
             if embeddings is not None:
                 hashed = tables["chunks"].select("chunk_id", F.sha2("text", 256).alias("input_hash"))
                 tables["chunk_vec"] = hashed.join(embeddings, "input_hash").select("chunk_id", "input_hash", F.size("vector").alias("dimension"), "vector")
@@ -81,7 +85,7 @@ class Engine:
             self.store.fail(str(error)[:500])
             raise
         finally:
-            for df in (files, *tables.values()):
+            for df in self._held:
                 df.unpersist()
 
     def _tables(self, files: DataFrame) -> dict[str, DataFrame]:
@@ -95,8 +99,9 @@ class Engine:
         chunks = held.join(parents, ["path", "parent"], "left").join(files.select("path", "role"), "path")
         chunks = chunks.select(
             "chunk_id", "parent_chunk_id", "path", "role", "heading", "symbol", "kind", "line_start", "line_end",
-            safe.alias("text"), F.sha2(safe, 256).alias("text_hash"), F.monotonically_increasing_id().alias("ord"),
+            safe.alias("text"), F.sha2(safe, 256).alias("text_hash"), "ord",
         ).persist()
+        self._held.append(chunks)
         found = chunking.symbols(files)
         sid = F.concat(F.lit("sym-"), F.sha2(F.concat_ws("\n", scope, "path", "kind", "name", "line_start"), 256))
         found = found.withColumn("symbol_id", sid)
@@ -106,7 +111,8 @@ class Engine:
         refs = chunking.references(files).withColumn("ref_id", rid)
         return {
             "files": files.drop("text"),
-            "chunks": chunks,
+            # files of one path range each, so that a page reads the row groups of its paths only
+            "chunks": chunks.repartitionByRange("path").sortWithinPartitions("path", "ord"),
             "symbols": symbols,
             "refs": self._resolved(refs, symbols, files, chunks),
             "postings": lexical.postings(chunks, FIELDS).repartitionByRange("term").sortWithinPartitions("term"),
@@ -151,7 +157,9 @@ class Engine:
             ranked = fused.join(named, "chunk_id").withColumn("why", F.lit("fused ranks" if ran == "hybrid" else "vector match"))
         ranked = lexical.per_file(ranked, order)
         page = lexical.page(ranked, order, offset, size + 1)
-        bodies = chunks.select("chunk_id", "line_end", text.excerpt(F.col("text"), terms or [""]).alias("excerpt"), text.estimated_tokens(F.col("text")).alias("tokens"))
+        page = page.persist()
+        paths = [r.path for r in page.select("path").distinct().collect()]  # a page's, at most 21
+        bodies = chunks.where(F.col("path").isin(paths)).select("chunk_id", "line_end", text.excerpt(F.col("text"), terms or [""]).alias("excerpt"), text.estimated_tokens(F.col("text")).alias("tokens"))
         page = bodies.join(F.broadcast(page.select("chunk_id", "path", "role", "heading", "line_start", "rank", "score", "why")), "chunk_id")  # at most a page
         kept = lexical.within_budget(page.withColumn("rank", F.col("rank") - offset), F.col("tokens"), budget)
         kept = kept.where(F.col("rank") <= size).withColumn("rank", F.col("rank") + offset).drop("spent").orderBy("rank").persist()
@@ -166,8 +174,9 @@ class Engine:
         tokens = sorted({t for row in cut for t in row})
         if not single or any(not row for row in cut):
             return named.limit(0).withColumn("score", F.lit(0.0)).withColumn("why", F.lit(""))
-        found = self.store.table("postings").where(F.col("term").isin(tokens))
-        scored = lexical.bm25(found, lexical.corpus_stats(chunks, FIELDS, EXTRA), tokens)
+        found, record = self.store.table("postings").where(F.col("term").isin(tokens)), self.store.current()
+        stats = self.spark.range(1).select(F.lit(record["chunks"]).alias("n"), F.lit(record["mean_length"]).alias("mean_length"))
+        scored = lexical.bm25(found, stats, tokens)
         phrases = [list(row) for row in cut if len(row) > 1]
         if phrases:
             scored = scored.join(lexical.matches_all(chunks, phrases, FIELDS).select("chunk_id"), "chunk_id", "left_semi")

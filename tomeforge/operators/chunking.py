@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 TARGET, CEILING = 700, 1000
-SCHEMA = "path string, address string, parent string, heading string, text string, line_start int, line_end int, symbol string, kind string"
+SCHEMA = "path string, address string, parent string, heading string, text string, line_start int, line_end int, symbol string, kind string, ord int"
 
 
 def estimated(text: str) -> int:
@@ -306,12 +306,12 @@ def chunk_file(path: str, language: str, role: str, text: str) -> Iterator[tuple
 
 
 def chunked(files: DataFrame) -> DataFrame:
-    """Chunks of ``files`` (path, language, role, text)."""
+    """Chunks of ``files`` (path, language, role, text), numbered within each file as they come."""
 
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for frame in frames:
-            rows = [c for f in frame.itertuples(index=False) for c in chunk_file(f.path, f.language, f.role, f.text or "")]
+            rows = [(*c, i) for f in frame.itertuples(index=False) for i, c in enumerate(chunk_file(f.path, f.language, f.role, f.text or ""))]
             yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "language", "role", "text").mapInPandas(apply, SCHEMA)
