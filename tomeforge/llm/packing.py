@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, release
 from .tokencount import Cut
 
 
@@ -231,7 +232,9 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, linear: float = 1.0,
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
             sequence += max(number) + 1
+        release()
 
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     packed = source.mapInArrow(apply, f"id {schema}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return packed.withColumnRenamed("id", id_col)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, find, in_blocks, runs
+from .common import bounded_batches, checkpointed, connected_components, find, in_blocks, release, runs
 
 EVEN = 0x5555555555555555
 SEED = 42
@@ -68,7 +68,9 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             fps = np.fromiter((fingerprint(x.as_py() or b"", shingle) for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+        release()
 
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     return source.mapInArrow(apply, f"id {source.schema['id'].dataType.simpleString()}, fp long")
 

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 # Character classes and states of the pre-tokenizer.
 CLASSES = dict.fromkeys("letter number other space blank quote s_t_m_d r v l e end".split())
 CLASSES = {k: i for i, k in enumerate(CLASSES)}
@@ -347,6 +349,7 @@ def with_token_counts(docs: DataFrame, path: str, limit: int, id_col: str = "doc
             counts.append(count_tokens(held, machine) if held else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.concatenate(counts))], names=["id", "n_bytes", "n_tokens"])
 
+    bounded_batches(docs.sparkSession)
     text = F.col(text_col)
     source = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
     counted = source.mapInArrow(apply, f"id {source.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long")
