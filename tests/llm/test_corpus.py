@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tomeforge.llm import chat, embedding, mixing, queries, simhash, substring
+from tomeforge.llm import chat, embedding, mixing, queries, shingles, simhash, substring
 from tomeforge.llm.common import connected_components
 
 
@@ -268,3 +268,44 @@ def test_pareto_order_keeps_inclusion_odds(spark):
         for r in mixing.mixed(docs, seed=seed).collect():
             hits[r.source] += r.copies
     assert abs(hits["a"] / 4 - 4000 * 5 / 7) < 10 and abs(hits["b"] / 4 - 4000 * 2 / 7) < 10
+
+
+# near copies
+
+
+@pytest.mark.parametrize("most", [1024, 7])
+def test_near_copies_by_all_pairs(spark, edge, most):
+    rng = np.random.default_rng(6)
+    pairs = [(i, t) for i, t in edge.select("doc_id", "text").collect()]
+    for c in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 150)]
+        for k in range(6):  # each changed word changes five shingles
+            near = list(words)
+            for at in rng.choice(150, int(rng.integers(0, 6)), replace=False):
+                near[at] = f"new{rng.integers(10**6)}"
+            pairs.append((100 + 6 * c + k, " ".join(near)))
+    grams = []
+    for _, t in pairs:
+        w = (t or "").encode().lower().split()
+        grams.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    part = parts_of(len(pairs), [(i, j) for i in range(len(pairs)) for j in range(i) if alike(grams[i], grams[j])])
+    low = {}
+    for (i, _), p in zip(pairs, part):
+        if i is not None:
+            low[p] = min(low.get(p, i), i)
+    want = collections.Counter((i, low.get(p)) for (i, _), p in zip(pairs, part))
+    docs = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
+    assert collections.Counter(map(tuple, shingles.near_copies(docs, miss=1e-12, most=most).collect())) == want
+    assert shingles.near_copies(docs.limit(0)).count() == 0
+
+
+def test_stage_removes_near_copies_beyond_four_bits(spark, sf):
+    import corpus_pipeline
+
+    words = [f"word{i}" for i in range(100)]
+    other = words[:30] + ["changed"] + words[31:60] + ["again"] + words[61:]
+    texts = [" ".join(words), " ".join(other)]
+    assert bin(plain_fingerprint(texts[0]) ^ plain_fingerprint(texts[1])).count("1") > 4
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()] == [0]

@@ -146,10 +146,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups_of=near_duplicates, **options) -> DataFrame:
     """The rows of ``docs``, all columns, with one row of each group of near duplicates: the one of the smallest id.
 
-    Rows of one id are told apart by a digest of all their columns, and of rows alike in every
+    ``groups_of`` is what names the groups, with its ``options``. Rows of one id are told apart by a digest of all their columns, and of rows alike in every
     column one stays. Groups whose ids are all null keep one row as well. Texts are not
     shuffled, but for rows that are repeated whole; ``docs`` is read twice.
     """
@@ -158,7 +158,7 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), digest.alias("digest"))
     keyed = docs.select(key.alias("key"), *columns)
     text = f"c{docs.columns.index(text_col)}"
-    groups = near_duplicates(keyed, "key", text, **options)
+    groups = groups_of(keyed, "key", text, **options)
     keep = checkpointed(groups.where(F.col("key") == F.col("component_id")).groupBy("key").agg(F.count("*").alias("n")))
     kept = keyed.join(keep.where("n = 1").select("key"), "key", "left_semi")
     if not (again := keep.where("n > 1").select("key")).isEmpty():
