@@ -270,6 +270,15 @@ def test_pareto_order_keeps_inclusion_odds(spark):
     assert abs(hits["a"] / 4 - 4000 * 5 / 7) < 10 and abs(hits["b"] / 4 - 4000 * 2 / 7) < 10
 
 
+def test_mix_passes_over_documents_that_do_not_fit(spark):
+    """A third of a source's words in one document, over many seeds: the other documents fill the target."""
+    rows = [(0, "w " * 4000, "a")] + [(i, "w " * 50, "a") for i in range(1, 161)] + [(1000 + i, "w " * 50, "b") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2).cache()
+    for seed in range(12):
+        got = mixing.mixed(docs, weights=(3, 17), seed=seed).collect()
+        assert all(abs(sum(r.taken for r in got if r.source == s) - next(r.target for r in got if r.source == s)) <= 50 for s in "ab"), seed
+
+
 # near copies
 
 
