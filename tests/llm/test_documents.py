@@ -263,3 +263,8 @@ def test_fuzzy_labels_and_words():
     got = license.scan(b"Hello. Licenced under the Apache Licence, Version 2.0!", license.PHRASES, license.NOTICES, 0.1)
     assert got[5] == "apache-2" and got[1] == 0 and 0.9 < got[6] < 1
     assert got[7] == [{"label": "apache-2", "first_word": 1, "last_word": 8, "edits": 2}]
+
+
+def test_notices_beside_a_better_match():
+    text = b"x released undr the mit license and released under the mit license y"
+    assert [(s["first_word"], s["last_word"], s["edits"]) for s in license.scan(text, license.PHRASES, license.NOTICES, 0.1)[7]] == [(1, 5, 1), (7, 11, 0)]

@@ -64,8 +64,18 @@ def compiled(notices: tuple, share: float):
     return automaton, patterns
 
 
+def every(pattern, line: str, a: int, b: int) -> Iterator:
+    """The best match of a window, then those of what stands before and after it."""
+    todo = [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        if m := pattern.search(line, a, b):
+            yield m
+            todo += [(a, m.start()), (m.end(), b)]
+
+
 def fuzzy(line: str, notices: tuple, share: float) -> list[tuple[str, int, int, int, int]]:
-    """(label, start, end, edits, length of the notice) of each notice found in ``line``, best match a window."""
+    """(label, start, end, edits, length of the notice) of each notice found in ``line``, best matches of a window first."""
     automaton, patterns = compiled(notices, share)
     windows: dict[int, list[list[int]]] = {}
     for end, (size, where) in automaton.iter(line):
@@ -81,7 +91,7 @@ def fuzzy(line: str, notices: tuple, share: float) -> list[tuple[str, int, int,
     for i, mine in windows.items():
         pattern, _, label, n = patterns[i]
         for a, b in mine:
-            for m in pattern.finditer(line, a, min(b, len(line))):
+            for m in every(pattern, line, a, min(b, len(line))):
                 found.append((label, m.start(), m.end(), sum(m.fuzzy_counts), n))
     # where notices of several kinds match one place, the one with the smallest share of edits stands for it
     best: list = []
