@@ -220,6 +220,12 @@ def test_redaction(spark):
     assert got == {1: ('é [EMAIL] and [IP], token = "[SECRET]" end', "x"), 2: (None, "y"), 3: ("", "z")}
 
 
+def test_long_secrets_are_redacted(spark):
+    key = "".join(np.random.default_rng(8).choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 2000))
+    docs = spark.createDataFrame([(1, f"token = {key} end"), (2, "=" * 2000)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in pii.redact(docs).collect()} == {1: "token = [SECRET] end", 2: "=" * 2000}
+
+
 # license scans
 
 

@@ -35,7 +35,7 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "local_phone": r"(?<![0-9A-Za-z+(.-])(?<!\+[0-9]{1,3}[ -])(?<!\) )(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[ ./-][0-9]{2,6}){1,4}(?![0-9A-Za-z])",
     "hidden_email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(]?(?:at|AT|@)[\])]? ?[A-Za-z0-9-]{1,64}+ ?[\[(]?(?:dot|DOT|\.)[\])]? ?[A-Za-z]{2,12}(?![A-Za-z])",
-    "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,512}+(?![A-Za-z0-9_+/=-])",
+    "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+(?![A-Za-z0-9_+/=-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
 #: What a text must hold for a kind to be searched for: a cheap plain search first.
