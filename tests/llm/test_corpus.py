@@ -173,6 +173,39 @@ def test_cut_passages_keep_their_places(spark):
     assert got == {1: (f"Alone. {shared} End.", [(0, 7 + len(shared) + 5)]), 2: (" Other é end.", [(len(shared), len(shared) + 13)]), 3: (None, []), 4: ("", [])}
 
 
+def test_passages_wherever_they_start(spark):
+    """Words of repeated windows against brute force, and passages that whole sentences lose."""
+    rng = np.random.default_rng(9)
+    fresh = lambda n: [f"v{x}" for x in rng.integers(0, 10**9, n)]
+    shared, texts = [fresh(120) for _ in range(3)], {}
+    for i in range(24):
+        a, n = int(rng.integers(0, 30)), int(rng.integers(50, 91))
+        texts[i] = fresh(int(rng.integers(0, 40))) + shared[i % 3][a : a + n] + fresh(int(rng.integers(1, 40)))
+    texts[24] = texts[5]
+    first, want = {}, collections.defaultdict(set)
+    for i, w in sorted(texts.items()):
+        for k in range(len(w) - 49):
+            if (key := tuple(w[k : k + 50])) in first and first[key] != (i, k):
+                want[i] |= set(range(k, k + 50))
+            first.setdefault(key, (i, k))
+    want[24] = set(range(len(texts[24])))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(3)
+    got = collections.defaultdict(set)
+    for r in substring.repeats(docs, min_words=10**6).collect():
+        text = " ".join(texts[r.doc_id])
+        a = len(text[: r.start].split())
+        got[r.doc_id] |= set(range(a, a + len(text[r.start : r.end].split())))
+    assert {i: (sorted(want[i] - got[i]), sorted(got[i] - want[i])) for i in texts if got[i] != want[i]} == {} and len(want) > 5
+
+    short = "Go on. Stay there now. We saw it. All is well."
+    odd = "one two three four five.### six seven eight nine ten"
+    han = "".join(chr(0x4E00 + x) for x in range(20))
+    pairs = [(1, f"Alpha first. {short} Other end."), (2, f"Beta begins. {short} More of it."), (3, f"{odd}\nx"), (4, "one two three four five. six seven eight nine ten\ny"), (5, f"{han}\nz"), (6, f"{han}\nq"), (7, "Ha. " * 40)]
+    left = {r.doc_id: r.text for r in substring.without_repeats(spark.createDataFrame(pairs, "doc_id long, text string")).collect()}
+    assert {k: left[k] for k in (1, 3, 5)} == {k: t for k, t in pairs if k in (1, 3, 5)}
+    assert (left[2], left[4], left[6]) == ("Beta begins. More of it.", "y", "q") and left[7].split() == ["Ha."] * 8
+
+
 # chats
 
 

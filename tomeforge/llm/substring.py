@@ -1,17 +1,25 @@
-"""Substring dedup by hashing lines, cut at sentence ends.
+"""Substring dedup by hashing lines, sentences, runs of sentences, and windows of words.
 
-Texts are cut into units: lines, or by default their sentences, so a passage that starts
-within a line is found as well. Units are normalised, digests of those with enough words are
-grouped over all documents, the occurrence of the lowest rank stays, and the others are
-removed. Every unit keeps its place in its original text.
+Digests of passages with enough words are grouped over all documents, the occurrence of the
+lowest rank stays, and the others are removed. By default passages are lines, runs of sentences,
+and whatever of ``passages.WINDOW`` words or more is repeated, wherever it starts: of every such
+window one anchor is chosen by its words alone, so a repeated window has a repeated anchor, and
+only windows about those are hashed. Every passage keeps its place in its original text.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, own, with_value
+from .common import bounded_batches, checkpoint_folder, checkpointed, own, release, with_value
+from .passages import ANCHOR, WINDOW, Words
 
 #: Where units end: zero-width, so the units of a text add up to it.
 CUTS = {"line": r"(?<=\n)", "sentence": r"(?<=\n)|(?<=[.!?。！？])(?=[\x20\t])"}
@@ -43,15 +51,109 @@ def units(docs: DataFrame, id_col: str, text_col: str, unit: str, min_words: int
     return found.select("id", "start", "end", "n_words", F.xxhash64("norm").alias("d1"), F.xxhash64(F.lit(7), F.col("norm")).alias("d2"))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = 8) -> DataFrame:
+#: Kinds of rows of the first pass.
+UNIT, ANCHOR_ROW, TEXT = 0, 1, 2
+PLACES = ("word", "start", "end", "n_words", "d1", "d2", "whole")
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """Rows as a Parquet table in the shared folder, which is compressed, as a checkpoint is not."""
+    path = f"{checkpoint_folder(rows.sparkSession)}/passages-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def later(found: DataFrame) -> DataFrame:
+    """The rows of ``found`` whose digests stand at a lower (id, word) that does not overlap, with ``first``."""
+    first = found.groupBy("d1", "d2").agg(F.min(F.struct("id", "word", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    out = found.join(first.drop("n"), ["d1", "d2"])
+    return out.where(~F.col("id").eqNullSafe(F.col("first.id")) | (F.col("word") >= F.col("first.word") + F.col("n_words")))
+
+
+def repeated_passages(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """``repeats`` of lines, runs of sentences, and windows of words; repeated windows in a row are one passage."""
+    bounded_batches(docs.sparkSession)
+    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, kind int, word int, start int, end int, n_words int, d1 long, d2 long, whole long"
+
+    def table_of(ids: pa.Array, row: list[int], parts: list[tuple]) -> pa.RecordBatch:
+        """A batch of (kind, word, word's end, start, end, d1, d2, whole) by document."""
+        size = [len(p[1]) for p in parts]
+        join = lambda k, t: np.concatenate([np.asarray(p[k], t) for p in parts] or [np.zeros(0, t)])
+        spread = lambda x, t: np.repeat(np.array(x, t), size)
+        word, last = join(1, np.int32), join(2, np.int32)
+        columns = [ids.take(pa.array(spread(row, np.int64))), spread([p[0] for p in parts], np.int32), word, join(3, np.int32), join(4, np.int32), last - word, join(5, np.int64), join(6, np.int64), spread([p[7] for p in parts], np.int64)]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["id", "kind", *PLACES])
+
+    def ranged(w: Words, kind: int, a: np.ndarray, b: np.ndarray, whole: int, start=None, end=None) -> tuple:
+        return kind, a, b, w.start[a] if start is None else start, w.end[b - 1] if end is None else end, *w.digests(a, b), whole
+
+    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, parts = [], []
+            for i, x in enumerate(batch.column(1)):
+                w = Words(x.as_py())
+                if not w.n:
+                    continue
+                every = np.array([0]), np.array([w.n])
+                whole = int(w.digests(*every)[0][0])
+                a, b, start, end = w.units(min_words)
+                parts.append(ranged(w, UNIT, a, b, whole, start, end))
+                row.append(i)
+                if w.n >= WINDOW:
+                    at = w.anchors()
+                    parts += [ranged(w, ANCHOR_ROW, at, at + ANCHOR, whole), ranged(w, TEXT, *every, whole, np.array([0]), np.array([w.size]))]
+                    row += [i, i]
+            yield table_of(batch.column(0), row, parts)
+        release()
+
+    def window_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, parts = [], []
+            for i, (x, whole, at) in enumerate(zip(*batch.columns[1:])):
+                w = Words(x.as_py())
+                if w.n >= WINDOW and int(w.digests(np.array([0]), np.array([w.n]))[0][0]) == whole.as_py():
+                    a = w.windows(np.array(at.as_py(), np.int64))
+                    parts.append(ranged(w, UNIT, a, a + WINDOW, whole.as_py()))
+                    row.append(i)
+            yield table_of(batch.column(0), row, parts)
+        release()
+
+    found = stored(source.mapInArrow(first_pass, schema))
+    units = later(found.where(F.col("kind") == UNIT).drop("kind", "whole"))
+    copies = checkpointed(later(found.where(F.col("kind") == TEXT).drop("kind")))
+
+    # windows of copies of whole texts need no search: the copy is one passage
+    anchors = found.where(F.col("kind") == ANCHOR_ROW).select("id", "word", "d1", "whole")
+    anchors = anchors.join(copies.select(F.col("id").alias("c"), F.col("whole").alias("w")).distinct(), F.col("id").eqNullSafe(F.col("c")) & (F.col("whole") == F.col("w")), "left_anti")
+    again = anchors.groupBy("d1").agg(F.count("*").alias("times")).where("times > 1").select("d1")
+    near = anchors.join(again, "d1").groupBy(F.col("id").alias("n"), "whole").agg(F.collect_set("word").alias("at"))
+    near = source.join(near, F.col("id").eqNullSafe(F.col("n"))).select("id", "text", "whole", "at")
+    windows = later(stored(near.mapInArrow(window_pass, schema)).drop("kind"))
+    line = W.partitionBy("id", "whole", "first.id", F.col("word") - F.col("first.word")).orderBy("word")
+    new = F.coalesce(F.col("word") > F.lag("word").over(line) + WINDOW, F.lit(True)).cast("int")
+    windows = windows.withColumn("by", F.col("word") - F.col("first.word")).withColumn("new", new).withColumn("run", F.sum("new").over(line))
+    windows = windows.groupBy("id", "whole", F.col("first.id").alias("f"), "by", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("word") - F.min("word") + WINDOW).cast("int").alias("n_words"), F.min("first.start").alias("first_start")
+    )
+    out = units.unionByName(copies.drop("whole")).select("id", "start", "end", "n_words", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
+    out = out.unionByName(windows.select("id", "start", "end", "n_words", F.col("f").alias("first_id"), "first_start"))
+    return out.withColumnRenamed("id", id_col)
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "passage", min_words: int = 8) -> DataFrame:
     """One row per unit to remove: id, ``start``, ``end``, ``n_words``, ``first_id``, ``first_start``.
 
+    Rows may overlap: with ``unit`` "passage" lines, runs of sentences and windows are all listed.
     The unit that stays is the one of the lowest (id, start), nulls first. Units below
     ``min_words`` words are never removed, nor are null and empty texts. Rows of one id count
     as one document, so a repeated row removes nothing from itself. Extra columns are not
     read; an empty table gives an empty result. A digest that a third of all rows hold is
     pre-aggregated before the shuffle, and its join is split by adaptive execution.
     """
+    if unit == "passage":
+        return repeated_passages(docs, id_col, text_col, min_words)
     found = checkpointed(units(docs, id_col, text_col, unit, min_words))
     place = F.struct("id", "start")
     first = found.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
@@ -59,7 +161,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uni
     return out.select(F.col("id").alias(id_col), "start", "end", "n_words", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = 8) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "passage", min_words: int = 8) -> DataFrame:
     """``docs`` with repeated units cut from the text, and ``kept_spans``: (start, end) of what is left, in the original text."""
     spans, source = own("spans"), own("source")
     gone = repeats(docs, id_col, text_col, unit, min_words)
@@ -68,7 +170,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def add(a: Column, x: Column) -> Column:
         kept = F.when(x["start"] > a["at"], F.array(F.struct(a["at"].alias("start"), x["start"].alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
-        return F.struct(x["end"].alias("at"), F.concat(a["kept"], kept).alias("kept"))
+        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.concat(a["kept"], kept).alias("kept"))
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("kept"))
     tail = F.array(F.struct(F.length(text).alias("start"), F.length(text).alias("end")))
