@@ -13,6 +13,7 @@ number, so no sequence needs padding.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,31 +27,26 @@ from .common import bounded_batches, release
 from .tokencount import Cut
 
 
-class Encoder:
-    """Token ids by the tokenizers library, which is asked once for each distinct piece while it is remembered.
+class Memory:
+    """Pieces and their token ids.
 
     Pieces of up to 16 bytes are found many at a time, by their bytes as two numbers, in a
-    table with open addressing; longer ones in a dictionary. Both start anew when they hold
-    ``most`` pieces.
+    table with open addressing; longer ones in a dictionary.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.most = most
-        self._clear()
-
-    def _clear(self) -> None:
-        self.bits, self.pieces, self.length = 16, 0, 0
-        self.low, self.high = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint64)
-        self.size, self.entry = np.zeros(1 << self.bits, np.int8), np.zeros(1 << self.bits, np.int32)
+    def __init__(self):
+        self.pieces, self.length = 0, 0
+        self._table(16)
         self.long: dict[bytes, int] = {}
         self.first, self.number = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.pool = np.zeros(1 << 16, np.uint32)
 
-    def _slots(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def _table(self, bits: int) -> None:
+        self.bits = bits
+        self.low, self.high = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.size, self.entry = np.zeros(1 << bits, np.int8), np.zeros(1 << bits, np.int32)
+
+    def slots(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Each piece's place in the table, or the free place where it belongs."""
         mixed = (low ^ (high * np.uint64(0xC2B2AE3D27D4EB4F)) ^ size.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -65,42 +61,69 @@ class Encoder:
                 return slot
             slot[odd] = (slot[odd] + 1) & (len(self.size) - 1)
 
-    def _insert(self, low: np.ndarray, high: np.ndarray, size: np.ndarray, entry: np.ndarray) -> None:
+    def insert(self, low: np.ndarray, high: np.ndarray, size: np.ndarray, entry: np.ndarray) -> None:
         if 2 * self.pieces > len(self.size):
             kept = self.size > 0
             low, high, size, entry = (np.concatenate((a[kept], b)) for a, b in ((self.low, low), (self.high, high), (self.size, size), (self.entry, entry)))
-            self.bits = int(4 * self.pieces - 1).bit_length()
-            self.low, self.high = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint64)
-            self.size, self.entry = np.zeros(1 << self.bits, np.int8), np.zeros(1 << self.bits, np.int32)
+            self._table(int(4 * self.pieces - 1).bit_length())
         while len(low):
-            slot = self._slots(low, high, size)
+            slot = self.slots(low, high, size)
             _, one = np.unique(slot, return_index=True)  # two new pieces may want one place
             at = slot[one]
             self.low[at], self.high[at], self.size[at], self.entry[at] = low[one], high[one], size[one], entry[one]
             low, high, size, entry = (np.delete(x, one) for x in (low, high, size, entry))
 
-    def _learn(self, pieces: list[bytes]) -> np.ndarray:
-        """Ask the library for pieces not known; their new entries."""
-        found = [e.ids for e in self.library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
-        return self._store(found)
-
-    def _store(self, found: list[list[int]]) -> np.ndarray:
-        count = np.fromiter(map(len, found), np.int32, len(found))
-        ids = np.fromiter((i for f in found for i in f), np.uint32, int(count.sum()))
-        new = np.arange(self.pieces, self.pieces + len(found), dtype=np.int32)
-        while self.pieces + len(found) > len(self.first):
+    def store(self, count: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The entries of new pieces, of so many ids each."""
+        new = np.arange(self.pieces, self.pieces + len(count), dtype=np.int32)
+        while self.pieces + len(count) > len(self.first):
             self.first, self.number = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.number))
         while self.length + len(ids) > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
         self.first[new], self.number[new] = self.length + np.cumsum(count) - count, count
         self.pool[self.length : self.length + len(ids)] = ids
-        self.pieces, self.length = self.pieces + len(found), self.length + len(ids)
+        self.pieces, self.length = self.pieces + len(count), self.length + len(ids)
         return new
 
+    def ids(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each entry has, and all of them in a row."""
+        count = self.number[entry].astype(np.int64)
+        ends = np.cumsum(count)
+        return count, self.pool[np.repeat(self.first[entry] - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+class Encoder:
+    """Token ids by the tokenizers library, which is asked once for each distinct piece while it is remembered.
+
+    Pieces live in two memories of ``most`` / 2 each. When the young one is full it becomes the
+    old one, and what is still in use moves over from there.
+    """
+
+    def __init__(self, path: str, most: int):
+        # a task has one core; the library's own threads would only take those of other tasks
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.most = most
+        self.young, self.old = Memory(), Memory()
+
+    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+        """Ask the library for pieces that neither memory has; their new entries."""
+        found = [e.ids for e in self.library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        count = np.fromiter(map(len, found), np.int32, len(found))
+        return self.young.store(count, np.fromiter((i for f in found for i in f), np.uint32, int(count.sum())))
+
+    def _recall(self, entry: np.ndarray) -> np.ndarray:
+        """Entries of the old memory, each once, as new entries of the young one."""
+        return self.young.store(*self.old.ids(entry))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit numbers."""
-        if self.pieces > self.most:
-            self._clear()
+        if 2 * self.young.pieces > self.most:
+            self.young, self.old = Memory(), self.young
+        young, old = self.young, self.old
         cut = Cut(texts, sorted(self.added, key=len, reverse=True))
         raw = cut.raw + bytes(16)
         eight = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))  # the eight bytes from each place on
@@ -110,36 +133,53 @@ class Encoder:
         entry = np.full(len(n), -1, np.int64)
         short = np.flatnonzero(n <= 16)
         size = n.astype(np.int8, casting="unsafe")
-        slot = self._slots(low[short], high[short], size[short])
-        known = self.size[slot] > 0
-        entry[short[known]] = self.entry[slot[known]]
         start, stop = cut.start, cut.stop
-        missed = short[~known]
+
+        def known(memory: Memory, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Entries of those pieces that a memory has, and whether it has each."""
+            slot = memory.slots(low[which], high[which], size[which])
+            has = memory.size[slot] > 0
+            return memory.entry[slot[has]], has
+
+        def place(which: np.ndarray, number: np.ndarray, made: np.ndarray) -> None:
+            """Give pieces the new entries, by number, and remember one of each."""
+            entry[which] = made[number]
+            one = which[np.unique(number, return_index=True)[1]]
+            young.insert(low[one], high[one], size[one], made)
+
+        at, has = known(young, short)
+        entry[short[has]] = at
+        missed = short[~has]
+        if old.pieces and len(missed):
+            at, has = known(old, missed)
+            if len(at):
+                again, number = np.unique(at, return_inverse=True)
+                place(missed[has], number, self._recall(again))
+                missed = missed[~has]
         new: dict[bytes, int] = {}
         number = [new.setdefault(raw[start[i] : stop[i]], len(new)) for i in missed.tolist()]
         if new:
-            made = self._learn(list(new))
-            entry[missed] = made[number]
-            one = missed[np.unique(number, return_index=True)[1]]
-            self._insert(low[one], high[one], size[one], made)
+            place(missed, np.array(number), self._learn(list(new)))
         rest = np.flatnonzero(n > 16).tolist()
         long = [raw[start[i] : stop[i]] for i in rest]
-        if new := list({p for p in long if p not in self.long}):
-            self.long.update(zip(new, self._learn(new).tolist()))
-        entry[rest] = [self.long[p] for p in long]
+        unknown = {p for p in long if p not in young.long}
+        if again := [p for p in unknown if p in old.long]:
+            young.long.update(zip(again, self._recall(np.array([old.long[p] for p in again])).tolist()))
+        if new := [p for p in unknown if p not in old.long]:
+            young.long.update(zip(new, self._learn(new).tolist()))
+        entry[rest] = [young.long[p] for p in long]
         for i, text in cut.special.items():
-            entry[i] = self._store([[self.added[text]]])[0]
-        count = self.number[entry].astype(np.int64)
-        count[cut.void] = 0
-        ends = np.cumsum(count)
-        ids = self.pool[np.repeat(self.first[entry] - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        at = np.concatenate(([0], ends))[cut.first].tolist()
+            entry[i] = young.store(np.ones(1, np.int32), np.array([self.added[text]], np.uint32))[0]
+        if cut.void:
+            entry[cut.void] = young.store(np.zeros(1, np.int32), np.zeros(0, np.uint32))[0]
+        count, ids = young.ids(entry)
+        at = np.concatenate(([0], np.cumsum(count)))[cut.first].tolist()
         return [ids[a:b] for a, b in zip(at, at[1:])]
 
 
-@lru_cache(2)
-def encoder_for(path: str) -> Encoder:
-    return Encoder(path)
+@lru_cache(1)
+def encoder_for(path: str, most: int) -> Encoder:
+    return Encoder(path, most)
 
 
 def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
@@ -167,20 +207,23 @@ def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float)
     return out
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 1024, linear: float = 1.0, quadratic: float = 1 / 1024, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, block_tokens: int = 1 << 20, at_once: int = 1 << 18) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 1024, linear: float = 1.0, quadratic: float = 1 / 1024, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, block_tokens: int = 1 << 20, at_once: int = 1 << 18, remembered: int = 1_000_000) -> DataFrame:
     """One row per piece: id, ``start``, ``length``, ``ids`` (little-endian unsigned 32-bit), ``doc_tokens``, ``sequence_id``, ``offset``.
 
     A document's ids are the library's for its whole text, then ``end_id``; null and empty
     texts are just that. Each id is in exactly one piece. Sequences hold at most ``capacity``
     (a power of two) and are full, or as long as a power of two. Repeated rows are packed each
     for itself; null ids pass. Extra columns are not read. An empty table gives an empty
-    result. A sequence's number holds its partition's, so reruns over the same splits agree.
+    result. Documents of equal cost are placed as they come, and of sequences of equal cost the
+    first is taken. A sequence's number holds its partition's, so reruns over the same splits
+    agree. A Python worker remembers the ids of up to ``remembered`` pieces of text, about 100
+    bytes each.
     """
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
-        encoder, end = encoder_for(path), np.array([end_id], "<u4")
+        encoder, end = encoder_for(path, remembered), np.array([end_id], "<u4")
         names, coded, tokens, texts, size = [], [], 0, [], 0
 
         def settle() -> int:
