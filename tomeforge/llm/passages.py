@@ -108,22 +108,22 @@ class Words:
         n = (b - a).astype(np.uint64)
         return [mixed((s[b] - s[a]) * u[a] + n).view(np.int64) for s, u in zip(self.sums, self.unshift)]
 
-    def units(self, least: int) -> tuple[np.ndarray, ...]:
-        """(first word, last word's end, start, end) of lines and of runs of sentences, ``least`` words or more.
+    def units(self, least: int, sentences: bool) -> tuple[np.ndarray, ...]:
+        """(first word, last word's end, start, end) of lines, and if asked of runs of sentences, ``least`` words or more.
 
         A run is the shortest from its first sentence, or to its last, that has enough words:
         together they cover every run of sentences that is repeated as a whole.
         """
         out = []
         word, place, is_line = self.cuts
-        for some in (is_line, np.ones(len(word), bool)):
+        for runs, some in ((False, is_line), (True, np.ones(len(word), bool)))[: 1 + sentences]:
             w, p = np.concatenate(([0], word[some], [self.n])), np.concatenate(([0], place[some], [self.size]))
             # units without words join the one before
             keep = np.concatenate(([True], w[1:] != w[:-1]))
             w, p = w[keep], p[keep]
             if len(w) < 2:
                 continue
-            if some is is_line:
+            if not runs:
                 i, j = np.arange(len(w) - 1), np.arange(1, len(w))
                 good = w[j] - w[i] >= least
                 i, j = i[good], j[good]

@@ -4,7 +4,7 @@ Digests of passages with enough words are grouped over all documents, the occurr
 lowest rank stays, and the others are removed. By default passages are lines, runs of sentences,
 and whatever of ``passages.WINDOW`` words or more is repeated, wherever it starts: of every such
 window one anchor is chosen by its words alone, so a repeated window has a repeated anchor, and
-only windows about those are hashed. Every passage keeps its place in its original text.
+only windows about those are hashed, and not those of whole copies. Every passage keeps its place in its original text.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,9 +52,8 @@ def units(docs: DataFrame, id_col: str, text_col: str, unit: str, min_words: int
     return found.select("id", "start", "end", "n_words", F.xxhash64("norm").alias("d1"), F.xxhash64(F.lit(7), F.col("norm")).alias("d2"))
 
 
-#: Kinds of rows of the first pass.
-UNIT, ANCHOR_ROW, TEXT = 0, 1, 2
-PLACES = ("word", "start", "end", "n_words", "d1", "d2", "whole")
+#: Values of the filter that spares the shuffle of texts without candidates: a row each, so it is broadcast safely.
+MARKS = 1 << 18
 
 
 def stored(rows: DataFrame) -> DataFrame:
@@ -64,96 +64,119 @@ def stored(rows: DataFrame) -> DataFrame:
 
 
 def later(found: DataFrame) -> DataFrame:
-    """The rows of ``found`` whose digests stand at a lower (id, word) that does not overlap, with ``first``."""
+    """The rows of ``found`` whose digests stand at a lower (id, word) that does not overlap, with ``first``.
+
+    A digest that very many rows have is aggregated before the shuffle; the join back is dealt anew by adaptive execution.
+    """
     first = found.groupBy("d1", "d2").agg(F.min(F.struct("id", "word", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
     out = found.join(first.drop("n"), ["d1", "d2"])
     return out.where(~F.col("id").eqNullSafe(F.col("first.id")) | (F.col("word") >= F.col("first.word") + F.col("n_words")))
 
 
-def repeated_passages(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """``repeats`` of lines, runs of sentences, and windows of words; repeated windows in a row are one passage."""
+def ranges(w: Words, a: np.ndarray, b: np.ndarray, start=None, end=None) -> dict[str, np.ndarray]:
+    """The places and digests of ranges of a text's words."""
+    d1, d2 = w.digests(a, b)
+    return {"word": a, "start": w.start[a] if start is None else start, "end": w.end[b - 1] if end is None else end, "n_words": b - a, "d1": d1, "d2": d2}
+
+
+def listed(parts: list[dict[str, np.ndarray]], fields: dict[str, pa.DataType]) -> pa.ListArray:
+    """A list of structs for each of ``parts``."""
+    columns = [pa.array(np.concatenate([p[f] for p in parts]).astype(t.to_pandas_dtype()), t) if parts else pa.array([], t) for f, t in fields.items()]
+    size = [len(next(iter(p.values()))) for p in parts]
+    return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(size))).astype(np.int32), pa.StructArray.from_arrays(columns, list(fields)))
+
+
+UNIT = dict.fromkeys(("word", "start", "end", "n_words"), pa.int32()) | dict.fromkeys(("d1", "d2"), pa.int64())
+WINDOW_ROW = {k: UNIT[k] for k in ("word", "start", "end", "d1", "d2")}
+ANCHOR_ROW = {"word": pa.int32(), "d": pa.int64()}
+
+
+def named(fields: dict[str, pa.DataType]) -> str:
+    return "array<struct<" + ",".join(f"{f}:{'int' if t == pa.int32() else 'long'}" for f, t in fields.items()) + ">>"
+
+
+def repeated_passages(docs: DataFrame, id_col: str, text_col: str, sentences: bool, min_words: int) -> DataFrame:
+    """``repeats`` of lines, of runs of sentences if asked, and of windows; repeated windows in a row are one passage."""
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, kind int, word int, start int, end int, n_words int, d1 long, d2 long, whole long"
-
-    def table_of(ids: pa.Array, row: list[int], parts: list[tuple]) -> pa.RecordBatch:
-        """A batch of (kind, word, word's end, start, end, d1, d2, whole) by document."""
-        size = [len(p[1]) for p in parts]
-        join = lambda k, t: np.concatenate([np.asarray(p[k], t) for p in parts] or [np.zeros(0, t)])
-        spread = lambda x, t: np.repeat(np.array(x, t), size)
-        word, last = join(1, np.int32), join(2, np.int32)
-        columns = [ids.take(pa.array(spread(row, np.int64))), spread([p[0] for p in parts], np.int32), word, join(3, np.int32), join(4, np.int32), last - word, join(5, np.int64), join(6, np.int64), spread([p[7] for p in parts], np.int64)]
-        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["id", "kind", *PLACES])
-
-    def ranged(w: Words, kind: int, a: np.ndarray, b: np.ndarray, whole: int, start=None, end=None) -> tuple:
-        return kind, a, b, w.start[a] if start is None else start, w.end[b - 1] if end is None else end, *w.digests(a, b), whole
+    whole_text = lambda w: (np.array([0]), np.array([w.n]))
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, parts = [], []
+            row, n, size, wholes, units, anchors = [], [], [], [], [], []
             for i, x in enumerate(batch.column(1)):
-                w = Words(x.as_py())
-                if not w.n:
+                if not (w := Words(x.as_py())).n:
                     continue
-                every = np.array([0]), np.array([w.n])
-                whole = int(w.digests(*every)[0][0])
-                a, b, start, end = w.units(min_words)
-                parts.append(ranged(w, UNIT, a, b, whole, start, end))
                 row.append(i)
-                if w.n >= WINDOW:
-                    at = w.anchors()
-                    parts += [ranged(w, ANCHOR_ROW, at, at + ANCHOR, whole), ranged(w, TEXT, *every, whole, np.array([0]), np.array([w.size]))]
-                    row += [i, i]
-            yield table_of(batch.column(0), row, parts)
+                n.append(w.n)
+                size.append(w.size)
+                wholes.append([int(d[0]) for d in w.digests(*whole_text(w))])
+                units.append(ranges(w, *w.units(min_words, sentences)))
+                at = w.anchors()
+                anchors.append({"word": at, "d": w.digests(at, at + ANCHOR)[0]})
+            d1, d2 = (pa.array([d[k] for d in wholes], pa.int64()) for k in (0, 1))
+            columns = [batch.column(0).take(pa.array(row, pa.int64())), d1, d2, pa.array(n, pa.int32()), pa.array(size, pa.int32()), listed(units, UNIT), listed(anchors, ANCHOR_ROW)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "d1", "d2", "n_words", "end", "units", "anchors"])
         release()
 
     def window_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, parts = [], []
-            for i, (x, whole, at) in enumerate(zip(*batch.columns[1:])):
+            rows, windows = [], []
+            for i, (x, d1, at) in enumerate(zip(*batch.columns[2:])):
                 w = Words(x.as_py())
-                if w.n >= WINDOW and int(w.digests(np.array([0]), np.array([w.n]))[0][0]) == whole.as_py():
+                if w.n >= WINDOW and int(w.digests(*whole_text(w))[0][0]) == d1.as_py():
                     a = w.windows(np.array(at.as_py(), np.int64))
-                    parts.append(ranged(w, UNIT, a, a + WINDOW, whole.as_py()))
-                    row.append(i)
-            yield table_of(batch.column(0), row, parts)
+                    rows.append(i)
+                    windows.append(ranges(w, a, a + WINDOW))
+            found, rows = listed(windows, WINDOW_ROW), pa.array(rows, pa.int64())
+            rows = rows.take(pc.list_parent_indices(found))
+            names = list(WINDOW_ROW)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *found.flatten().flatten()], names=["row", "id", *names])
         release()
 
-    found = stored(source.mapInArrow(first_pass, schema))
-    units = later(found.where(F.col("kind") == UNIT).drop("kind", "whole"))
-    copies = checkpointed(later(found.where(F.col("kind") == TEXT).drop("kind")))
+    found = source.mapInArrow(first_pass, f"id {kind}, d1 long, d2 long, n_words int, end int, units {named(UNIT)}, anchors {named(ANCHOR_ROW)}")
+    found = stored(found.withColumn("row", F.monotonically_increasing_id()))
+    places = ("id", "start", "end", "n_words", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
+    units = later(found.select("id", F.explode("units").alias("u")).select("id", "u.*")).select(*places)
+    wholes = found.where(F.col("n_words") >= min(min_words, WINDOW)).select("row", "id", "d1", "d2", "n_words", "end", F.lit(0).alias("word"), F.lit(0).alias("start"))
+    copies = checkpointed(later(wholes))
 
     # windows of copies of whole texts need no search: the copy is one passage
-    anchors = found.where(F.col("kind") == ANCHOR_ROW).select("id", "word", "d1", "whole")
-    anchors = anchors.join(copies.select(F.col("id").alias("c"), F.col("whole").alias("w")).distinct(), F.col("id").eqNullSafe(F.col("c")) & (F.col("whole") == F.col("w")), "left_anti")
-    again = anchors.groupBy("d1").agg(F.count("*").alias("times")).where("times > 1").select("d1")
-    near = anchors.join(again, "d1").groupBy(F.col("id").alias("n"), "whole").agg(F.collect_set("word").alias("at"))
-    near = source.join(near, F.col("id").eqNullSafe(F.col("n"))).select("id", "text", "whole", "at")
-    windows = later(stored(near.mapInArrow(window_pass, schema)).drop("kind"))
-    line = W.partitionBy("id", "whole", "first.id", F.col("word") - F.col("first.word")).orderBy("word")
+    originals = found.where(F.size("anchors") > 0).select("row", "anchors").join(copies.select("row"), "row", "left_anti")
+    anchors = originals.select("row", F.explode("anchors").alias("a")).select("row", F.col("a.word").alias("word"), F.col("a.d").alias("d"))
+    again = anchors.groupBy("d").agg(F.count("*").alias("times")).where("times > 1").select("d")
+    near = anchors.join(again, "d").groupBy("row").agg(F.collect_list("word").alias("at"))
+    near = checkpointed(found.select("row", F.col("id").alias("n"), "d1").join(near, "row"))
+    mark = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(MARKS))
+    maybe = source.withColumn("mark", mark("id")).join(F.broadcast(near.select(mark("n").alias("mark")).distinct()), "mark", "left_semi")
+    texts = maybe.join(near, F.col("id").eqNullSafe(F.col("n"))).select("row", "id", "text", "d1", "at")
+    schema = f"row long, id {kind}, word int, start int, end int, d1 long, d2 long"
+    windows = later(texts.mapInArrow(window_pass, schema).withColumn("n_words", F.lit(WINDOW)))
+    windows = windows.withColumn("by", F.col("word") - F.col("first.word"))
+    line = W.partitionBy("row", "first.id", "by").orderBy("word")
     new = F.coalesce(F.col("word") > F.lag("word").over(line) + WINDOW, F.lit(True)).cast("int")
-    windows = windows.withColumn("by", F.col("word") - F.col("first.word")).withColumn("new", new).withColumn("run", F.sum("new").over(line))
-    windows = windows.groupBy("id", "whole", F.col("first.id").alias("f"), "by", "run").agg(
+    windows = windows.withColumn("new", new).withColumn("run", F.sum("new").over(line))
+    windows = windows.groupBy("row", "id", F.col("first.id").alias("first_id"), "by", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), (F.max("word") - F.min("word") + WINDOW).cast("int").alias("n_words"), F.min("first.start").alias("first_start")
     )
-    out = units.unionByName(copies.drop("whole")).select("id", "start", "end", "n_words", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
-    out = out.unionByName(windows.select("id", "start", "end", "n_words", F.col("f").alias("first_id"), "first_start"))
+    out = units.unionByName(copies.select(*places)).unionByName(windows.select("id", "start", "end", "n_words", "first_id", "first_start"))
     return out.withColumnRenamed("id", id_col)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "passage", min_words: int = 8) -> DataFrame:
     """One row per unit to remove: id, ``start``, ``end``, ``n_words``, ``first_id``, ``first_start``.
 
-    Rows may overlap: with ``unit`` "passage" lines, runs of sentences and windows are all listed.
+    ``unit`` is "line", "sentence", "line_or_window" (lines, and windows of words wherever they
+    start) or "passage" (runs of sentences as well); the rows of the last two may overlap.
     The unit that stays is the one of the lowest (id, start), nulls first. Units below
     ``min_words`` words are never removed, nor are null and empty texts. Rows of one id count
     as one document, so a repeated row removes nothing from itself. Extra columns are not
     read; an empty table gives an empty result. A digest that a third of all rows hold is
     pre-aggregated before the shuffle, and its join is split by adaptive execution.
     """
-    if unit == "passage":
-        return repeated_passages(docs, id_col, text_col, min_words)
+    if unit in ("passage", "line_or_window"):
+        return repeated_passages(docs, id_col, text_col, unit == "passage", min_words)
     found = checkpointed(units(docs, id_col, text_col, unit, min_words))
     place = F.struct("id", "start")
     first = found.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
