@@ -206,6 +206,57 @@ def test_passages_wherever_they_start(spark):
     assert (left[2], left[4], left[6]) == ("Beta begins. More of it.", "y", "q") and left[7].split() == ["Ha."] * 8
 
 
+def plain_words(text):
+    """(word, start, end) of a text: runs of letters and digits and of other signs beyond ASCII; Han characters one by one."""
+    pattern = "[\u4e00-\u9fff]|[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f\x85\xa0\u2000-\u200b\u2028\u2029\u3000\u4e00-\u9fff]+"
+    return [(m[0].lower(), m.start(), m.end()) for m in re.finditer(pattern, text or "")]
+
+
+@pytest.mark.parametrize("most", [4096, 3])
+def test_lines_and_windows_by_brute_force(spark, edge, sf, most):
+    """Words in repeated lines of 25 words, in whole copies, and in repeated windows of 50, also where all anchors are hot."""
+    rng = np.random.default_rng(12)
+    fresh = lambda n: [f"q{x}" for x in rng.integers(0, 10**9, n)]
+    shared = fresh(90)
+    made = [(5000 + i, " ".join(fresh(i) + shared[i % 7 : 60 + i % 20] + fresh(9))) for i in range(12)]
+    long = [f"{'z' * 40000}{k}" for k in range(3)]
+    made += [(6000 + i, " ".join(fresh(i + 1) + long + shared[:20] + long + shared[20:60] + fresh(3))) for i in range(3)]
+    made += [(7000, "\n".join([" ".join(shared)] * 3)), (7001, "x\n" + " ".join(shared[:30]) + "\ny"), (7002, "w\n" + " ".join(shared[:30]).upper() + "!\nz")]
+    docs = edge.select("doc_id", "text").unionByName(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    docs = docs.unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    rows = sorted((tuple(r) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
+    cut = [plain_words(t) for _, t in rows]
+    units = collections.defaultdict(list)
+    for k, ((i, t), w) in enumerate(zip(rows, cut)):
+        words, starts = [x for x, *_ in w], [a for _, a, _ in w]
+        ranges = {(0, len(w))} if len(w) >= 25 else set()
+        ends = [np.searchsorted(starts, m.end()) for m in re.finditer("\n", t or "")]
+        ranges |= {(a, b) for a, b in zip([0, *ends], [*ends, len(w)]) if b - a >= 25} | {(a, a + 50) for a in range(len(w) - 49)}
+        for a, b in ranges:
+            units[tuple(words[a:b]), b - a == 50].append((i is not None, i or 0, a, k))
+    want = collections.defaultdict(set)
+    for (words, _), places in units.items():
+        first = min(places)
+        for some, i, a, k in places:
+            if (some, i) != first[:2] or a >= first[2] + len(words):
+                want[rows[k]] |= {(cut[k][j][1], cut[k][j][2]) for j in range(a, a + len(words))}
+    got = collections.defaultdict(set)
+    found = substring.repeated_passages(docs, "doc_id", "text", False, 25, most).collect()
+    ids = collections.Counter(i for i, _ in set(rows))
+    words_of = {row[0]: (row, w) for row, w in zip(rows, cut) if ids[row[0]] == 1}
+    for r in found:
+        if r.doc_id in words_of:
+            row, w = words_of[r.doc_id]
+            inside = [(a, b) for _, a, b in w if a >= r.start and b <= r.end]
+            assert len(inside) == r.n_words
+            got[row] |= set(inside)
+    for row, _ in words_of.values():
+        assert got[row] == want[row], row[0]
+    assert len(found) < 2000  # a text of one word over and over is one passage
+    assert sum(map(len, want.values())) > 5000
+    assert queries.op2_substring(spark, sf).columns == ["doc_id", "start", "end", "n_words", "first_id", "first_start"]
+
+
 # chats
 
 

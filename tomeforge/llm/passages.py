@@ -137,19 +137,14 @@ class Words:
             out.append(np.stack((w[i], w[j], p[i], p[j])))
         return np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((4, 0), np.int64)
 
-    def anchors(self) -> np.ndarray:
-        """The first word of chosen ranges of ``ANCHOR`` words: of every ``SPREAD`` in a row the one of the smallest digest."""
+    def chosen(self) -> np.ndarray:
+        """For each range of ``WINDOW`` words its anchor: the first word of that one of its ranges of ``ANCHOR`` words whose digest is least."""
         if self.n < WINDOW:
             return np.zeros(0, np.int64)
         at = np.arange(self.n - ANCHOR + 1)
-        rank = self.digests(at, at + ANCHOR)[0]
-        seen = np.lib.stride_tricks.sliding_window_view(rank, SPREAD)
-        return np.unique(seen.argmin(1) + np.arange(len(seen)))
-
-    def windows(self, anchors: np.ndarray) -> np.ndarray:
-        """The first word of each range of ``WINDOW`` words with one of these anchors in it."""
-        hit = np.zeros(self.n + 1, np.int64)
-        last = self.n - WINDOW
-        np.add.at(hit, np.clip(anchors - SPREAD + 1, 0, last), 1)
-        np.add.at(hit, np.minimum(anchors, last) + 1, -1)
-        return np.flatnonzero(np.cumsum(hit)[: last + 1] > 0)
+        seen = np.lib.stride_tricks.sliding_window_view(self.digests(at, at + ANCHOR)[0], SPREAD)
+        return seen.argmin(1) + np.arange(len(seen))
+
+    def anchors(self) -> np.ndarray:
+        """The first words of all anchors."""
+        return np.unique(self.chosen())

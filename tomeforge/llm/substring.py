@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpoint_folder, checkpointed, own, release, with_value
+from .common import bounded_batches, checkpoint_folder, checkpointed, own, release, runs, with_value
 from .passages import ANCHOR, WINDOW, Words
 
 #: Where units end: zero-width, so the units of a text add up to it.
@@ -87,7 +87,6 @@ def listed(parts: list[dict[str, np.ndarray]], fields: dict[str, pa.DataType]) -
 
 
 UNIT = dict.fromkeys(("word", "start", "end", "n_words"), pa.int32()) | dict.fromkeys(("d1", "d2"), pa.int64())
-WINDOW_ROW = {k: UNIT[k] for k in ("word", "start", "end", "d1", "d2")}
 ANCHOR_ROW = {"word": pa.int32(), "d": pa.int64()}
 
 
@@ -95,8 +94,83 @@ def named(fields: dict[str, pa.DataType]) -> str:
     return "array<struct<" + ",".join(f"{f}:{'int' if t == pa.int32() else 'long'}" for f, t in fields.items()) + ">>"
 
 
-def repeated_passages(docs: DataFrame, id_col: str, text_col: str, sentences: bool, min_words: int) -> DataFrame:
-    """``repeats`` of lines, of runs of sentences if asked, and of windows; repeated windows in a row are one passage."""
+def own_windows(w: Words, at: np.ndarray, hot: np.ndarray) -> dict[str, np.ndarray]:
+    """The windows of the anchors ``at``, each window with its one anchor, in lists of windows in a row.
+
+    A list has an anchor's digest ``d`` and its windows' own; places are the first window's, and differences of 16 bits to it.
+    """
+    chosen = w.chosen()
+    first = np.flatnonzero(np.isin(chosen, at))
+    start, end = w.start[first], w.end[first + WINDOW - 1]
+    new = np.concatenate(([True], chosen[first][1:] != chosen[first][:-1]))[: len(first)]
+    head = np.maximum.accumulate(np.where(new, np.arange(len(first)), 0))
+    # where words are so long that differences do not fit, windows are lists of their own
+    new |= np.maximum(start - start[head], end - end[head]) >= 1 << 15
+    far = np.maximum.accumulate(np.where(new, np.arange(len(first)), 0))
+    lists = np.flatnonzero(new)
+    anchor = chosen[first[lists]]
+    return {
+        "d": w.digests(anchor, anchor + ANCHOR)[0], "hot": hot[np.searchsorted(at, anchor)], "word": first[lists], "start": start[lists], "end": end[lists],
+        "size": np.diff(np.append(lists, len(first))), "digest": w.digests(first, first + WINDOW)[0], "starts": start - start[far], "ends": end - end[far],
+    }
+
+
+LISTS = ("digest", "starts", "ends")
+OF_ANCHOR = {"d": pa.int64(), "hot": pa.bool_(), "word": pa.int32(), "start": pa.int32(), "end": pa.int32(), "digest": pa.int64(), "starts": pa.int16(), "ends": pa.int16()}
+
+
+def first_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of lists of windows sorted by anchor, id and word: runs of windows that stand earlier as well, with where they do."""
+    for t in runs(batches, ["d"]):
+        size = pc.list_value_length(t.column("digest")).to_numpy()
+        flat = {c: pc.list_flatten(t.column(c)).to_numpy() for c in LISTS}
+        n = int(size.sum())
+        of = np.repeat(np.arange(len(size)), size)
+        nth = np.arange(n) - np.repeat(np.cumsum(size) - size, size)
+        word = t.column("word").to_numpy()[of] + nth
+        start, end = t.column("start").to_numpy()[of] + flat["starts"], t.column("end").to_numpy()[of] + flat["ends"]
+        ids = t.column("id").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()[of]
+        d = t.column("d").to_numpy()[of]
+        order = np.lexsort((flat["digest"], d))  # stable: of equal windows the earliest comes first
+        new = np.concatenate(([True], (d[order][1:] != d[order][:-1]) | (flat["digest"][order][1:] != flat["digest"][order][:-1])))[:n]
+        first = np.empty(n, np.int64)
+        first[order] = order[np.maximum.accumulate(np.where(new, np.arange(n), 0))]
+        again = np.flatnonzero((ids != ids[first]) | (word >= word[first] + WINDOW))
+        if not len(again):
+            continue
+        to = first[again]
+        follows = (np.diff(again) == 1) & (np.diff(to) == 1) & (of[again][1:] == of[again][:-1]) & (of[to][1:] == of[to][:-1])
+        head = np.flatnonzero(np.concatenate(([True], ~follows)))
+        tail = np.append(head[1:], len(again)) - 1
+        a, b, x = again[head], again[tail], to[head]
+        take = lambda c, i: t.column(c).combine_chunks().take(pa.array(of[i]))
+        numbers = [pa.array(v.astype(np.int32)) for v in (word[a], word[b], start[a], end[b], word[x], start[x])]
+        yield pa.RecordBatch.from_arrays([take("row", a), take("id", a), take("id", x), *numbers], names=["row", "id", "first_id", "word", "last", "start", "end", "first_word", "first_start"])
+
+
+def repeated_windows(lists: DataFrame, kind: str) -> DataFrame:
+    """Ranges of windows that stand earlier as well, from rows of ``own_windows``; ranges that overlap at one distance, or in one text, are one.
+
+    An anchor's windows meet in one task, but for those that are hot: they are compared one by one.
+    """
+    cold = lists.where("not hot").drop("hot").repartition("d").sortWithinPartitions("d", "id", "word", "row")
+    cold = cold.mapInArrow(first_windows, f"row long, id {kind}, first_id {kind}, word int, last int, start int, end int, first_word int, first_start int")
+    each = F.explode(F.arrays_zip(*LISTS, F.sequence(F.lit(0), F.size("digest") - 1).alias("nth"))).alias("x")
+    hot = lists.where("hot").select("row", "id", F.col("d").alias("d1"), "word", "start", "end", each)
+    hot = hot.select("row", "id", "d1", F.col("x.digest").alias("d2"), (F.col("word") + F.col("x.nth")).alias("word"), (F.col("start") + F.col("x.starts")).alias("start"), (F.col("end") + F.col("x.ends")).alias("end"), F.lit(WINDOW).alias("n_words"))
+    hot = later(hot).select("row", "id", F.col("first.id").alias("first_id"), "word", F.col("word").alias("last"), "start", "end", F.col("first.word").alias("first_word"), F.col("first.start").alias("first_start"))
+    by = F.when(~F.col("id").eqNullSafe(F.col("first_id")), F.col("word") - F.col("first_word")).otherwise(0)
+    found = cold.unionByName(hot).withColumn("by", by)
+    line = W.partitionBy("row", "first_id", "by").orderBy("word")
+    before = F.max("last").over(line.rowsBetween(W.unboundedPreceding, -1))
+    found = found.withColumn("new", F.coalesce(F.col("word") > before + WINDOW, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(line))
+    return found.groupBy("row", "id", "first_id", "by", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("last") - F.min("word") + WINDOW).cast("int").alias("n_words"), F.min("first_start").alias("first_start")
+    )
+
+
+def repeated_passages(docs: DataFrame, id_col: str, text_col: str, sentences: bool, min_words: int, most: int = 4096) -> DataFrame:
+    """``repeats`` of lines, of runs of sentences if asked, and of windows; an anchor that stands over ``most`` times is hot."""
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
@@ -122,17 +196,22 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, sentences: bo
 
     def window_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, windows = [], []
-            for i, (x, d1, at) in enumerate(zip(*batch.columns[2:])):
+            rows, parts = [], []
+            for i, (x, d1, at, hot) in enumerate(zip(*batch.columns[2:])):
                 w = Words(x.as_py())
                 if w.n >= WINDOW and int(w.digests(*whole_text(w))[0][0]) == d1.as_py():
-                    a = w.windows(np.array(at.as_py(), np.int64))
-                    rows.append(i)
-                    windows.append(ranges(w, a, a + WINDOW))
-            found, rows = listed(windows, WINDOW_ROW), pa.array(rows, pa.int64())
-            rows = rows.take(pc.list_parent_indices(found))
-            names = list(WINDOW_ROW)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *found.flatten().flatten()], names=["row", "id", *names])
+                    word = np.array(at.as_py(), np.int64)
+                    order = np.argsort(word)
+                    parts.append(own_windows(w, word[order], np.array(hot.as_py(), bool)[order]))
+                    rows.append(np.full(len(parts[-1]["d"]), i))
+            if not parts:
+                continue
+            join = lambda k: np.concatenate([p[k] for p in parts])
+            offsets = np.concatenate(([0], np.cumsum(join("size")))).astype(np.int32)
+            made = {k: pa.array(join(k).astype(v.to_pandas_dtype()), v) for k, v in OF_ANCHOR.items()}
+            made |= {k: pa.ListArray.from_arrays(offsets, made[k]) for k in LISTS}
+            rows = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *made.values()], names=["row", "id", *made])
         release()
 
     found = source.mapInArrow(first_pass, f"id {kind}, d1 long, d2 long, n_words int, end int, units {named(UNIT)}, anchors {named(ANCHOR_ROW)}")
@@ -145,22 +224,17 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, sentences: bo
     # windows of copies of whole texts need no search: the copy is one passage
     originals = found.where(F.size("anchors") > 0).select("row", "anchors").join(copies.select("row"), "row", "left_anti")
     anchors = originals.select("row", F.explode("anchors").alias("a")).select("row", F.col("a.word").alias("word"), F.col("a.d").alias("d"))
-    again = anchors.groupBy("d").agg(F.count("*").alias("times")).where("times > 1").select("d")
-    near = anchors.join(again, "d").groupBy("row").agg(F.collect_list("word").alias("at"))
+    again = anchors.groupBy("d").agg(F.count("*").alias("times")).where("times > 1").select("d", (F.col("times") > most).alias("hot"))
+    near = anchors.join(again, "d").groupBy("row").agg(F.collect_list(F.struct("word", "hot")).alias("at"))
     near = checkpointed(found.select("row", F.col("id").alias("n"), "d1").join(near, "row"))
     mark = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(MARKS))
     maybe = source.withColumn("mark", mark("id")).join(F.broadcast(near.select(mark("n").alias("mark")).distinct()), "mark", "left_semi")
-    texts = maybe.join(near, F.col("id").eqNullSafe(F.col("n"))).select("row", "id", "text", "d1", "at")
-    schema = f"row long, id {kind}, word int, start int, end int, d1 long, d2 long"
-    windows = later(texts.mapInArrow(window_pass, schema).withColumn("n_words", F.lit(WINDOW)))
-    windows = windows.withColumn("by", F.col("word") - F.col("first.word"))
-    line = W.partitionBy("row", "first.id", "by").orderBy("word")
-    new = F.coalesce(F.col("word") > F.lag("word").over(line) + WINDOW, F.lit(True)).cast("int")
-    windows = windows.withColumn("new", new).withColumn("run", F.sum("new").over(line))
-    windows = windows.groupBy("row", "id", F.col("first.id").alias("first_id"), "by", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("word") - F.min("word") + WINDOW).cast("int").alias("n_words"), F.min("first.start").alias("first_start")
-    )
-    out = units.unionByName(copies.select(*places)).unionByName(windows.select("id", "start", "end", "n_words", "first_id", "first_start"))
+    texts = maybe.join(near, F.col("id").eqNullSafe(F.col("n"))).select("row", "id", "text", "d1", F.col("at.word").alias("at"), F.col("at.hot").alias("hot"))
+    schema = f"row long, id {kind}, d long, hot boolean, word int, start int, end int, digest array<long>, starts array<smallint>, ends array<smallint>"
+    lists = texts.mapInArrow(window_pass, schema)
+    if near.where(F.exists("at.hot", lambda h: h)).isEmpty():
+        lists = lists.withColumn("hot", F.lit(False))  # spares reading texts again for none
+    out = units.unionByName(copies.select(*places)).unionByName(repeated_windows(lists, kind).select("id", "start", "end", "n_words", "first_id", "first_start"))
     return out.withColumnRenamed("id", id_col)
 
 
