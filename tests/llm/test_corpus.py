@@ -96,6 +96,24 @@ def test_first_of_each(spark, edge, empty):
     assert simhash.first_of_each(empty).count() == 0
 
 
+@pytest.mark.parametrize("groups", [5, 8, 9])
+def test_any_number_of_groups_loses_no_link(spark, groups):
+    rng = np.random.default_rng(3)
+    fps = []
+    for base in map(int, rng.integers(0, 1 << 63, 40)):
+        fps += [base, base ^ sum(1 << int(b) for b in rng.choice(64, 4, replace=False))]
+    signed = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    found = {frozenset((a % (1 << 64), b % (1 << 64))) for a, b in simhash.linked(signed, groups=groups).collect()}
+    assert found == {frozenset(fps[i : i + 2]) for i in range(0, 80, 2)}
+
+
+def test_grids_grow_with_the_table():
+    """Comparisons a fingerprint stay few: rows in grids and partners in cells, from thousands to ten thousand million."""
+    for n in (10**4, 10**6, 10**8, 10**10):
+        g = simhash.plan_groups(n, 4)
+        assert math.comb(g, 4) * n * simhash.ALIKE ** (32 * (g - 4) / g) < 20_000, (n, g)
+
+
 # embeddings
 
 

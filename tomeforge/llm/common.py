@@ -30,11 +30,14 @@ def own(name: str) -> str:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, as the session's spark.checkpoint.dir names it.
 
-    Only where that is unset, as in tests on one machine, a local folder is made.
+    Only where that is unset and the session runs on one machine, as in tests, a local folder is
+    made; on a cluster its executors would lose what they write, so that is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
+        if context.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="checkpoint-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
@@ -47,6 +50,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
     """Hand texts to Python at most ``rows`` at a time, in this session, unless it says fewer.
 
@@ -133,6 +142,21 @@ def in_blocks(cells: DataFrame, keys: list[str], spread: Column, most: int) -> D
     return out.drop("__blocks", "__other")
 
 
+#: Values of the filter that spares the shuffle of rows that are not wanted: one row each, so it is broadcast safely.
+MARKS = 1 << 18
+
+
+def wanted_rows(rows: DataFrame, key: str, wanted: DataFrame, named: str) -> DataFrame:
+    """``rows`` joined to ``wanted`` where ``key`` equals its column ``named``, nulls alike.
+
+    A broadcast of at most ``MARKS`` digests of the wanted keys drops most other rows before the shuffle
+    while few are wanted; the join is exact whatever passes.
+    """
+    mark = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(MARKS))
+    marks = F.broadcast(wanted.select(mark(named).alias("__mark")).distinct())
+    return rows.withColumn("__mark", mark(key)).join(marks, "__mark", "left_semi").drop("__mark").join(wanted, F.col(key).eqNullSafe(F.col(named)))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the smallest node reachable.
 

@@ -2,14 +2,16 @@
 
 Each 64-bit fingerprint is cut into 32 segments of two bits, and mapped to the vector of
 their bit counts. The Manhattan distance of two such vectors is a lower bound of the
-Hamming distance. The 32 coordinates form six groups; if two vectors are within Manhattan
-distance 4, at least two groups hold no difference, so the two share a cell of one of the
-15 two-group grids. Cells are joined by sorting, the bound filters, and the exact Hamming
-distance decides. Each cell yields a spanning forest of its links, never all pairs.
+Hamming distance. The 32 coordinates form groups, more of them the more fingerprints there
+are; if two vectors are within Manhattan distance d, all but d groups at least hold no
+difference, so the two share a cell of one of the grids that choose so many groups. Cells are
+joined by sorting, the bound filters, and the exact Hamming distance decides. Each cell yields
+a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -23,23 +25,32 @@ from .common import bounded_batches, checkpointed, connected_components, find, i
 
 EVEN = 0x5555555555555555
 SEED = 42
-#: Segments in each of the six groups.
-GROUPS = (6, 6, 5, 5, 5, 5)
+SEGMENTS = 32
+#: Chance that two random segments have the same bit count, and what a row in a grid costs against a comparison.
+ALIKE, ROW_COST = 0.375, 100
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _masks(max_distance: int) -> list[int]:
-    """One mask for each pair of groups; with six groups, up to four differences leave two groups alike."""
-    if not 0 <= max_distance <= len(GROUPS) - 2:
-        raise ValueError("max_distance must be from 0 to 4")
-    groups, at = [], 0
-    for n in GROUPS:
-        groups.append(((1 << 2 * n) - 1) << at)
-        at += 2 * n
-    return [a | b for a, b in combinations(groups, 2)]
+def plan_groups(n: int, max_distance: int) -> int:
+    """Groups for which rows in grids and comparisons within cells of ``n`` random fingerprints cost least; any number is exact."""
+
+    def cost(groups: int) -> float:
+        kept = SEGMENTS * (groups - max_distance) / groups
+        return math.comb(groups, max_distance) * (ROW_COST + n * ALIKE**kept)
+
+    return min(range(max_distance + 2, max_distance + 9), key=cost)
+
+
+def _masks(max_distance: int, groups: int) -> list[int]:
+    """One mask for each choice of groups, as many as are alike at least at up to ``max_distance`` differences."""
+    if not 0 <= max_distance < groups <= SEGMENTS:
+        raise ValueError("max_distance must be from 0 to one less than the groups")
+    bounds = [SEGMENTS * k // groups for k in range(groups + 1)]
+    masks = [((1 << 2 * (b - a)) - 1) << 2 * a for a, b in zip(bounds, bounds[1:])]
+    return [sum(chosen) for chosen in combinations(masks, groups - max_distance)]
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -112,12 +123,13 @@ def _forest(batches: Iterator[pa.RecordBatch], max_distance: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array(signed[left]), pa.array(signed[right])], names=["a", "b"])
 
 
-def linked(fps: DataFrame, max_distance: int = 4, most: int = 4096) -> DataFrame:
+def linked(fps: DataFrame, max_distance: int = 4, most: int = 4096, groups: int | None = None) -> DataFrame:
     """Spanning links (a, b) between distinct fingerprints at up to ``max_distance`` bits."""
+    groups = groups or plan_groups(fps.count(), max_distance)
     f = F.col("fp")
     odd = F.shiftrightunsigned(f, 1)
     unary = (f.bitwiseOR(odd).bitwiseAND(F.lit(EVEN))).bitwiseOR(F.shiftleft(f.bitwiseAND(odd).bitwiseAND(F.lit(EVEN)), 1))
-    masks = F.array(*[F.lit(_signed(m)) for m in _masks(max_distance)])
+    masks = F.array(*[F.lit(_signed(m)) for m in _masks(max_distance, groups)])
     cells = fps.select("fp", unary.alias("unary"), F.posexplode(masks).alias("pair", "mask"))
     cells = cells.select("pair", F.col("unary").bitwiseAND(F.col("mask")).alias("cell"), "fp")
     units = in_blocks(cells, ["pair", "cell"], F.xxhash64("fp", F.lit(1)), most).drop("__block")
@@ -137,9 +149,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = checkpointed(with_fingerprints(docs, id_col, text_col, shingle))
     classes = fps.groupBy("fp").agg(F.min("id").alias("first"))
-    parts = connected_components(linked(fps.select("fp").distinct(), max_distance, most))
+    parts = connected_components(linked(checkpointed(fps.select("fp").distinct()), max_distance, most))
     classes = classes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("part"))
-    named = classes.groupBy("part").agg(F.min("first").alias("component_id"))
+    classes = checkpointed(classes)
+    # from a checkpoint, so that adaptive execution can split the join where one component has very many classes
+    named = checkpointed(classes.groupBy("part").agg(F.min("first").alias("component_id")))
     return (
         fps.join(classes.select("fp", "part").join(named, "part"), "fp")
         .select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpoint_folder, checkpointed, own, release, runs, with_value
+from .common import bounded_batches, checkpoint_folder, checkpointed, own, release, runs, wanted_rows, with_value
 from .passages import ANCHOR, WINDOW, Words
 
 #: Where units end: zero-width, so the units of a text add up to it.
@@ -52,10 +52,6 @@ def units(docs: DataFrame, id_col: str, text_col: str, unit: str, min_words: int
     return found.select("id", "start", "end", "n_words", F.xxhash64("norm").alias("d1"), F.xxhash64(F.lit(7), F.col("norm")).alias("d2"))
 
 
-#: Values of the filter that spares the shuffle of texts without candidates: a row each, so it is broadcast safely.
-MARKS = 1 << 18
-
-
 def stored(rows: DataFrame) -> DataFrame:
     """Rows as a Parquet table in the shared folder, which is compressed, as a checkpoint is not."""
     path = f"{checkpoint_folder(rows.sparkSession)}/passages-{uuid.uuid4().hex}"
@@ -66,10 +62,11 @@ def stored(rows: DataFrame) -> DataFrame:
 def later(found: DataFrame) -> DataFrame:
     """The rows of ``found`` whose digests stand at a lower (id, word) that does not overlap, with ``first``.
 
-    A digest that very many rows have is aggregated before the shuffle; the join back is dealt anew by adaptive execution.
+    A digest that very many rows have is aggregated before the shuffle. The join back reads that from a
+    checkpoint: adaptive execution splits a large key only where both sides come straight from shuffles.
     """
     first = found.groupBy("d1", "d2").agg(F.min(F.struct("id", "word", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    out = found.join(first.drop("n"), ["d1", "d2"])
+    out = found.join(checkpointed(first.drop("n")), ["d1", "d2"])
     return out.where(~F.col("id").eqNullSafe(F.col("first.id")) | (F.col("word") >= F.col("first.word") + F.col("n_words")))
 
 
@@ -148,19 +145,38 @@ def first_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([take("row", a), take("id", a), take("id", x), *numbers], names=["row", "id", "first_id", "word", "last", "start", "end", "first_word", "first_start"])
 
 
-def repeated_windows(lists: DataFrame, kind: str) -> DataFrame:
-    """Ranges of windows that stand earlier as well, from rows of ``own_windows``; ranges that overlap at one distance, or in one text, are one.
+def hot_windows(lists: DataFrame) -> DataFrame:
+    """What ``first_windows`` finds, for anchors that stand very often, without bringing one anchor's lists together.
 
-    An anchor's windows meet in one task, but for those that are hot: they are compared one by one.
+    Equal lists are one class, which its earliest stands for; windows are compared between classes.
     """
+    same = [F.xxhash64("digest").alias("h1"), F.xxhash64(F.lit(7), "digest").alias("h2")]
+    lists = lists.withColumns({"h1": same[0], "h2": same[1]})
+    classes = lists.groupBy("d", "h1", "h2").agg(F.min(F.struct("id", "word", "start", "starts", "digest")).alias("rep")).select("d", "h1", "h2", "rep.*")
+    each = classes.select("d", "h1", "h2", "id", "word", "start", F.posexplode(F.arrays_zip("digest", "starts")).alias("k", "x"))
+    each = checkpointed(each.select("d", "h1", "h2", "k", F.col("x.digest").alias("digest"), F.struct("id", (F.col("word") + F.col("k")).alias("word"), (F.col("start") + F.col("x.starts")).alias("start")).alias("at")))
+    first = checkpointed(each.groupBy("d", "digest").agg(F.min("at").alias("first")))
+    by = W.partitionBy("d", "h1", "h2").orderBy("k")
+    known = each.join(first, ["d", "digest"]).withColumn("by", F.col("first.word") - F.col("k"))
+    follows = F.lag("first.id").over(by).eqNullSafe(F.col("first.id")) & (F.lag("by").over(by) == F.col("by")) & (F.lag("k").over(by) == F.col("k") - 1)
+    known = known.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
+    known = known.groupBy("d", "h1", "h2", "run").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.min("first").alias("first"))
+    known = checkpointed(known.groupBy("d", "h1", "h2").agg(F.collect_list(F.struct("a", "b", "first")).alias("runs")))  # an anchor has SPREAD windows at most
+    out = lists.join(known, ["d", "h1", "h2"]).withColumn("r", F.explode("runs"))
+    out = out.withColumn("word", F.col("word") + F.col("r.a")).withColumn("last", F.col("word") + F.col("r.b") - F.col("r.a"))
+    out = out.where(~F.col("id").eqNullSafe(F.col("r.first.id")) | (F.col("word") >= F.col("r.first.word") + WINDOW))
+    place = lambda c, k: F.col(c) + F.get(f"{c}s", F.col(k))
+    return out.select("row", "id", F.col("r.first.id").alias("first_id"), "word", "last", place("start", "r.a").alias("start"), place("end", "r.b").alias("end"), F.col("r.first.word").alias("first_word"), F.col("r.first.start").alias("first_start"))
+
+
+def repeated_windows(lists: DataFrame, kind: str) -> DataFrame:
+    """Ranges of windows that stand earlier as well, from rows of ``own_windows``; ranges that overlap at one distance, or in one text, are one."""
     cold = lists.where("not hot").drop("hot").repartition("d").sortWithinPartitions("d", "id", "word", "row")
-    cold = cold.mapInArrow(first_windows, f"row long, id {kind}, first_id {kind}, word int, last int, start int, end int, first_word int, first_start int")
-    each = F.explode(F.arrays_zip(*LISTS, F.sequence(F.lit(0), F.size("digest") - 1).alias("nth"))).alias("x")
-    hot = lists.where("hot").select("row", "id", F.col("d").alias("d1"), "word", "start", "end", each)
-    hot = hot.select("row", "id", "d1", F.col("x.digest").alias("d2"), (F.col("word") + F.col("x.nth")).alias("word"), (F.col("start") + F.col("x.starts")).alias("start"), (F.col("end") + F.col("x.ends")).alias("end"), F.lit(WINDOW).alias("n_words"))
-    hot = later(hot).select("row", "id", F.col("first.id").alias("first_id"), "word", F.col("word").alias("last"), "start", "end", F.col("first.word").alias("first_word"), F.col("first.start").alias("first_start"))
+    found = cold.mapInArrow(first_windows, f"row long, id {kind}, first_id {kind}, word int, last int, start int, end int, first_word int, first_start int")
+    if not (hot := lists.where("hot")).isEmpty():
+        found = found.unionByName(hot_windows(hot))
     by = F.when(~F.col("id").eqNullSafe(F.col("first_id")), F.col("word") - F.col("first_word")).otherwise(0)
-    found = cold.unionByName(hot).withColumn("by", by)
+    found = found.withColumn("by", by)
     line = W.partitionBy("row", "first_id", "by").orderBy("word")
     before = F.max("last").over(line.rowsBetween(W.unboundedPreceding, -1))
     found = found.withColumn("new", F.coalesce(F.col("word") > before + WINDOW, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(line))
@@ -224,16 +240,12 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, sentences: bo
     # windows of copies of whole texts need no search: the copy is one passage
     originals = found.where(F.size("anchors") > 0).select("row", "anchors").join(copies.select("row"), "row", "left_anti")
     anchors = originals.select("row", F.explode("anchors").alias("a")).select("row", F.col("a.word").alias("word"), F.col("a.d").alias("d"))
-    again = anchors.groupBy("d").agg(F.count("*").alias("times")).where("times > 1").select("d", (F.col("times") > most).alias("hot"))
+    again = checkpointed(anchors.groupBy("d").agg(F.count("*").alias("times")).where("times > 1").select("d", (F.col("times") > most).alias("hot")))
     near = anchors.join(again, "d").groupBy("row").agg(F.collect_list(F.struct("word", "hot")).alias("at"))
     near = checkpointed(found.select("row", F.col("id").alias("n"), "d1").join(near, "row"))
-    mark = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(MARKS))
-    maybe = source.withColumn("mark", mark("id")).join(F.broadcast(near.select(mark("n").alias("mark")).distinct()), "mark", "left_semi")
-    texts = maybe.join(near, F.col("id").eqNullSafe(F.col("n"))).select("row", "id", "text", "d1", F.col("at.word").alias("at"), F.col("at.hot").alias("hot"))
+    texts = wanted_rows(source, "id", near, "n").select("row", "id", "text", "d1", F.col("at.word").alias("at"), F.col("at.hot").alias("hot"))
     schema = f"row long, id {kind}, d long, hot boolean, word int, start int, end int, digest array<long>, starts array<smallint>, ends array<smallint>"
-    lists = texts.mapInArrow(window_pass, schema)
-    if near.where(F.exists("at.hot", lambda h: h)).isEmpty():
-        lists = lists.withColumn("hot", F.lit(False))  # spares reading texts again for none
+    lists = stored(texts.mapInArrow(window_pass, schema))
     out = units.unionByName(copies.select(*places)).unionByName(repeated_windows(lists, kind).select("id", "start", "end", "n_words", "first_id", "first_start"))
     return out.withColumnRenamed("id", id_col)
 
