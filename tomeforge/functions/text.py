@@ -62,7 +62,8 @@ def bounded(text: Column, most: int = 500) -> Column:
 
 
 def base64url(text: Column) -> Column:
-    return F.rtrim(F.translate(F.base64(F.encode(text, "UTF-8")), "+/", "-_"), F.lit("="))
+    """Base64 for addresses, without padding and without the line ends that long values may get."""
+    return F.rtrim(F.translate(F.base64(F.encode(text, "UTF-8")), "+/\r\n", "-_"), F.lit("="))
 
 
 def pr_hints(message: Column, most: int = 5) -> Column:
@@ -82,11 +83,11 @@ def remote_name(url: Column) -> Column:
 
 
 def duration(ms: Column) -> Column:
-    """Seconds with one decimal under a minute, else minutes and whole seconds."""
+    """Seconds with one decimal under a minute, half tenths up; else minutes and whole seconds."""
     seconds = ms / 1000
     minutes = F.floor(seconds / 60)
     long = F.format_string("%dm %02ds", minutes, F.floor(seconds - minutes * 60))
-    return F.when(seconds < 60, F.format_string("%.1fs", seconds)).otherwise(long)
+    return F.when(seconds < 60, F.format_string("%d.%ds", F.floor((ms + 50) / 1000), F.floor((ms + 50) % 1000 / 100))).otherwise(long)
 
 
 def utc(ms: Column) -> Column:

@@ -57,10 +57,10 @@ def leak_scan(spark, sf_dir):
     return evaluation.leaks(table(spark, sf_dir, "documents"), "text", ["AKIA", "token = "]).select("doc_id")
 
 
-@register("SELECT user_id, CASE WHEN bool_or(event_type = 'error' AND value > 30) THEN 'hybrid' WHEN bool_or(event_type = 'view') THEN 'lexical' ELSE 'vectors-only' END AS mode FROM events WHERE event_id % 50 = 0 GROUP BY 1")
+@register("SELECT user_id, CASE WHEN bool_or(event_type = 'error' AND value > 30) THEN 'hybrid' WHEN bool_or(event_type = 'view') THEN 'lexical' ELSE 'vectors-only' END AS mode FROM events GROUP BY 1")
 def effective_mode(spark, sf_dir):
     name = F.when((F.col("event_type") == "error") & (F.col("value") > 30), "hybrid").when(F.col("event_type") == "view", "lexical").otherwise("vectors-only")
-    rows = table(spark, sf_dir, "events").where("event_id % 50 = 0").groupBy("user_id", name.alias("m")).agg(F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "events").groupBy("user_id", name.alias("m")).agg(F.count("*").alias("n"))
     modes = rows.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("m", "n"))).alias("modes"))
     return modes.select("user_id", evaluation.effective_mode(F.col("modes")).alias("mode"))
 
@@ -77,8 +77,8 @@ def evaluation_gates(spark, sf_dir):
     return evaluation.gates(metrics)
 
 
-@register("SELECT doc_id, 'title: ' || source || ' | text: ' || substring(text, 1, 30) AS input, 'emb-v1|p|m|dim=64|input=titled' AS fingerprint FROM documents WHERE doc_id % 9 = 4")
+@register("SELECT doc_id, 'title: ' || source || ' | text: ' || text AS input, 'emb-v1|p|m|dim=64|input=titled' AS fingerprint FROM documents")
 def embedding_inputs(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("doc_id % 9 = 4")
-    made = caches.templated("titled", "docs", F.col("source"), F.substring("text", 1, 30))
+    rows = table(spark, sf_dir, "documents")
+    made = caches.templated("titled", "docs", F.col("source"), F.col("text"))
     return rows.select("doc_id", made.alias("input"), F.lit(caches.fingerprint("1", "p", "m", 64, "titled")).alias("fingerprint"))

@@ -210,10 +210,10 @@ def session_debounce(spark, sf_dir):
     return found.drop("w")
 
 
-@register("SELECT user_id, list_sort(list(DISTINCT event_type)) AS versions, count(DISTINCT event_type) > 1 AS drift FROM events WHERE event_id % 97 = 0 GROUP BY 1")
+@register("SELECT user_id, list_sort(list(DISTINCT event_type)) AS versions, count(DISTINCT event_type) > 1 AS drift FROM events GROUP BY 1")
 def version_drift(spark, sf_dir):
     seen = F.array_sort(F.collect_set("event_type"))
-    return table(spark, sf_dir, "events").where("event_id % 97 = 0").groupBy("user_id").agg(seen.alias("versions"), (F.size(seen) > 1).alias("drift"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(seen.alias("versions"), (F.size(seen) > 1).alias("drift"))
 
 
 @register("SELECT c_mktsegment, max_by(c_custkey, c_acctbal * 1000000 - c_custkey) AS head FROM customer GROUP BY 1")
@@ -222,11 +222,11 @@ def head_revision_argmax(spark, sf_dir):
     return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.max_by("c_custkey", order).alias("head"))
 
 
-@register("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN [CAST(doc_id + 1 AS INTEGER), 7] WHEN 1 THEN [7, 9] ELSE CAST([] AS INTEGER[]) END AS hints FROM documents WHERE doc_id <> 6")
+@register("SELECT doc_id, CASE WHEN doc_id = 6 THEN [7] WHEN doc_id % 3 = 0 THEN [CAST(doc_id + 1 AS INTEGER), 7] WHEN doc_id % 3 = 1 THEN [7, 9] ELSE CAST([] AS INTEGER[]) END AS hints FROM documents")
 def pr_hints(spark, sf_dir):
     n = F.col("doc_id")
     message = F.when(n % 3 == 0, F.concat(F.lit("#"), n + 1, F.lit(" fix (#7) x#5 #0"))).when(n % 3 == 1, F.lit("see #7 and\t#9, #7, #1234567890")).otherwise(F.lit("line\n#3"))
-    return table(spark, sf_dir, "documents").where("doc_id != 6").select("doc_id", text.pr_hints(message).alias("hints"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.pr_hints(message).alias("hints"))
 
 
 @register("SELECT c_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 GROUP BY 1 HAVING count(*) > 1")

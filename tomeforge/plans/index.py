@@ -113,9 +113,9 @@ def chunk_ids(spark, sf_dir):
     return reconcile.chunk_ids(rows, "repo|worktree", "v1").select("chunk_id", "path", "line")
 
 
-@register("SELECT doc_id, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens, rtrim(translate(base64(encode(substring(text, 1, 20))), '+/', '-_'), '=') AS head FROM documents")
+@register("SELECT doc_id, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens, rtrim(translate(base64(encode(text)), '+/', '-_'), '=') AS encoded FROM documents")
 def estimate_and_encode(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.estimated_tokens(F.col("text")).alias("tokens"), text.base64url(F.substring("text", 1, 20)).alias("head"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.estimated_tokens(F.col("text")).alias("tokens"), text.base64url(F.col("text")).alias("encoded"))
 
 
 # reconciliation

@@ -44,10 +44,10 @@ def usage_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", host.usage(record).alias("u")).select("event_id", "u.input", "u.cost")
 
 
-@register("SELECT event_id, CASE WHEN event_id * 37 < 60000 THEN printf('%.1fs', round(event_id * 37 / 1000.0, 1)) ELSE printf('%dm %02ds', event_id * 37 // 60000, event_id * 37 % 60000 // 1000) END AS shown FROM events WHERE event_id * 37 % 100 <> 50")
+@register("SELECT event_id, CASE WHEN event_id * 37 < 60000 THEN printf('%d.%ds', (event_id * 37 + 50) // 1000, (event_id * 37 + 50) % 1000 // 100) ELSE printf('%dm %02ds', event_id * 37 // 60000, event_id * 37 % 60000 // 1000) END AS shown FROM events")
 def durations(spark, sf_dir):
     ms = F.col("event_id") * 37
-    return table(spark, sf_dir, "events").where("event_id * 37 % 100 != 50").select("event_id", text.duration(ms).alias("shown"))
+    return table(spark, sf_dir, "events").select("event_id", text.duration(ms).alias("shown"))
 
 
 @register("""WITH RECURSIVE s AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: CAST(ceil(length(x) / 4) AS BIGINT)) AS n FROM documents),
