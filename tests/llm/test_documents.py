@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tomeforge.llm import license, packing, pii, quality, queries, tokencount
 
@@ -274,3 +275,42 @@ def test_fuzzy_labels_and_words():
 def test_notices_beside_a_better_match():
     text = b"x released undr the mit license and released under the mit license y"
     assert [(s["first_word"], s["last_word"], s["edits"]) for s in license.scan(text, license.PHRASES, license.NOTICES, 0.1)[7]] == [(1, 5, 1), (7, 11, 0)]
+
+
+# very long texts
+
+
+def test_one_long_text_takes_time_in_proportion(spark):
+    """100,000 lines, and tens of thousands of matches in a row, within seconds each."""
+    import time
+
+    from tomeforge.llm import chat, license, substring
+    from tomeforge.llm.common import running
+
+    n = 100_000
+    lines = spark.createDataFrame([(1, "".join(f"w{i} a b c d e f g\n" for i in range(n)))], "doc_id long, text string")
+    mails = spark.createDataFrame([(1, "".join(f"u{i}@host.org +49 (151) 555-{i % 9000 + 1000}, " for i in range(20_000)))], "doc_id long, text string")
+    turns = spark.range(60_000).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('turn ', id) as text")
+    values = spark.range(1).select(F.array_repeat(F.lit(3), n).alias("v"))
+    took = {}
+
+    def timed(name, work):
+        began = time.monotonic()
+        out = work()
+        took[name] = time.monotonic() - began
+        return out
+
+    sums = timed("running", lambda: values.select(running(F.col("v")).alias("s")).first().s)
+    assert sums == [3 * k for k in range(1, n + 1)]
+    found = timed("lines", lambda: substring.units(lines, "doc_id", "text", "line", 8).agg(F.count("*"), F.max("end")).first())
+    assert tuple(found) == (n, len(lines.first().text))
+    spans = timed("spans", lambda: pii.with_spans(mails).select("found").first().found)
+    assert (len(spans["email"]), len(spans["phone"])) == (20_000, 20_000)
+    clean = timed("redacted", lambda: pii.redact(mails).first().text)
+    assert clean == "[EMAIL] [PHONE], " * 20_000
+    form = timed("chat", lambda: chat.formatted(turns).first())
+    assert len(form.loss_spans) == 30_000 and form.formatted[form.loss_spans[-1].start :].startswith("turn 59999<|im_end|>")
+    notice = b"licensed under the gnu general public license and released under the mit license. " * 10_000
+    result = timed("license", lambda: license.scan(notice, license.PHRASES, license.NOTICES, 0.1))
+    assert result[1] == 10_000 and len(result[-1]) == 20_000
+    assert max(took.values()) < 30, took

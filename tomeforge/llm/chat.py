@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
+from .common import running, with_value
 
 START, SEP, END, LINE = "<|im_start|>", "<|im_sep|>", "<|im_end|>", "<|nl|>"
 
@@ -51,15 +51,15 @@ def formatted(conversations: DataFrame, id_col: str = "conv_id", turn_col: str =
     parts = F.transform("turns", lambda t, i: F.struct(head(t, i).alias("head"), t["text"].alias("text"), tail(i).alias("tail"), t["role"].alias("role")))
     grouped = grouped.select("id", parts.alias("parts"))
 
-    def add(a: Column, p: Column) -> Column:
-        start = a["at"] + F.length(p["head"])
-        size = F.length(p["text"])
-        span = F.when(p["role"] == F.lit(loss_role), F.array(F.struct(start.alias("start"), size.alias("length")))).otherwise(F.array().cast("array<struct<start:int,length:int>>"))
-        return F.struct((start + size + F.length(p["tail"])).alias("at"), F.concat(a["spans"], span).alias("spans"))
+    # where each turn's text stands follows from running sums of the lengths
+    def masked(ends: Column) -> Column:
+        span = lambda p, i: F.struct(p["role"].alias("role"), (F.get(ends, i) - F.length(p["tail"]) - F.length(p["text"])).alias("start"), F.length(p["text"]).alias("length"))
+        mine = F.filter(F.transform("parts", span), lambda s: s["role"] == F.lit(loss_role))
+        return F.transform(mine, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    sizes = F.transform("parts", lambda p: F.length(p["head"]) + F.length(p["text"]) + F.length(p["tail"]))
     whole = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["text"], p["tail"])), "")
-    return grouped.select(F.col("id").alias(id_col), whole.alias("formatted"), F.aggregate("parts", zero, add)["spans"].alias("loss_spans"))
+    return grouped.select(F.col("id").alias(id_col), whole.alias("formatted"), with_value(running(sizes), masked).alias("loss_spans"))
 
 
 def read_back(chats: DataFrame) -> DataFrame:

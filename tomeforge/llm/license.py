@@ -8,11 +8,13 @@ bounded-error matching, which verifies the edits and says where the notice stand
 
 from __future__ import annotations
 
+import bisect
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,14 +66,45 @@ def compiled(notices: tuple, share: float):
     return automaton, patterns
 
 
-def every(pattern, line: str, a: int, b: int) -> Iterator:
-    """The best match of a window, then those of what stands before and after it."""
-    todo = [(a, b)]
-    while todo:
-        a, b = todo.pop()
-        if m := pattern.search(line, a, b):
-            yield m
-            todo += [(a, m.start()), (m.end(), b)]
+class Places:
+    """Intervals as a union of disjoint ones."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect.bisect_right(self.ends, a)
+        return i < len(self.starts) and self.starts[i] < b
+
+    def add(self, a: int, b: int) -> None:
+        i, j = bisect.bisect_right(self.ends, a), bisect.bisect_left(self.starts, b)
+        if i < j:
+            a, b = min(a, self.starts[i]), max(b, self.ends[j - 1])
+        self.starts[i:j], self.ends[i:j] = [a], [b]
+
+
+def every(pattern, line: str, a: int, b: int, most: int) -> list[tuple[int, int, int]]:
+    """(edits, start, end): the best match of a window, then those of what stands before and after it.
+
+    The best match is looked for in the whole window each time, so a window longer than 8 * ``most``
+    is cut into ones that overlap by ``most``; of matches that overlap the one with fewer edits stays.
+    """
+    found = set()
+    cut = range(a, max(a + 1, b - most), 7 * most) if b - a > 8 * most else [a]
+    for lo in cut:
+        todo = [(lo, min(b, lo + 8 * most))]
+        while todo:
+            x, y = todo.pop()
+            if m := pattern.search(line, x, y):
+                found.add((sum(m.fuzzy_counts), m.start(), m.end()))
+                todo += [(x, m.start()), (m.end(), y)]
+    taken, kept = Places(), []
+    for hit in sorted(found):
+        if not taken.meets(*hit[1:]):
+            taken.add(*hit[1:])
+            kept.append(hit)
+    return kept
 
 
 def fuzzy(line: str, notices: tuple, share: float) -> list[tuple[str, int, int, int, int]]:
@@ -89,14 +122,14 @@ def fuzzy(line: str, notices: tuple, share: float) -> list[tuple[str, int, int,
                 mine.append([a, b])
     found = []
     for i, mine in windows.items():
-        pattern, _, label, n = patterns[i]
+        pattern, k, label, n = patterns[i]
         for a, b in mine:
-            for m in every(pattern, line, a, min(b, len(line))):
-                found.append((label, m.start(), m.end(), sum(m.fuzzy_counts), n))
+            found += [(label, *m[1:], m[0], n) for m in every(pattern, line, a, min(b, len(line)), n + 2 * k)]
     # where notices of several kinds match one place, the one with the smallest share of edits stands for it
-    best: list = []
+    best, places = [], {label: Places() for label, *_ in found}
     for hit in sorted(found, key=lambda h: (h[3] / h[4], -h[4], h[0], h[1])):
-        if all(hit[2] <= b[1] or hit[1] >= b[2] for b in best if b[0] != hit[0]):
+        if not any(p.meets(*hit[1:3]) for label, p in places.items() if label != hit[0]):
+            places[hit[0]].add(*hit[1:3])
             best.append(hit)
     return best
 
@@ -105,16 +138,18 @@ def scan(text: bytes, phrases: tuple, notices: tuple, share: float) -> tuple:
     words = WORD.findall(text.lower())
     line = b" ".join(words)
     padded = b" " + line + b" "
+    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    word_at = lambda at: int(np.searchsorted(spaces, at))
     places, labels = [], set()
     for phrase, label in phrases:
         needle, at = f" {phrase} ".encode(), -1
         while (at := padded.find(needle, at + 1)) >= 0:
-            places.append(padded.count(b" ", 0, at + 1) - 1)
+            places.append(word_at(at))
             labels.add(label)
     spans, score = [], 1.0 if places else 0.0
     for label, a, b, edits, n in fuzzy(line.decode("latin-1"), notices, share):
-        first = line.count(b" ", 0, a + (line[a : a + 1] == b" "))
-        last = line.count(b" ", 0, b - (line[b - 1 : b] == b" "))
+        first = word_at(a + (line[a : a + 1] == b" "))
+        last = word_at(b - (line[b - 1 : b] == b" "))
         spans.append({"label": label, "first_word": first, "last_word": last, "edits": edits})
         score = max(score, 1 - edits / n)
     spans.sort(key=lambda s: (s["first_word"], s["last_word"], s["label"], s["edits"]))
@@ -131,7 +166,8 @@ def with_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``spans`` holds each fuzzy match: label, first and last word (from 0), edits. A notice may
     differ by ``share`` of its length in edits, one at least. ``score`` is 1 where a phrase
     stands exactly, else the best share of a notice without edits, else 0. Null and empty
-    texts have no words and no labels. Whole texts are scanned in one pass without a shuffle.
+    texts have no words and no labels. Of notices that tie in one place, the longer stands, then
+    the first by label. Whole texts are scanned in one pass without a shuffle.
     Repeated rows stay, null ids pass, extra columns are not read, an empty table gives none.
     """
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]

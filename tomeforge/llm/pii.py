@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import own, with_value
+from .common import in_parts, own, running, with_value
 
 #: Base kinds, in the order they are listed; then the kinds of the method's own spans.
 BASE = ("email", "ip", "card", "phone")
@@ -198,17 +198,10 @@ def matches(text: Column, kind: str) -> Column:
     none = F.array().cast("array<struct<start:int,end:int,span:string,before:string>>")
 
     def placed(parts: Column) -> Column:
-        def add(acc: Column, x: Column, i: Column) -> Column:
-            gap = F.get(parts["gaps"], i)
-            start = acc["at"] + F.length(gap)
-            end = start + F.length(x)
-            before = F.right(gap, F.lit(BEFORE))
-            one = F.struct(start.alias("start"), end.alias("end"), x.alias("span"), before.alias("before"))
-            return F.struct(end.alias("at"), F.concat(acc["done"], F.array(one)).alias("done"))
-
-        indexed = F.transform(parts["spans"], lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-        zero = F.struct(F.lit(0).alias("at"), none.alias("done"))
-        return F.aggregate(indexed, zero, lambda acc, y: add(acc, y["x"], y["i"]))["done"]
+        gap = lambda i: F.get(parts["gaps"], i)
+        sizes = F.transform(parts["spans"], lambda x, i: F.length(gap(i)) + F.length(x))
+        one = lambda ends: lambda x, i: F.struct((F.get(ends, i) - F.length(x)).alias("start"), F.get(ends, i).alias("end"), x.alias("span"), F.right(gap(i), F.lit(BEFORE)).alias("before"))
+        return with_value(running(sizes), lambda ends: F.transform(parts["spans"], one(ends)))
 
     parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("spans"), F.split(text, pattern, -1).alias("gaps"))
     found = with_value(parts, lambda p: F.when(F.size(p["spans"]) > 0, placed(p)).otherwise(none))
@@ -267,15 +260,21 @@ def redacted(text: Column, found: Column) -> Column:
     """The text with every span replaced by its kind in brackets; overlapping spans become one, of the first's kind."""
     named = lambda kind: lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"))
     parts = [F.transform(found[k], named(k)) for k in KINDS]
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("done"))
 
-    def add(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
-        new = F.concat(acc["done"], F.array(gap, F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] < acc["at"], acc["done"]).otherwise(new).alias("done"))
+    def kept(spans: Column) -> Column:
+        """Spans that begin where all before them have ended, each with that place, ``at``."""
+        upto = running(F.transform(spans, lambda x: x["end"]), F.greatest)
+        each = lambda ends: F.transform(spans, lambda x, i: F.struct(F.coalesce(F.get(ends, i - 1), F.lit(0)).alias("at"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), F.get(ends, F.size(ends) - 1).alias("last")))
+        return with_value(upto, lambda ends: F.filter(each(ends), lambda x: x["start"] >= x["at"]))
 
-    whole = lambda r: F.concat(F.array_join(r["done"], ""), F.substring(text, r["at"] + 1, F.length(text)))
-    replace = lambda spans: F.when(F.size(spans) > 0, with_value(F.aggregate(spans, zero, add), whole)).otherwise(text)
+    def replaced(part: Column) -> Column:
+        """A part's spans with the text between them; places are looked up in that part of the text only."""
+        first, last = F.get(part, 0), F.get(part, F.size(part) - 1)
+        new = lambda body: F.transform(part, lambda x: F.concat(F.substring(body, x["at"] - first["at"] + 1, x["start"] - x["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
+        return F.array_join(with_value(F.substring(text, first["at"] + 1, last["start"] - first["at"]), new), "")
+
+    whole = lambda k: F.concat(F.array_join(F.transform(in_parts(k), replaced), ""), F.substring(text, F.get(k, 0)["last"] + 1, F.length(text)))
+    replace = lambda spans: F.when(F.size(spans) > 0, with_value(kept(spans), whole)).otherwise(text)
     return with_value(F.sort_array(F.concat(*parts)), replace)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpoint_folder, checkpointed, own, release, runs, wanted_rows, with_value
+from .common import bounded_batches, checkpoint_folder, checkpointed, own, release, running, runs, wanted_rows, with_value
 from .passages import ANCHOR, WINDOW, Words
 
 #: Where units end: zero-width, so the units of a text add up to it.
@@ -36,13 +36,8 @@ def units(docs: DataFrame, id_col: str, text_col: str, unit: str, min_words: int
     parts = F.split(F.coalesce(F.col(text_col), F.lit("")), CUTS[unit], -1)
     array = "array<struct<start:int,end:int,norm:string>>"
 
-    def add(a: Column, x: Column) -> Column:
-        end = a["at"] + F.length(x)
-        return F.struct(end.alias("at"), F.concat(a["ends"], F.array(end)).alias("ends"))
-
     def placed(p: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
-        ends = F.aggregate(p, zero, add)["ends"]
+        ends = running(F.transform(p, F.length))
         each = lambda e: F.transform(p, lambda x, i: F.struct((F.get(e, i) - F.length(x)).alias("start"), F.get(e, i).alias("end"), normalised(x).alias("norm")))
         return with_value(ends, each).cast(array)
 
