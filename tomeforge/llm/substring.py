@@ -89,20 +89,23 @@ def named(fields: dict[str, pa.DataType]) -> str:
 def own_windows(w: Words, at: np.ndarray, hot: np.ndarray) -> dict[str, np.ndarray]:
     """The windows of the anchors ``at``, each window with its one anchor, in lists of windows in a row.
 
-    A list has an anchor's digest ``d`` and its windows' own; places are the first window's, and differences of 16 bits to it.
+    A list has an anchor's digest ``d`` and its windows' own; places are the first window's, and differences of 16 bits
+    to it. Neighbours of equal digest are one anchor, so words that repeat over and over are a few lists, not one each.
     """
     chosen = w.chosen()
     first = np.flatnonzero(np.isin(chosen, at))
     start, end = w.start[first], w.end[first + WINDOW - 1]
-    new = np.concatenate(([True], chosen[first][1:] != chosen[first][:-1]))[: len(first)]
+    digest = w.digests(chosen[first], chosen[first] + ANCHOR)[0]
+    new = np.concatenate(([True], (np.diff(digest) != 0) | (np.diff(first) != 1)))[: len(first)]
     head = np.maximum.accumulate(np.where(new, np.arange(len(first)), 0))
-    # where words are so long that differences do not fit, windows are lists of their own
-    new |= np.maximum(start - start[head], end - end[head]) >= 1 << 15
+    for place in (start, end):  # a list ends before a difference gets too large
+        step = (place - place[head]) >> 14
+        new[1:] |= np.diff(step) != 0
     far = np.maximum.accumulate(np.where(new, np.arange(len(first)), 0))
     lists = np.flatnonzero(new)
     anchor = chosen[first[lists]]
     return {
-        "d": w.digests(anchor, anchor + ANCHOR)[0], "hot": hot[np.searchsorted(at, anchor)], "word": first[lists], "start": start[lists], "end": end[lists],
+        "d": digest[lists], "hot": hot[np.searchsorted(at, anchor)], "word": first[lists], "start": start[lists], "end": end[lists],
         "size": np.diff(np.append(lists, len(first))), "digest": w.digests(first, first + WINDOW)[0], "starts": start - start[far], "ends": end - end[far],
     }
 
@@ -131,7 +134,7 @@ def first_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if not len(again):
             continue
         to = first[again]
-        follows = (np.diff(again) == 1) & (np.diff(to) == 1) & (of[again][1:] == of[again][:-1]) & (of[to][1:] == of[to][:-1])
+        follows = (np.diff(again) == 1) & (of[again][1:] == of[again][:-1]) & (of[to][1:] == of[to][:-1])
         head = np.flatnonzero(np.concatenate(([True], ~follows)))
         tail = np.append(head[1:], len(again)) - 1
         a, b, x = again[head], again[tail], to[head]
@@ -149,19 +152,24 @@ def hot_windows(lists: DataFrame) -> DataFrame:
     lists = lists.withColumns({"h1": same[0], "h2": same[1]})
     classes = lists.groupBy("d", "h1", "h2").agg(F.min(F.struct("id", "word", "start", "starts", "digest")).alias("rep")).select("d", "h1", "h2", "rep.*")
     each = classes.select("d", "h1", "h2", "id", "word", "start", F.posexplode(F.arrays_zip("digest", "starts")).alias("k", "x"))
-    each = checkpointed(each.select("d", "h1", "h2", "k", F.col("x.digest").alias("digest"), F.struct("id", (F.col("word") + F.col("k")).alias("word"), (F.col("start") + F.col("x.starts")).alias("start")).alias("at")))
+    at = F.struct("id", (F.col("word") + F.col("k")).alias("word"), (F.col("start") + F.col("x.starts")).alias("start"), F.col("word").alias("list"))
+    each = checkpointed(each.select("d", "h1", "h2", "k", F.col("x.digest").alias("digest"), at.alias("at")))
     first = checkpointed(each.groupBy("d", "digest").agg(F.min("at").alias("first")))
     by = W.partitionBy("d", "h1", "h2").orderBy("k")
-    known = each.join(first, ["d", "digest"]).withColumn("by", F.col("first.word") - F.col("k"))
-    follows = F.lag("first.id").over(by).eqNullSafe(F.col("first.id")) & (F.lag("by").over(by) == F.col("by")) & (F.lag("k").over(by) == F.col("k") - 1)
+    known = each.join(first, ["d", "digest"])
+    follows = F.lag("first.id").over(by).eqNullSafe(F.col("first.id")) & (F.lag("first.list").over(by) == F.col("first.list"))
     known = known.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
-    known = known.groupBy("d", "h1", "h2", "run").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.min("first").alias("first"))
-    known = checkpointed(known.groupBy("d", "h1", "h2").agg(F.collect_list(F.struct("a", "b", "first")).alias("runs")))  # an anchor has SPREAD windows at most
+    words = F.transform(F.sort_array(F.collect_list(F.struct("k", "first.word"))), lambda x: x["word"])
+    known = known.groupBy("d", "h1", "h2", "run").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.min("first").alias("first"), words.alias("words"))
+    known = checkpointed(known.groupBy("d", "h1", "h2").agg(F.collect_list(F.struct("a", "b", "first", "words")).alias("runs")))  # a list is within one text
     out = lists.join(known, ["d", "h1", "h2"]).withColumn("r", F.explode("runs"))
-    out = out.withColumn("word", F.col("word") + F.col("r.a")).withColumn("last", F.col("word") + F.col("r.b") - F.col("r.a"))
-    out = out.where(~F.col("id").eqNullSafe(F.col("r.first.id")) | (F.col("word") >= F.col("r.first.word") + WINDOW))
+    # in the text where the first ones stand, each window counts for itself, where it does not overlap its first
+    own = F.col("id").eqNullSafe(F.col("r.first.id"))
+    each = out.where(own).select("*", F.posexplode("r.words").alias("i", "f")).where(F.col("word") + F.col("r.a") + F.col("i") >= F.col("f") + WINDOW)
+    each = each.withColumns({"a": F.col("r.a") + F.col("i"), "b": F.col("r.a") + F.col("i")}).drop("i", "f")
+    out = out.where(~own).withColumns({"a": F.col("r.a"), "b": F.col("r.b")}).unionByName(each)
     place = lambda c, k: F.col(c) + F.get(f"{c}s", F.col(k))
-    return out.select("row", "id", F.col("r.first.id").alias("first_id"), "word", "last", place("start", "r.a").alias("start"), place("end", "r.b").alias("end"), F.col("r.first.word").alias("first_word"), F.col("r.first.start").alias("first_start"))
+    return out.select("row", "id", F.col("r.first.id").alias("first_id"), (F.col("word") + F.col("a")).alias("word"), (F.col("word") + F.col("b")).alias("last"), place("start", "a").alias("start"), place("end", "b").alias("end"), F.col("r.first.word").alias("first_word"), F.col("r.first.start").alias("first_start"))
 
 
 def repeated_windows(lists: DataFrame, kind: str) -> DataFrame:
