@@ -200,3 +200,40 @@ def test_report(spark):
     assert found["gate"] == "pass" and {c["comparison"] for c in found["comparisons"]} == {"fr", "de"}
     assert all(c["low"] <= c["difference"] <= c["high"] for c in found["comparisons"])
     assert "# Verdict: pass" in grading.markdown(found)
+
+
+def test_new_vectors_and_history_are_published(engine):
+    """Also where no file has changed; vectors that are known stay when files change."""
+    first = engine.index()
+    texts = engine.store.table("chunks").select(F.sha2("text", 256).alias("input_hash")).distinct().collect()
+    vectors = engine.spark.createDataFrame([(r.input_hash, [1.0, float(k)]) for k, r in enumerate(texts)], "input_hash string, vector array<float>")
+    second = engine.index(embeddings=vectors)
+    assert second["generation_id"] == first["generation_id"] + 1 and engine.check(require_vectors=True) == "ok"
+    assert engine.index(embeddings=vectors) == second == engine.index()
+    third = engine.index(history=engine.spark.createDataFrame([("r1", "message")], "revision_id string, message string"))
+    assert third["generation_id"] == second["generation_id"] + 1 and engine.store.table("history").count() == 1
+    engine.config.excludes.append("*.toml")
+    engine.index()
+    assert engine.check(require_vectors=True) == "ok" and engine.store.table("history").count() == 1
+
+
+def test_ignore_files_and_errors(engine, tmp_path):
+    (tmp_path / "src/.gitignore").write_text("# no plans\nplans/\n")
+    (tmp_path / "src/src/.gitignore").write_text("util.ts\n")
+    engine.store.fail("it broke")
+    assert engine.status()["last_error"] == "it broke"
+    engine.index()
+    assert engine.status()["last_error"] is None
+    assert {r.path for r in engine.store.table("files").collect()} == {"README.md", "src/main.ts", "testdata/README.md", "conf/a.toml"}
+    assert engine.explain("src/util.ts")["rule"].source == "ignore:src"
+
+
+def test_writers_take_numbers_of_their_own(spark, tmp_path):
+    """A claim that was never published is passed over, and readers see the last published generation throughout."""
+    store = Store(spark, str(tmp_path / "s"))
+    tables = {"files": spark.createDataFrame([("p",)], "path string")}
+    assert store._claim() == 1 and store.current() is None
+    for k in range(4):
+        assert store.publish(tables, {"manifest_hash": str(k), "config_fingerprint": "c"})["generation_id"] == k + 2
+        assert store.current()["manifest_hash"] == str(k)
+    assert store.generations() == [4, 5]

@@ -52,15 +52,17 @@ class Engine:
         self.scope = hashlib.sha256(f"directory|{self.source}".encode()).hexdigest()
 
     def rules(self) -> list[policy.Rule]:
-        return policy.rules(self.config.includes, self.config.excludes)
+        """Defaults, settings, and the ignore files of the source."""
+        return policy.rules(self.config.includes, self.config.excludes, filesystem.ignore_files(self.spark, self.source))
 
     # building
 
     def index(self, embeddings: DataFrame | None = None, history: DataFrame | None = None) -> dict:
-        """Build the next generation; nothing changes if the manifest and the settings are the served ones.
+        """Build the next generation; nothing changes if files, settings, vectors and history are the served ones.
 
-        ``embeddings`` (input_hash, vector) gives vectors of chunk texts by their hash; chunks
-        without one are pending. ``history`` is a table of commits.
+        ``embeddings`` (input_hash, vector) gives vectors of chunk texts by their hash, beside those
+        of the served generation; chunks without one are pending. ``history`` is a table of commits;
+        without one the served one stays.
         """
         intake = filesystem.intake(self.spark, self.source, self.rules(), self.config.max_file_bytes)
         files = filesystem.classified(intake).persist()
@@ -68,9 +70,18 @@ class Engine:
         try:
             manifest = reconcile.manifest_hash(files).first()["manifest_hash"]
             record = {"manifest_hash": manifest, "config_fingerprint": self.config.fingerprint(), "parser": PARSER, "scope": self.scope}
-            served = self.store.current()
-            if served and served["manifest_hash"] == manifest and served["config_fingerprint"] == record["config_fingerprint"]:
+            served = self.store.current() or {}
+            have = served.get("tables", [])
+            record["vectors"] = served.get("vectors") if embeddings is None else self._sign(embeddings.select("input_hash", "vector"))
+            record["history_head"] = served.get("history_head") if history is None else self._sign(history)
+            if served and all(served.get(k) == record[k] for k in ("manifest_hash", "config_fingerprint", "vectors", "history_head")):
+                self.store.fail(None)
                 return served
+            if "chunk_vec" in have:
+                known = self.store.table("chunk_vec", served["generation_id"]).select("input_hash", "vector").dropDuplicates(["input_hash"])
+                embeddings = known if embeddings is None else embeddings.select("input_hash", "vector").unionByName(known.join(embeddings, "input_hash", "left_anti"))
+            if history is None and "history" in have:
+                history = self.store.table("history", served["generation_id"])
             tables = self._tables(files)
             # what ranking needs of the whole corpus is kept in the record, so that a search scans no texts for it
             stats = lexical.corpus_stats(self._held[-1], FIELDS, EXTRA).first()
@@ -80,7 +91,9 @@ class Engine:
                 tables["chunk_vec"] = hashed.join(embeddings, "input_hash").select("chunk_id", "input_hash", F.size("vector").alias("dimension"), "vector")
             if history is not None:
                 tables["history"] = history
-            return self.store.publish(tables, record)
+            published = self.store.publish(tables, record)
+            self.store.fail(None)
+            return published
         except Exception as error:
             self.store.fail(str(error)[:500])
             raise
@@ -88,6 +101,13 @@ class Engine:
             for df in self._held:
                 df.unpersist()
 
+    @staticmethod
+    def _sign(rows: DataFrame) -> str:
+        """A fingerprint of a table's rows in any order, repeats counted."""
+        digest = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).cast("decimal(38,0)")
+        found = rows.agg(F.count("*").alias("n"), F.sum(digest).alias("s")).first()
+        return f"{found['n']}:{found['s']}"
+
     def _tables(self, files: DataFrame) -> dict[str, DataFrame]:
         scope = F.lit(self.scope)
         raw = chunking.chunked(files)
@@ -213,10 +233,9 @@ class Engine:
         if chunk is None:
             raise LookupError(chunk_id)
         path = filesystem.contained(chunk.path)
-        now = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.source).where(filesystem.relative(F.col("path"), self.source) == path)
-        seen = now.select(F.sha2("content", 256).alias("h")).first()
+        seen = filesystem.content_hash(self.spark, self.source, path)
         was = self.store.table("files").where(F.col("path") == chunk.path).first()
-        state = "gone" if seen is None else "fresh" if seen.h == was.content_hash else "stale"
+        state = "gone" if seen is None else "fresh" if seen == was.content_hash else "stale"
         lines, kept, spent = chunk.text.split("\n"), [], 0
         for line in lines:
             spent += len(line) + 1

@@ -36,6 +36,41 @@ def contained(path: str) -> str:
     return "/".join(parts)
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def content_hash(spark: SparkSession, root: str, path: str) -> str | None:
+    """The hash of one file's content, null if it is gone; no other file is looked at."""
+    at, fs = _file_system(spark, f"{root}/{contained(path)}")
+    if not fs.exists(at):
+        return None
+    return spark.read.format("binaryFile").load(f"{root}/{contained(path)}").select(F.sha2("content", 256).alias("h")).first().h
+
+
+def ignore_files(spark: SparkSession, root: str, name: str = ".gitignore", most: int = 1 << 20) -> list[tuple[str, list[str]]]:
+    """(directory, lines) of each ignore file; the readers pass hidden files over, so each directory with files is asked for its own.
+
+    Larger files than ``most`` bytes are refused, as none that people write is.
+    """
+    parent = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    found = inventory(spark, root).select(F.explode(F.transform(F.sequence(F.lit(0), F.size(F.split(parent, "/"))), lambda n: F.array_join(F.slice(F.split(parent, "/"), 1, n), "/"))).alias("base")).distinct()
+    out = []
+    for base in sorted({"", *(r.base for r in found.collect())}):  # directories, not files
+        at, fs = _file_system(spark, "/".join(filter(None, [root, base, name])))
+        if not fs.exists(at):
+            continue
+        if fs.getFileStatus(at).getLen() > most:
+            raise ValueError(f"{base}/{name} has more than {most} bytes")
+        opened = fs.open(at)
+        try:
+            out.append((base, spark._jvm.org.apache.commons.io.IOUtils.toString(opened, "UTF-8").split("\n")))
+        finally:
+            opened.close()
+    return out
+
+
 def intake(spark: SparkSession, root: str, rules: list[policy.Rule], most: int = 1 << 20) -> DataFrame:
     """Every file with the decision on it: ``skip`` is the reason it is left out, null for accepted ones.
 

@@ -1,9 +1,10 @@
 """Generations: each build is written whole, checked, and made current by one rename.
 
-Tables of a generation are Parquet under ``generation_id=N``. The pointer is one JSON file
-that is written aside and renamed, through the file system Spark reads the store with; a
-reader sees the old or the new generation. What is not pointed at yet is never read, so a
-build that stops half-way leaves nothing to undo.
+A writer claims its generation's number by a file that only one can create. Tables of a
+generation are Parquet under ``generation_id=N``. Its pointer is a JSON file of its own, written
+aside and renamed to a name that was not there before; the highest one is served. So a reader
+sees the old or the new generation at every moment, also if the writer stops half-way, and what
+is not pointed at is never read. Pointers are read through the file system, without a Spark job.
 """
 
 from __future__ import annotations
@@ -22,26 +23,47 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, keep: int = 2):
         self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
         jvm = spark._jvm
-        self._path = lambda p: jvm.org.apache.hadoop.fs.Path(f"{self.root}/{p}")
+        self._path = lambda p: jvm.org.apache.hadoop.fs.Path(f"{self.root}/{p}".rstrip("/"))
         self._fs = self._path("x").getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _read(self, name: str) -> dict | None:
         if not self._fs.exists(self._path(name)):
             return None
-        return json.loads(self.spark.read.text(f"{self.root}/{name}", wholetext=True).first()[0])
-
-    def _write(self, name: str, value: dict) -> None:
-        aside = self._path(f".{name}-{uuid.uuid4().hex}")
-        out = self._fs.create(aside, True)
+        opened = self._fs.open(self._path(name))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(opened, "UTF-8"))
+        finally:
+            opened.close()
+
+    def _put(self, path, value: dict) -> None:
+        out = self._fs.create(path, True)
         out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         out.close()
-        self._fs.delete(self._path(name), False)
-        if not self._fs.rename(aside, self._path(name)):
-            raise OSError(f"could not rename to {name}")
+
+    def _point(self, number: int, value: dict) -> None:
+        aside = self._path(f"aside-{uuid.uuid4().hex}")
+        self._put(aside, value)
+        if not self._fs.rename(aside, self._path(f"current-{number}.json")):
+            raise OSError(f"could not publish generation {number}")
+
+    def _numbers(self, prefix: str) -> list[int]:
+        if not self._fs.exists(self._path("")):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(""))]
+        return sorted(int(n[len(prefix) :].split(".")[0]) for n in names if n.startswith(prefix))
+
+    def _claim(self) -> int:
+        """The next number, which no other writer has: only one can create its file."""
+        number = max([0, *self._numbers("claim-"), *self._numbers("current-")])
+        while True:
+            number += 1
+            if self._fs.createNewFile(self._path(f"claim-{number}")):
+                return number
 
     def current(self) -> dict | None:
         """The record of the generation that is served."""
-        return self._read("current.json")
+        pointers = self._numbers("current-")
+        return self._read(f"current-{pointers[-1]}.json") if pointers else None
 
     def table(self, name: str, generation: int | None = None) -> DataFrame:
         record = self.current() if generation is None else {"generation_id": generation}
@@ -65,9 +87,9 @@ class Store:
         A manifest equal to the served one publishes nothing, so a replayed batch is harmless.
         """
         served = self.current()
-        if served and all(served.get(k) == record.get(k) for k in ("manifest_hash", "config_fingerprint", "history_head")):
+        if served and all(served.get(k) == record.get(k) for k in ("manifest_hash", "config_fingerprint", "vectors", "history_head")):
             return served
-        number = max([0, *self.generations()]) + 1
+        number = self._claim()
         for name, df in tables.items():
             df.write.parquet(f"{self.root}/{name}/generation_id={number}")
         written = {n: self.spark.read.parquet(f"{self.root}/{n}/generation_id={number}") for n in tables}
@@ -76,8 +98,9 @@ class Store:
             self._drop(number)
             raise ValueError(f"not published: {', '.join(broken)}")
         record = record | {"generation_id": number, "built_at_ms": int(time.time() * 1000), "tables": sorted(tables)}
-        self._write("current.json", record)
-        for old in self.generations()[: -self.keep]:
+        self._point(number, record)
+        # a later claim may be a build that still runs, so only what is older than the served ones goes
+        for old in [n for n in self._numbers("current-") if n <= number][: -self.keep]:
             self._drop(old)
         return record
 
@@ -109,6 +132,8 @@ class Store:
     def _drop(self, generation: int) -> None:
         for name in TABLES:
             self._fs.delete(self._path(f"{name}/generation_id={generation}"), True)
+        for name in (f"current-{generation}.json", f"claim-{generation}"):
+            self._fs.delete(self._path(name), False)
 
     def purge(self) -> None:
         """Everything of this store."""
@@ -116,7 +141,7 @@ class Store:
 
     def fail(self, message: str | None) -> None:
         """Record the last error, or clear it."""
-        self._write("last_error.json", {"message": message, "at_ms": int(time.time() * 1000)})
+        self._put(self._path("last_error.json"), {"message": message, "at_ms": int(time.time() * 1000)})
 
     def last_error(self) -> str | None:
         return (self._read("last_error.json") or {}).get("message")
