@@ -151,17 +151,23 @@ def hot_windows(lists: DataFrame) -> DataFrame:
     same = [F.xxhash64("digest").alias("h1"), F.xxhash64(F.lit(7), "digest").alias("h2")]
     lists = lists.withColumns({"h1": same[0], "h2": same[1]})
     classes = lists.groupBy("d", "h1", "h2").agg(F.min(F.struct("id", "word", "start", "starts", "digest")).alias("rep")).select("d", "h1", "h2", "rep.*")
-    each = classes.select("d", "h1", "h2", "id", "word", "start", F.posexplode(F.arrays_zip("digest", "starts")).alias("k", "x"))
-    at = F.struct("id", (F.col("word") + F.col("k")).alias("word"), (F.col("start") + F.col("x.starts")).alias("start"), F.col("word").alias("list"))
-    each = checkpointed(each.select("d", "h1", "h2", "k", F.col("x.digest").alias("digest"), at.alias("at")))
+    classes = checkpointed(classes)
+    each = classes.select("*", F.explode(F.array_distinct("digest")).alias("x")).withColumn("k", (F.array_position("digest", F.col("x")) - 1).cast("int"))
+    at = F.struct("id", (F.col("word") + F.col("k")).alias("word"), (F.col("start") + F.get("starts", F.col("k"))).alias("start"), F.col("word").alias("list"))
+    each = checkpointed(each.select("d", "h1", "h2", F.col("x").alias("digest"), at.alias("at")))
     first = checkpointed(each.groupBy("d", "digest").agg(F.min("at").alias("first")))
-    by = W.partitionBy("d", "h1", "h2").orderBy("k")
-    known = each.join(first, ["d", "digest"])
-    follows = F.lag("first.id").over(by).eqNullSafe(F.col("first.id")) & (F.lag("first.list").over(by) == F.col("first.list"))
-    known = known.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
-    words = F.transform(F.sort_array(F.collect_list(F.struct("k", "first.word"))), lambda x: x["word"])
-    known = known.groupBy("d", "h1", "h2", "run").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.min("first").alias("first"), words.alias("words"))
-    known = checkpointed(known.groupBy("d", "h1", "h2").agg(F.collect_list(F.struct("a", "b", "first", "words")).alias("runs")))  # a list is within one text
+    # neighbours of one anchor repeat their words, so a list has some fifty different windows at most
+    firsts = each.join(first, ["d", "digest"]).groupBy("d", "h1", "h2").agg(F.map_from_entries(F.collect_list(F.struct("digest", "first"))).alias("firsts"))
+
+    def cut(f: Column) -> Column:
+        """Runs of windows whose first ones stand in one list."""
+        new = lambda k: (k == 0) | ~(F.get(f, k)["id"].eqNullSafe(F.get(f, k - 1)["id"]) & (F.get(f, k)["list"] == F.get(f, k - 1)["list"]))
+        heads = F.filter(F.sequence(F.lit(0), F.size(f) - 1), new)
+        run = lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.array_min(F.slice(f, a + 1, b - a + 1)).alias("first"), F.transform(F.slice(f, a + 1, b - a + 1), lambda x: x["word"]).alias("words"))
+        return with_value(heads, lambda h: F.transform(h, lambda a, i: run(a, F.coalesce(F.get(h, i + 1), F.size(f)) - 1)))
+
+    known = classes.select("d", "h1", "h2", "digest").join(firsts, ["d", "h1", "h2"])
+    known = checkpointed(known.select("d", "h1", "h2", with_value(F.transform("digest", lambda x: F.col("firsts")[x]), cut).alias("runs")))
     out = lists.join(known, ["d", "h1", "h2"]).withColumn("r", F.explode("runs"))
     # in the text where the first ones stand, each window counts for itself, where it does not overlap its first
     own = F.col("id").eqNullSafe(F.col("r.first.id"))
