@@ -47,4 +47,30 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_lost_words <= 0.4 * n_words AS kept FROM y
 """
 
-ORACLES = {"op1_embedding": EMBEDDING, "op3_chat": CHAT, "op8_quality": QUALITY}
+MERKLE = r"""
+WITH RECURSIVE d AS (SELECT *, CAST(doc_id AS VARCHAR) AS name, row_number() OVER () AS r FROM documents),
+e AS (SELECT *, crc32_even AND text IS NOT NULL AS cut FROM (SELECT *, coalesce(xor(list_reduce(list_prepend(4294967295, list_transform(string_split(name, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 2 = 0, false) AS crc32_even FROM d)),
+f AS (SELECT r, doc_id, source, cut, coalesce(strlen(name) || ':' || name, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head, text, replace(text, chr(10), '') AS bare FROM e),
+l AS (SELECT r, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN cut THEN sha256(head || strlen(bare) || ':' || bare) ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS found FROM f),
+n AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS size FROM l),
+tree AS (SELECT g, 0 AS level, i, size, leaf AS h FROM n
+  UNION ALL SELECT g, level + 1, i // 3, (size + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE size > 1 GROUP BY g, level, i // 3, size),
+sub AS (SELECT g, level AS top, h AS subroot FROM tree WHERE size = 1),
+whole AS (SELECT 0 AS level, g AS i, (SELECT count(*) FROM sub) AS size, subroot AS h FROM sub
+  UNION ALL SELECT level + 1, i // 3, (size + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM whole WHERE size > 1 GROUP BY level, i // 3, size),
+root AS (SELECT h AS root FROM whole WHERE size = 1),
+steps AS (SELECT n.r, t.level, n.g, n.i, coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i < own), '') AS a, coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i > own), '') AS b
+    FROM (SELECT *, unnest(range(0, 40)) AS level, i // CAST(pow(3, level) AS BIGINT) AS own FROM n) n JOIN tree t ON t.g = n.g AND t.level = n.level AND t.size > 1 AND t.i // 3 = n.own // 3 GROUP BY ALL
+  UNION ALL SELECT n.r, 100 + w.level, n.g, n.i, coalesce(string_agg(w.h, '' ORDER BY w.i) FILTER (w.i < own), ''), coalesce(string_agg(w.h, '' ORDER BY w.i) FILTER (w.i > own), '')
+    FROM (SELECT *, unnest(range(0, 40)) AS level, g // CAST(pow(3, level) AS BIGINT) AS own FROM n) n JOIN whole w ON w.level = n.level AND w.size > 1 AND w.i // 3 = n.own // 3 GROUP BY ALL),
+path AS (SELECT r, list({'a': a, 'b': b} ORDER BY level) AS p FROM steps GROUP BY r),
+done AS (SELECT n.doc_id, n.leaf, subroot, root, sha256(coalesce(list_aggregate(list_transform(p, lambda x: x.a || x.b), 'string_agg', ''), '')) AS proof_sha256,
+    list_reduce(list_prepend({'a': found, 'b': ''}, coalesce(p, [])), lambda x, y: {'a': sha256(y.a || x.a || y.b), 'b': ''}).a AS folded_root
+    FROM n JOIN sub USING (g) CROSS JOIN root LEFT JOIN path USING (r))
+SELECT *, folded_root = root AS verified FROM done
+"""
+
+ORACLES = {"op1_embedding": EMBEDDING, "op3_chat": CHAT, "op8_quality": QUALITY, "op12_merkle": MERKLE}

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding, license, mixing, packing, pii, quality, simhash, substring, tokencount
+from . import chat, embedding, license, merkle, mixing, packing, pii, quality, simhash, substring, tokencount
 from .common import table
 
 QUERIES: dict = {}
@@ -95,3 +95,16 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents, and the proof of each; half of them have lost their line ends since."""
+    docs = table(spark, sf_dir, "documents")
+    lost = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    now = F.when(lost, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    made = merkle.manifest(docs, found={"text": now})
+    back = merkle.folded(F.col("found_leaf"), F.col("path"))
+    digests = [merkle.hexed(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")]
+    made = made.select("doc_id", *digests, merkle.proof_digest(F.col("path")).alias("proof_sha256"), back.alias("folded_root"))
+    return made.withColumn("verified", F.col("folded_root") == F.col("root"))
