@@ -6,8 +6,8 @@ the next level until one is left, and the groups' last nodes become one root in
 
 Proofs are found by coordinates. Where a leaf's siblings stand follows from its index and its group's
 size alone, so each leaf lists the coordinates (group, level, index) that it needs and joins the
-table of nodes. Nodes near a root would be asked for by all leaves; so levels are taken four at a
-time, a leaf asks within its own block of ``run`` ** 4 leaves, the block asks likewise for its
+table of nodes. Nodes near a root would be asked for by all leaves; so levels are taken six at a
+time, a leaf asks within its own block of ``run`` ** 6 leaves, the block asks likewise for its
 own levels above, and a leaf takes over its block's proof. No key of any join has more rows than
 that block, whatever the size of a group.
 """
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 #: Levels that are built and looked up together.
-LEVELS = 4
-#: Groups up to which their numbers, some 100 bytes each, are broadcast; beyond, rows are shuffled by group.
+LEVELS = 6
+#: Groups up to which their numbers, some 100 bytes each, are broadcast and their tree is one task's; beyond, both are shuffled.
 BROADCAST_GROUPS = 10_000
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -167,10 +167,13 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "source",
     leaves = docs.select(F.col(id_col).alias("id"), F.col(group_col).alias("group"), leaf({}).alias("leaf"), leaf(found or {}).alias("found_leaf"))
     leaves = numbered(checkpointed(leaves), "group", "id", "leaf", "found_leaf")
     groups = leaves.groupBy("group").agg(F.min("at").alias("start"), F.count("*").alias("n"))
-    groups = checkpointed(numbered(groups, "group").withColumnRenamed("at", "g"))
-    count = groups.count()
-    few = F.broadcast(groups) if count <= BROADCAST_GROUPS else groups
-    named = leaves.join(few.withColumnRenamed("group", "of"), F.col("group").eqNullSafe(F.col("of")))
+    groups = checkpointed(groups)
+    few = (count := groups.count()) <= BROADCAST_GROUPS
+    if few:
+        groups = F.broadcast(groups.withColumn("g", (F.row_number().over(W.orderBy("group")) - 1).cast("long")))
+    else:
+        groups = checkpointed(numbered(groups, "group").withColumnRenamed("at", "g"))
+    named = leaves.join(groups.withColumnRenamed("group", "of"), F.col("group").eqNullSafe(F.col("of")))
     leaves = checkpointed(named.select("id", "leaf", "found_leaf", "g", "n", (F.col("at") - F.col("start")).alias("i")))
 
     tiers = rising(leaves.select("g", "n", "i", F.col("leaf").alias("digest")), run)
@@ -180,6 +183,7 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "source",
     else:
         # the groups' roots are the leaves of the last tree, which has one group
         subroots = tops(tiers[-1]).select(F.lit(0).cast("long").alias("g"), F.lit(count).cast("long").alias("n"), F.col("g").alias("i"), "digest")
+        subroots = checkpointed(subroots.coalesce(1)) if few else subroots
         last = rising(subroots, run)
         root = tops(last[-1]).select("g", F.col("digest").alias("root"), none.alias("path"))
         above = with_paths(subroots, last, root, run).select(F.col("i").alias("g"), F.col("digest").alias("subroot"), "root", "path")
