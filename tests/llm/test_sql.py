@@ -27,4 +27,4 @@ def test_query_equals_its_sql(spark, name):
 
 def test_one_query_an_operator():
     names = list(registry.queries())
-    assert names == [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")] + ["pipeline"]
+    assert names == [n for k in range(1, 13) for n in names if n.startswith(f"op{k}_")] + ["pipeline"]

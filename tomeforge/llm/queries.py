@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding, license, merkle, mixing, packing, pii, quality, simhash, substring, tokencount
+from . import chat, embedding, license, merkle, mixing, packing, pii, quality, simhash, substring, tokencount, toxicity
 from .common import table
 
 QUERIES: dict = {}
@@ -97,6 +97,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+@query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest of all documents, and the proof of each; half of them have lost their line ends since."""
