@@ -14,12 +14,17 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", path, "source", "lang", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def lines(files: DataFrame) -> DataFrame:
+    """Each line that is not blank as ``body``, with its number ``line``, in place of ``text``."""
+    held = [c for c in files.columns if c != "text"]
+    cut = files.select(*held, F.posexplode(F.split("text", "\n", -1)).alias("at", "body")).where(F.trim("body") != "")
+    return cut.select(*held, (F.col("at") + 1).cast("int").alias("line"), "body")
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chunk per line that is not blank, with its line number; the first line of a file is its heading."""
-    cut = files(spark, sf_dir).select("doc_id", "path", F.posexplode(F.split("text", "\n", -1)).alias("at", "body"))
-    cut = cut.where(F.trim("body") != "")
-    ids = F.concat(F.col("doc_id"), F.lit(":"), F.col("at") + 1)
-    return cut.select(ids.alias("chunk_id"), "doc_id", "path", (F.col("at") + 1).cast("int").alias("line"), "body")
+    cut = lines(files(spark, sf_dir).select("doc_id", "path", "text"))
+    return cut.select(F.concat(F.col("doc_id"), F.lit(":"), F.col("line")).alias("chunk_id"), "doc_id", "path", "line", "body")
 
 
 #: The same rows in SQL, for oracles: ``files`` and ``chunks``.
