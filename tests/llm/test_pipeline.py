@@ -6,6 +6,7 @@ import os
 import pytest
 
 import corpus_pipeline as pipeline
+from tomeforge.llm import simhash
 from tests.llm.test_corpus import components_by_all_pairs, parts_of, plain_fingerprint
 from tests.llm.test_documents import measured, spans_of
 
