@@ -19,15 +19,17 @@ Every text is then scored as a whole.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, release
+from .common import bounded_batches, checkpoint_folder, checkpointed, release, remove
 
 #: Labelled documents of a class that the models are fitted on, at most.
 SAMPLE = 6000
@@ -76,14 +78,15 @@ def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (toxic, half, u, v, w) of each text, u and v empty where it begins."""
+    """Distinct (toxic, half, u, v, w) of each text, v empty where it begins; only how many u differ matters, so it is a checksum."""
     for batch in batches:
         for toxic, half, text in zip(*(c.to_pylist() for c in batch.columns)):
             ws = [w for part in words(text) for w in part]
             for at in range(0, len(ws), PIECE):
                 part = ["", ""] * (at == 0) + ws[max(at - 2, 0) : at + PIECE]
                 seen = list(set(zip(part, part[1:], part[2:])))
-                columns = [pa.array([s[i] for s in seen], pa.string()) for i in range(3)]
+                left = np.array([crc32(s[0].encode()) for s in seen], np.uint32).view(np.int32)
+                columns = [pa.array(left), *[pa.array([s[i] for s in seen], pa.string()) for i in (1, 2)]]
                 flags = [pa.array([toxic] * len(seen), pa.bool_()), pa.array([half] * len(seen), pa.int32())]
                 yield pa.RecordBatch.from_arrays([*flags, *columns], names=["toxic", "half", "u", "v", "w"])
 
@@ -99,29 +102,30 @@ def counted(sample: DataFrame, least: int) -> tuple:
     Nodes are words and their beginnings, each with what it goes on from. All are collected: expressions
     of ``least`` neighbours or more in a bounded sample, and a row of totals.
     """
-    grams = sample.mapInArrow(_trigrams, "toxic boolean, half int, u string, v string, w string")
-    grams = checkpointed(grams.groupBy("toxic", "u", "v", "w").agg(F.bit_or("half").alias("m")))
-    pairs = checkpointed(grams.groupBy("toxic", "v", "w").agg(*_by_half(), F.bit_or("m").alias("m")))
+    spark, folder = sample.sparkSession, f"{checkpoint_folder(sample.sparkSession)}/toxicity-{uuid.uuid4().hex}"
+
+    def stored(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
     n = lambda h: F.col(f"n{h}_0") + F.col(f"n{h}_1")
-    by_class = [F.sum(F.when(F.col("toxic") == c, F.col(f"n{h}")).otherwise(0)).alias(f"n{h}_{int(c)}") for h in (1, 2, 3) for c in (False, True)]
-    words = checkpointed(pairs.groupBy("toxic", "w").agg(*_by_half()).groupBy("w").agg(*by_class))
-    both = pairs.groupBy("v", "w").agg(*by_class)
+    counts = [(h, c, f"n{h}_{c}") for h in (1, 2, 3) for c in (0, 1)]
+    grams = sample.mapInArrow(_trigrams, "toxic boolean, half int, u int, v string, w string").repartition("v", "w")
+    grams = grams.groupBy("v", "w", "toxic", "u").agg(F.bit_or("half").alias("m"))
+    pairs = stored(grams.groupBy("v", "w").agg(*[F.count_if((F.col("toxic") == bool(c)) & (F.col("m").bitwiseAND(h) > 0)).cast("int").alias(name) for h, c, name in counts]), "pairs")
+    words = stored(pairs.groupBy("w").agg(*[F.count_if(F.col(name) > 0).cast("int").alias(name) for _, _, name in counts]), "words")
     ones = [F.count_if(n(h) == k).alias(f"ones{h}_{k}") for h in (1, 2, 3) for k in (1, 2)]
-    totals = {"word": words.agg(*ones).first(), "pair": both.agg(*ones, *[F.sum(f"n{h}_{c}").alias(f"mass{h}_{c}") for h in (1, 2, 3) for c in (0, 1)]).first()}
+    totals = {"word": words.agg(*ones).first(), "pair": pairs.agg(*ones, *[F.sum(name).alias(f"mass{h}_{c}") for h, c, name in counts]).first()}
     # a word is a node under its longest beginning, that one under the next, and the shortest under the root
     cut = F.array(*[F.when(F.length("w") > k, F.concat(F.substring("w", 1, k), F.lit("*"))) for k in BEGINNINGS])
     chain = F.concat(F.array(F.lit("")), F.array_compact(cut), F.array("w"))
-    sums = [F.sum(f"n{h}_{c}").alias(f"n{h}_{c}") for h in (1, 2, 3) for c in (0, 1)]
     steps = words.select("*", F.posexplode(chain).alias("k", "node")).select("*", F.when(F.col("k") > 0, F.get(chain, F.col("k") - 1)).alias("parent"))
-    nodes = checkpointed(steps.groupBy("node", "parent").agg(*sums))
-    types = [F.count_if(F.col(f"n{h}_{c}") > 0).alias(f"types{h}_{c}") for h in (1, 2, 3) for c in (0, 1)] + [F.count_if(n(h) > 0).alias(f"types{h}") for h in (1, 2, 3)]
+    nodes = stored(steps.groupBy("node", "parent").agg(*[F.sum(name).alias(name) for _, _, name in counts]), "nodes")
+    types = [F.count_if(F.col(name) > 0).alias(f"types{h}_{c}") for h, c, name in counts] + [F.count_if(n(h) > 0).alias(f"types{h}") for h in (1, 2, 3)]
     below = nodes.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(*types)
-    kept = nodes.where(n(3) >= least).join(below, "node", "left")
-    return both.where((n(3) >= least) & (F.col("v") != "")).toPandas(), kept.toPandas(), totals
-
-
-def _by_half() -> list[Column]:
-    return [F.count_if(F.col("m").bitwiseAND(h) > 0).alias(f"n{h}") for h in (1, 2)] + [F.count("*").alias("n3")]
+    found = pairs.where((n(3) >= least) & (F.col("v") != "")).toPandas(), nodes.where(n(3) >= least).join(below, "node", "left").toPandas(), totals
+    remove(spark, folder)
+    return found
 
 
 def discount(totals, half: int) -> float:
