@@ -83,11 +83,21 @@ def remote_name(url: Column) -> Column:
 
 
 def duration(ms: Column) -> Column:
-    """Seconds with one decimal under a minute, half tenths up; else minutes and whole seconds."""
-    seconds = ms / 1000
+    """Seconds with one decimal under a minute, else minutes and whole seconds; of whole milliseconds.
+
+    The decimal is that of the double nearest to the seconds, rounded as its exact value is: where that stands on a
+    tie, to the even tenth. A tie of milliseconds is one of the double only if no bits were lost on the way there.
+    """
+    seconds = ms.cast("double") / 1000
     minutes = F.floor(seconds / 60)
     long = F.format_string("%dm %02ds", minutes, F.floor(seconds - minutes * 60))
-    return F.when(seconds < 60, F.format_string("%d.%ds", F.floor((ms + 50) / 1000), F.floor((ms + 50) % 1000 / 100))).otherwise(long)
+    # the double as a whole number of 2^-57, which under a minute fits a long, and from 50 ms on is exact
+    exact = F.least(seconds, F.lit(60.0)) * float(1 << 57)
+    lost = exact.cast("long").cast("decimal(38,0)") * 1000 - ms.cast("decimal(38,0)") * F.lit(1 << 57).cast("decimal(20,0)")
+    tenths, rest = F.floor(ms / 100), F.pmod(ms, F.lit(100))
+    up = F.when(rest != 50, rest > 50).when(lost != 0, lost > 0).otherwise(tenths % 2 == 1)
+    tenths = tenths + up.cast("int")
+    return F.when(seconds < 60, F.format_string("%d.%ds", F.floor(tenths / 10), tenths % 10)).otherwise(long)
 
 
 def utc(ms: Column) -> Column:

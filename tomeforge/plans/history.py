@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.arrays import running, with_value
 from ..operators import chunking, lexical
 from ..session import table
 from ..sources import corpus
@@ -46,11 +47,10 @@ def history_search(spark, sf_dir):
 SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(sum(n + 1) OVER (PARTITION BY doc_id ORDER BY line) - n - 1 AS BIGINT) AS byte_start, CAST(sum(n + 1) OVER (PARTITION BY doc_id ORDER BY line) - 1 AS BIGINT) AS byte_end FROM l""")
 def line_byte_ranges(spark, sf_dir):
     """Running sums in the row: a file's lines are in one array, so nothing is shuffled."""
-    sizes = F.transform(F.split("text", "\n", -1), lambda x: F.octet_length(x).cast("long"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
-    starts = F.aggregate(sizes, zero, lambda a, n: F.struct((a["at"] + n + 1).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")))["starts"]
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.arrays_zip(sizes.alias("n"), starts.alias("s"))).alias("k", "z"))
-    return rows.select("doc_id", (F.col("k") + 1).alias("line"), F.col("z.s").alias("byte_start"), (F.col("z.s") + F.col("z.n")).alias("byte_end"))
+    sizes = F.transform(F.split("text", "\n", -1), F.octet_length)
+    ranges = with_value(sizes, lambda n: with_value(running(F.transform(n, lambda x: x + 1)), lambda ends: F.arrays_zip(n.alias("n"), ends.alias("e"))))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(ranges.cast("array<struct<n:bigint,e:bigint>>")).alias("k", "z"))
+    return rows.select("doc_id", (F.col("k") + 1).alias("line"), (F.col("z.e") - F.col("z.n") - 1).alias("byte_start"), (F.col("z.e") - 1).alias("byte_end"))
 
 
 @register("SELECT doc_id, CASE WHEN length(text) > 500 THEN substring(text, 1, 500) || '…' ELSE text END AS excerpt FROM documents")

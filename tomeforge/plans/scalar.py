@@ -44,7 +44,7 @@ def usage_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", host.usage(record).alias("u")).select("event_id", "u.input", "u.cost")
 
 
-@register("SELECT event_id, CASE WHEN event_id * 37 < 60000 THEN printf('%d.%ds', (event_id * 37 + 50) // 1000, (event_id * 37 + 50) % 1000 // 100) ELSE printf('%dm %02ds', event_id * 37 // 60000, event_id * 37 % 60000 // 1000) END AS shown FROM events")
+@register("SELECT event_id, CASE WHEN event_id * 37 < 60000 THEN printf('%.1fs', CAST(event_id * 37 AS DOUBLE) / 1000) ELSE printf('%dm %02ds', event_id * 37 // 60000, event_id * 37 % 60000 // 1000) END AS shown FROM events")
 def durations(spark, sf_dir):
     ms = F.col("event_id") * 37
     return table(spark, sf_dir, "events").select("event_id", text.duration(ms).alias("shown"))
