@@ -1,6 +1,7 @@
 """Operators that judge each document for itself, against plain Python."""
 
 import collections
+import hashlib
 import re
 import zlib
 
@@ -310,6 +311,11 @@ def test_one_long_text_takes_time_in_proportion(spark):
     assert clean == "[EMAIL] [PHONE], " * 20_000
     form = timed("chat", lambda: chat.formatted(turns).first())
     assert len(form.loss_spans) == 30_000 and form.formatted[form.loss_spans[-1].start :].startswith("turn 59999<|im_end|>")
+    back = timed("read back", lambda: chat.read_back(chat.formatted(turns)).select(F.size("turns").alias("n"), F.sha2("loss", 256).alias("h")).first())
+    assert back.n == 60_000 and back.h == hashlib.sha256("".join(f"turn {i}" for i in range(1, 60_000, 2)).encode()).hexdigest()
+    twice = lines.unionByName(lines.select(F.lit(2).cast("long").alias("doc_id"), F.concat(F.lit("x\n"), "text").alias("text"))).unionByName(lines.limit(0))
+    cut = timed("without repeats", lambda: {r.doc_id: r.text for r in substring.without_repeats(twice, unit="line").collect()})
+    assert cut == {1: lines.first().text, 2: "x\n"}
     notice = b"licensed under the gnu general public license and released under the mit license. " * 10_000
     result = timed("license", lambda: license.scan(notice, license.PHRASES, license.NOTICES, 0.1))
     assert result[1] == 10_000 and len(result[-1]) == 20_000

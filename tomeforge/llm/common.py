@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import in_parts, pieces, running, with_value  # noqa: F401  # for the operators
+
 #: A word is a run of characters other than ASCII white space; this class is that white space.
 SPACE = r"[\x20\x09-\x0D]"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -79,40 +81,6 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE + "+"))
 
 
-def with_value(value: Column, use) -> Column:
-    """use(value) with value computed once a row, also where ``use`` names it inside lambdas."""
-    return F.transform(F.array(value), use)[0]
-
-
-#: Values of an array that are taken together by ``running``.
-TOGETHER = 128
-
-
-def in_parts(values: Column) -> Column:
-    """An array cut into arrays of ``TOGETHER`` values, the last one shorter."""
-    at = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / TOGETHER).cast("int"))
-    parts = F.transform(at, lambda i: F.slice(values, i * TOGETHER + 1, TOGETHER))
-    return F.when(F.size(values) > 0, parts).otherwise(F.slice(F.array(values), 1, 0))
-
-
-def running(values: Column, join=lambda a, b: a + b) -> Column:
-    """Running sums of an array of ints, or running values of another associative ``join``.
-
-    An array that grows by one value copies itself each time. So parts are scanned each for
-    itself, and then their ends: the time is near linear in arrays of millions.
-    """
-    last = lambda a: F.get(a, F.size(a) - 1)
-    add = lambda a, x: F.concat(a, F.array(F.when(F.size(a) > 0, join(last(a), x)).otherwise(x)))
-    scan = lambda xs: F.aggregate(xs, F.array().cast("array<int>"), add)
-
-    def carried(parts: Column) -> Column:
-        ends = scan(F.transform(parts, last))
-        on = lambda e: F.flatten(F.transform(parts, lambda p, i: F.transform(p, lambda x: F.when(i > 0, join(F.get(e, i - 1), x)).otherwise(x))))
-        return with_value(ends, on)
-
-    return with_value(F.transform(in_parts(values), scan), carried)
-
-
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Regroup sorted Arrow batches so that no run of equal keys is cut.
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpoint_folder, checkpointed, own, release, running, runs, wanted_rows, with_value
+from .common import bounded_batches, checkpoint_folder, checkpointed, own, pieces, release, running, runs, wanted_rows, with_value
 from .passages import ANCHOR, WINDOW, Words
 
 #: Where units end: zero-width, so the units of a text add up to it.
@@ -280,19 +280,23 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uni
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "passage", min_words: int = 8) -> DataFrame:
-    """``docs`` with repeated units cut from the text, and ``kept_spans``: (start, end) of what is left, in the original text."""
+    """``docs`` with repeated units cut from the text, and ``kept_spans``: (start, end) of what is left, in the original text.
+
+    A null text stays null, and it and an empty one have no spans. Extra columns stay as they are; an empty table gives an empty result.
+    """
     spans, source = own("spans"), own("source")
     gone = repeats(docs, id_col, text_col, unit, min_words)
     gone = gone.groupBy(F.col(id_col).alias(source)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(spans))
     text = F.coalesce(F.col(text_col), F.lit(""))
 
-    def add(a: Column, x: Column) -> Column:
-        kept = F.when(x["start"] > a["at"], F.array(F.struct(a["at"].alias("start"), x["start"].alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.concat(a["kept"], kept).alias("kept"))
+    def left(s: Column) -> Column:
+        """What stands between each span's start and the end of all before it."""
+        since = lambda ends, i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+        between = lambda ends: F.transform(s, lambda x, i: F.struct(since(ends, i).alias("start"), x["start"].alias("end")))
+        return F.filter(with_value(running(F.transform(s, lambda x: x["end"]), F.greatest), between), lambda x: x["end"] > x["start"])
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("kept"))
     tail = F.array(F.struct(F.length(text).alias("start"), F.length(text).alias("end")))
-    kept = F.aggregate(F.concat(F.coalesce(F.col(spans), F.array().cast("array<struct<start:int,end:int>>")), tail), zero, add)["kept"]
+    kept = with_value(F.concat(F.coalesce(F.col(spans), F.array().cast("array<struct<start:int,end:int>>")), tail), left)
     out = docs.join(gone, F.col(id_col).eqNullSafe(F.col(source)), "left").withColumn("kept_spans", kept)
-    cut = F.array_join(F.transform("kept_spans", lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])), "")
+    cut = F.array_join(pieces(text, F.transform("kept_spans", lambda s: F.struct(s["start"].alias("start"), (s["end"] - s["start"]).alias("length")))), "")
     return out.withColumn(text_col, F.when(F.col(text_col).isNotNull(), cut)).select(*docs.columns, "kept_spans")
