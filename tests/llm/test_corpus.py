@@ -171,7 +171,7 @@ def plain_units(text, cut):
 
 @pytest.mark.parametrize("unit", ["line", "sentence"])
 def test_repeats(spark, edge, empty, sf, unit):
-    docs = edge.select("doc_id", "text").unionByName(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")).where("doc_id is null or doc_id != 7")
+    docs = edge.select("doc_id", "text").unionByName(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
     cut = {"line": r"(?<=\n)", "sentence": r"(?<=\n)|(?<=[.!?])(?=[ \t])"}[unit]
     seen = collections.defaultdict(set)
     for i, t in docs.collect():
@@ -232,7 +232,7 @@ def plain_words(text):
 
 @pytest.mark.parametrize("most", [4096, 3])
 def test_lines_and_windows_by_brute_force(spark, edge, sf, most):
-    """Words in repeated lines of 25 words, in whole copies, and in repeated windows of 50, also where all anchors are hot."""
+    """Words in repeated lines of 8 words, in whole copies, and in repeated windows of 50, also where all anchors are hot."""
     rng = np.random.default_rng(12)
     fresh = lambda n: [f"q{x}" for x in rng.integers(0, 10**9, n)]
     shared = fresh(90)
@@ -247,9 +247,9 @@ def test_lines_and_windows_by_brute_force(spark, edge, sf, most):
     units = collections.defaultdict(list)
     for k, ((i, t), w) in enumerate(zip(rows, cut)):
         words, starts = [x for x, *_ in w], [a for _, a, _ in w]
-        ranges = {(0, len(w))} if len(w) >= 25 else set()
+        ranges = {(0, len(w))} if len(w) >= 8 else set()
         ends = [np.searchsorted(starts, m.end()) for m in re.finditer("\n", t or "")]
-        ranges |= {(a, b) for a, b in zip([0, *ends], [*ends, len(w)]) if b - a >= 25} | {(a, a + 50) for a in range(len(w) - 49)}
+        ranges |= {(a, b) for a, b in zip([0, *ends], [*ends, len(w)]) if b - a >= 8} | {(a, a + 50) for a in range(len(w) - 49)}
         for a, b in ranges:
             units[tuple(words[a:b]), b - a == 50].append((i is not None, i or 0, a, k))
     want = collections.defaultdict(set)
@@ -259,7 +259,7 @@ def test_lines_and_windows_by_brute_force(spark, edge, sf, most):
             if (some, i) != first[:2] or a >= first[2] + len(words):
                 want[rows[k]] |= {(cut[k][j][1], cut[k][j][2]) for j in range(a, a + len(words))}
     got = collections.defaultdict(set)
-    found = substring.repeated_passages(docs, "doc_id", "text", False, 25, most).collect()
+    found = substring.repeated_passages(docs, "doc_id", "text", False, 8, most).collect()
     ids = collections.Counter(i for i, _ in set(rows))
     words_of = {row[0]: (row, w) for row, w in zip(rows, cut) if ids[row[0]] == 1}
     for r in found:

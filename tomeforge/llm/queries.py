@@ -34,8 +34,8 @@ def op1_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The passages to remove, one row each, with the place of the one that stays: lines of 25 words or more, and 50 words wherever they start."""
-    return substring.repeats(table(spark, sf_dir, "documents"), unit="line_or_window", min_words=25)
+    """The passages to remove, one row each, with the place of the one that stays: lines of 8 words or more, and 50 words wherever they start."""
+    return substring.repeats(table(spark, sf_dir, "documents"), unit="line_or_window", min_words=8)
 
 
 @query
