@@ -21,18 +21,6 @@ def measurable() -> Column:
     return (F.col("status") == "completed") | timed_out()
 
 
-def percentile_floor(values: Column, p: float) -> Column:
-    """Sorted value at the whole part of p / 100 * (n - 1)."""
-    ordered = F.array_sort(values)
-    return F.get(ordered, F.floor(F.lit(p / 100) * (F.size(ordered) - 1)).cast("int"))
-
-
-def percentile_nearest(values: Column, p: float) -> Column:
-    """Sorted value of rank ceil(p / 100 * n), at least the first."""
-    ordered = F.array_sort(values)
-    return F.get(ordered, F.greatest(F.ceil(F.lit(p / 100) * F.size(ordered)).cast("int") - 1, F.lit(0)))
-
-
 def status_counts(plan: DataFrame, trials: DataFrame, keys: list[str]) -> DataFrame:
     """By condition, over the plan: slots without a trial count as not started; timeouts are no errors."""
     status = F.coalesce("status", F.lit("not_started"))
@@ -47,10 +35,9 @@ def status_counts(plan: DataFrame, trials: DataFrame, keys: list[str]) -> DataFr
 
 def grade_summary(graded: DataFrame) -> DataFrame:
     """Passes and failures overall, by condition and by task, in one aggregate; null stands for all."""
-    graded.createOrReplaceTempView("tomeforge_graded")
-    return graded.sparkSession.sql("""
-        SELECT condition, task, count_if(grade = 'pass') AS passed, count_if(grade = 'fail') AS failed, count_if(grade = 'not_graded') AS not_graded
-        FROM tomeforge_graded GROUP BY GROUPING SETS ((), (condition), (task))""")
+    counts = [F.count_if(F.col("grade") == g).alias(c) for g, c in (("pass", "passed"), ("fail", "failed"), ("not_graded", "not_graded"))]
+    condition, task = F.col("condition"), F.col("task")
+    return graded.groupingSets([[], [condition], [task]], condition, task).agg(*counts)
 
 
 def described(trials: DataFrame) -> DataFrame:

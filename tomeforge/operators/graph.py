@@ -6,25 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .intervals import first_cover
+
 # What is tried after a relative module name, in order.
 SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
 
 
 def covering_chunk(points: DataFrame, chunks: DataFrame, line: str = "line") -> DataFrame:
     """``points`` (path, ref_id, line) with the first chunk, by ``ord``, whose lines cover it; null if none does."""
-    within = (F.col(line) >= F.col("line_start")) & (F.col(line) <= F.col("line_end"))
-    places = points.select("path", "ref_id", line)
-    found = places.join(chunks.select("path", "line_start", "line_end", "ord", "chunk_id"), "path").where(within)
-    first = found.groupBy("ref_id").agg(F.min_by("chunk_id", "ord").alias("chunk_id"))
-    return points.join(first, "ref_id", "left")
+    return first_cover(points, chunks, ["path"], line, "line_start", "line_end", F.col("ord"), "chunk_id")
 
 
 def local_symbols(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """``refs`` (ref_id, path, name, line) with ``symbol_id``: the first same-named symbol declared at or above, else the first below."""
-    named = symbols.select("path", "name", F.col("line_start").alias("declared"), "ord", "symbol_id")
-    found = refs.select("ref_id", "path", "name", "line").join(named, ["path", "name"])
-    best = found.groupBy("ref_id").agg(F.min_by("symbol_id", F.struct(F.col("declared") > F.col("line"), F.col("ord"))).alias("symbol_id"))
-    return refs.join(best, "ref_id", "left")
+    """``refs`` (ref_id, path, name, line) with ``symbol_id``: the first same-named symbol declared at or above, else the first below.
+
+    A declaration covers all lines from its own on. If none does, all are below, so the first of the name is meant.
+    """
+    named = symbols.select("path", "name", F.col("line_start").alias("declared"), F.lit((1 << 31) - 1).alias("forever"), "ord", "symbol_id")
+    found = first_cover(refs, named, ["path", "name"], "line", "declared", "forever", F.col("ord"), "symbol_id").withColumnRenamed("symbol_id", "above")
+    first = named.groupBy("path", "name").agg(F.min_by("symbol_id", F.struct("ord", "symbol_id")).alias("below"))
+    out = found.join(first, ["path", "name"], "left").withColumn("symbol_id", F.coalesce("above", F.when(F.col("line").isNotNull(), F.col("below"))))
+    return out.select(*refs.columns, "symbol_id")
 
 
 def module_base(importer: Column, module: Column) -> Column:
@@ -47,6 +49,13 @@ def resolved_modules(imports: DataFrame, files: DataFrame) -> DataFrame:
     return imports.join(found.groupBy("ref_id").agg(F.min_by("target", "pos").alias("target")), "ref_id", "left")
 
 
+def importers(imports: DataFrame, paths: DataFrame) -> DataFrame:
+    """Files with an import that means, or could mean, one of ``paths``: what a change there may concern."""
+    tries = F.transform(F.array(*[F.lit(s) for s in SUFFIXES]), lambda s: F.concat(module_base(F.col("path"), F.col("module")), s))
+    tried = imports.select(F.col("path").alias("importer"), F.explode(tries).alias("path"))
+    return tried.join(paths.select("path").distinct(), "path", "left_semi").select(F.col("importer").alias("path")).distinct()
+
+
 def edges_out(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """(chunk_id, target_chunk_id, kind, name): from a chunk's references to the chunks that declare what they mean."""
     to = symbols.select(F.col("symbol_id").alias("target_symbol_id"), F.col("chunk_id").alias("target_chunk_id"))

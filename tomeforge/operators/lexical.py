@@ -39,10 +39,35 @@ def postings(chunks: DataFrame, fields: tuple[str, ...], extra: tuple[str, ...]
     return rows.groupBy("term", "field", key, "length").agg(F.count("*").alias("tf"))
 
 
-def corpus_stats(chunks: DataFrame, fields: tuple[str, ...], extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row: number of chunks, and their mean length over all fields."""
+def positional(chunks: DataFrame, fields: tuple[str, ...], extra: tuple[str, ...] = (), key: str = "chunk_id") -> DataFrame:
+    """``postings`` with ``positions``, where each term stands in its field, ascending from 0."""
+    rows = tokenized(chunks, fields, extra, key).select(key, "field", "length", F.posexplode("tokens").alias("at", "term"))
+    return rows.groupBy("term", "field", key, "length").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
+
+
+def phrase_postings(found: DataFrame, phrases: list[list[str]], key: str = "chunk_id") -> DataFrame:
+    """(term, field, key, tf, length) of phrases, ``term`` being a phrase's tokens with spaces, from ``positional`` rows of their tokens.
+
+    A phrase stands where the positions of its tokens, each less its place in the phrase, have a number in common; how
+    often it does is its ``tf``. Only position lists of the query's tokens are read and shuffled, and no text. Phrases
+    of one token are taken as they are; one that is named twice counts once, and empty ones are left out.
+    """
+    wanted = sorted({tuple(p) for p in phrases if p})
+    places = [F.when(F.col("term") == t, F.struct(F.lit(" ".join(p)).alias("phrase"), F.lit(len(p)).alias("size"), F.lit(i).alias("i"))) for p in wanted for i, t in enumerate(p)]
+    rows = found.withColumn("p", F.explode(F.array_compact(F.array(*places)))) if places else found.withColumn("p", F.expr("struct('' as phrase, 0 as size, 0 as i)")).limit(0)
+    starts = F.transform("positions", lambda x: x - F.col("p.i"))
+    lists = rows.groupBy("p.phrase", "p.size", "field", key, "length").agg(F.collect_list(starts).alias("lists"))
+    # a phrase's tokens are as many lists of one field of one chunk
+    common = F.aggregate(F.slice("lists", 2, F.size("lists")), F.get("lists", 0), F.array_intersect)
+    met = lists.where(F.size("lists") == F.col("size")).withColumn("tf", F.size(common).cast("long"))
+    return met.where("tf > 0").select(F.col("phrase").alias("term"), "field", key, "tf", "length")
+
+
+def corpus_stats(chunks: DataFrame, fields: tuple[str, ...], extra: tuple[str, ...] = (), by: str | None = None) -> DataFrame:
+    """One row: number of chunks, and their mean length over all fields; or a row for each value of ``by``, with all ``words``."""
     length = reduce(lambda a, b: a + b, [F.size(tokens(F.col(f))) for f in (*fields, *extra)])
-    return chunks.agg(F.count("*").alias("n"), F.avg(length).alias("mean_length"))
+    figures = F.count("*").alias("n"), F.avg(length).alias("mean_length")
+    return chunks.groupBy(by).agg(*figures, F.sum(length).alias("words")) if by else chunks.agg(*figures)
 
 
 def contributions(found: DataFrame, stats: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import experiments as ex
-from ..operators import grading
+from ..operators import grading, selection
 from ..session import table
 
 QUERIES: dict = {}
@@ -89,14 +89,13 @@ def plan_shuffle(spark, sf_dir):
 
 @register(f"WITH {TRIALS} SELECT condition, list_sort(list(agent_ms))[CAST(floor(0.95 * (count(*) - 1)) AS INTEGER) + 1] AS p95 FROM trials WHERE {MEASURABLE} GROUP BY 1")
 def median_percentile_floor(spark, sf_dir):
-    rows = trials(spark, sf_dir).where(ex.measurable()).groupBy("condition").agg(F.collect_list("agent_ms").alias("all"))
-    return rows.select("condition", ex.percentile_floor(F.col("all"), 95).alias("p95"))
+    return selection.percentiles(trials(spark, sf_dir).where(ex.measurable()), ["condition"], "agent_ms", {"p95": ("floor", 95)})
 
 
 @register(f"WITH {TRIALS} SELECT condition, list_sort(list(agent_ms))[greatest(CAST(ceil(0.95 * count(*)) AS INTEGER), 1)] AS p95, list_sort(list(agent_ms))[greatest(CAST(ceil(0.5 * count(*)) AS INTEGER), 1)] AS p50 FROM trials WHERE {MEASURABLE} GROUP BY 1")
 def percentile_nearest_rank(spark, sf_dir):
-    rows = trials(spark, sf_dir).where(ex.measurable()).groupBy("condition").agg(F.collect_list("agent_ms").alias("all"))
-    return rows.select("condition", ex.percentile_nearest(F.col("all"), 95).alias("p95"), ex.percentile_nearest(F.col("all"), 50).alias("p50"))
+    wanted = {"p95": ("nearest", 95), "p50": ("nearest", 50)}
+    return selection.percentiles(trials(spark, sf_dir).where(ex.measurable()), ["condition"], "agent_ms", wanted)
 
 
 AUDIT = """audit AS (SELECT trial, CASE trial % 6 WHEN 0 THEN 'not_observed' WHEN 1 THEN 'incomplete' ELSE 'observed' END AS audit_status, trial % 4 AS succeeded, trial % 3 AS failed,

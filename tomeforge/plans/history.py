@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.arrays import running, with_value
-from ..operators import chunking, lexical
+from ..operators import chunking, lexical, throttle
 from ..session import table
 from ..sources import corpus
 from .search import sql_tokens
@@ -65,11 +65,15 @@ def eta_baseline(spark, sf_dir):
     return rows.select("event_id", F.row_number().over(w).alias("done"), (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.first("ts").over(w).cast("timestamp"))).alias("elapsed"))
 
 
-@register("WITH e AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events) SELECT event_id FROM e WHERE before IS NULL OR ts - before >= INTERVAL 60 SECOND")
+@register("""WITH RECURSIVE passed AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY 1
+  UNION ALL SELECT p.user_id, min(e.ts) FROM passed p JOIN events e ON e.user_id = p.user_id AND e.ts >= p.ts + INTERVAL 12 HOUR GROUP BY p.user_id, p.ts),
+first AS (SELECT min(event_id) AS event_id FROM events JOIN passed USING (user_id, ts) GROUP BY user_id, ts),
+last AS (SELECT max_by(event_id, {'ts': ts, 'id': event_id}) AS event_id FROM events GROUP BY user_id)
+SELECT event_id FROM first UNION SELECT event_id FROM last""")
 def progress_throttle(spark, sf_dir):
-    w = W.partitionBy("user_id").orderBy("ts")
-    rows = table(spark, sf_dir, "events").withColumn("before", F.lag("ts").over(w))
-    return rows.where("before is null or ts - before >= interval 60 seconds").select("event_id")
+    """Each user's first event, those 12 hours or more after the last one let through, and the last."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return throttle.throttled(events, "user_id", "at", 12 * 3_600_000_000, "event_id").select("event_id")
 
 
 @register("SELECT doc_id, sha256(text) = sha256(CASE WHEN doc_id % 5 = 0 THEN text || ' ' ELSE text END) AS valid FROM documents")

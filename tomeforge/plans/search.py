@@ -219,3 +219,26 @@ def vectors_only(spark, sf_dir):
     both = found.where("label < 5").unionByName(found.where("label >= 5"))
     best = both.groupBy("vec_id").agg(F.max("cosine").alias("cosine"))
     return vectors.top(best, 15).select("vec_id", F.round("cosine", 6).alias("cosine"))
+
+
+PHRASES = [["all"], ["rights", "reserved"]]
+
+
+@register(f"""WITH {corpus.SQL}, tok AS (SELECT chunk_id, {sql_tokens('path')} AS p, {sql_tokens('body')} AS b FROM chunks
+), stats AS (SELECT count(*) AS n, avg(len(p) + len(b)) AS mean_length FROM tok
+), post AS (
+  SELECT chunk_id, field, phrase, length, CASE phrase WHEN 'all' THEN len(list_filter(t, lambda x: x = 'all'))
+    ELSE len(list_filter(range(1, len(t)), lambda i: t[i] = 'rights' AND t[i + 1] = 'reserved')) END AS tf FROM (
+    SELECT chunk_id, 'path' AS field, p AS t, len(p) + len(b) AS length FROM tok UNION ALL SELECT chunk_id, 'body', b, len(p) + len(b) FROM tok), (SELECT unnest(['all', 'rights reserved']) AS phrase)
+), held AS (SELECT * FROM post WHERE tf > 0
+), df AS (SELECT phrase, field, count(*) AS df FROM held GROUP BY ALL
+), g AS (SELECT chunk_id, phrase, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END
+    * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length)) AS gain FROM held JOIN df USING (phrase, field), stats)
+SELECT chunk_id, round(-sum(gain), 6) AS score FROM g GROUP BY chunk_id HAVING count(DISTINCT phrase) = 2""")
+def phrase_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with the term "all" and the phrase "rights reserved", scored by positions, each with a frequency of its own."""
+    chunks = corpus.chunks(spark, sf_dir)
+    tokens = sorted({t for p in PHRASES for t in p})
+    found = lexical.phrase_postings(lexical.positional(chunks, FIELDS).where(F.col("term").isin(tokens)), PHRASES)
+    scores = lexical.bm25(found, lexical.corpus_stats(chunks, FIELDS), [" ".join(p) for p in PHRASES])
+    return scores.select("chunk_id", F.round("score", 6).alias("score"))
