@@ -6,9 +6,10 @@ import base64
 import hashlib
 import json
 import time
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import classify, text
@@ -18,6 +19,9 @@ from .sources.store import Store
 
 FIELDS, EXTRA = ("path", "heading", "symbol", "text"), ()
 PARSER = "1"
+#: Buckets of paths: what a build writes again is the buckets of the files that changed.
+BUCKETS = 64
+BUCKETED = ("files", "chunks", "symbols", "links", "refs", "postings", "chunk_vec")
 PAGE, PAGE_MOST, BUDGET, TTL_MS = 5, 20, 1200, 3_600_000
 
 
@@ -43,6 +47,10 @@ class Config:
         return hashlib.sha256(json.dumps(self.__dict__, sort_keys=True).encode()).hexdigest()
 
 
+def bucket_of(path: Column) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
+
+
 class Engine:
     """One corpus, from a directory to a store; both are any path that Spark reads."""
 
@@ -62,44 +70,108 @@ class Engine:
 
         ``embeddings`` (input_hash, vector) gives vectors of chunk texts by their hash, beside those
         of the served generation; chunks without one are pending. ``history`` is a table of commits;
-        without one the served one stays.
+        without one the served one stays. The record that is returned says what came of the files: ``outcome``
+        counts those new, changed, removed and unchanged.
         """
         intake = filesystem.intake(self.spark, self.source, self.rules(), self.config.max_file_bytes)
-        files = filesystem.classified(intake).persist()
-        self._held = [files]
+        files = filesystem.classified(intake).withColumn("parser_version", F.lit(PARSER)).withColumn("bucket", bucket_of(F.col("path")))
+        self._folder = uuid.uuid4().hex
         try:
+            files = self._staged("files", files)
             manifest = reconcile.manifest_hash(files).first()["manifest_hash"]
             record = {"manifest_hash": manifest, "config_fingerprint": self.config.fingerprint(), "parser": PARSER, "scope": self.scope}
             served = self.store.current() or {}
-            have = served.get("tables", [])
             record["vectors"] = served.get("vectors") if embeddings is None else self._sign(embeddings.select("input_hash", "vector"))
             record["history_head"] = served.get("history_head") if history is None else self._sign(history)
             if served and all(served.get(k) == record[k] for k in ("manifest_hash", "config_fingerprint", "vectors", "history_head")):
                 self.store.fail(None)
                 return served
-            if "chunk_vec" in have:
-                known = self.store.table("chunk_vec", served["generation_id"]).select("input_hash", "vector").dropDuplicates(["input_hash"])
-                embeddings = known if embeddings is None else embeddings.select("input_hash", "vector").unionByName(known.join(embeddings, "input_hash", "left_anti"))
-            if history is None and "history" in have:
-                history = self.store.table("history", served["generation_id"])
-            tables = self._tables(files)
-            # what ranking needs of the whole corpus is kept in the record, so that a search scans no texts for it
-            stats = lexical.corpus_stats(self._held[-1], FIELDS, EXTRA).first()
-            record |= {"chunks": stats["n"], "mean_length": stats["mean_length"]}
-            if embeddings is not None:
-                hashed = tables["chunks"].select("chunk_id", F.sha2("text", 256).alias("input_hash"))
-                tables["chunk_vec"] = hashed.join(embeddings, "input_hash").select("chunk_id", "input_hash", F.size("vector").alias("dimension"), "vector")
+            tables, kept, numbers = self._changes(files, served, embeddings)
             if history is not None:
                 tables["history"] = history
-            published = self.store.publish(tables, record)
+            elif "history" in served.get("parts", {}):
+                kept["history"] = served["parts"]["history"]
+            published = self.store.publish(tables, record | numbers, kept)
             self.store.fail(None)
             return published
         except Exception as error:
             self.store.fail(str(error)[:500])
             raise
         finally:
-            for df in self._held:
-                df.unpersist()
+            self.store.unstage(self._folder)
+
+    def _staged(self, name: str, rows: DataFrame) -> DataFrame:
+        return self.store.staged(self._folder, name, rows)
+
+    def _changes(self, files: DataFrame, served: dict, embeddings: DataFrame | None) -> tuple[dict[str, DataFrame], dict[str, dict[str, int]], dict]:
+        """What a build writes, the buckets it takes over, and its numbers.
+
+        Files are told apart by path, content and parser. Only new and changed ones are cut; the rest of their
+        bucket is copied from the served generation, and buckets without a change stay as they are. References are
+        looked up anew where a file changed that they, or an import of theirs, might mean.
+        """
+        # another parser or scope makes other ids, and a record without parts has nothing to take over
+        base = served if served.get("parts") and served.get("parser") == PARSER and served.get("scope") == self.scope else {}
+        none = self.spark.createDataFrame([], "path string, content_hash string, parser_version string, language string, role string")
+        before = self.store.table("files", base).select(*none.columns) if base else none
+        # what a file's chunks show of it besides its content is its role and language
+        known = lambda df: df.select("path", F.concat_ws("|", "content_hash", "language", "role").alias("content_hash"), "parser_version")
+        states = self._staged("states", reconcile.reconciled(known(files), known(before)).withColumn("bucket", bucket_of(F.col("path"))))
+        outcome = {s: 0 for s in ("new", "changed", "removed", "unchanged")} | {r["state"]: r["count"] for r in states.groupBy("state").count().collect()}
+        changed = states.where("state != 'unchanged'")
+        buckets = [r.bucket for r in changed.select("bucket").distinct().collect()]  # at most BUCKETS
+        kept = {n: {b: g for b, g in base["parts"][n].items() if int(b) not in buckets} for n in BUCKETED if n in base.get("schemas", {})}
+
+        paths = changed.select("path")
+        fresh = files.join(paths, "path", "left_semi")
+
+        def carried(name: str, made: DataFrame) -> DataFrame:
+            """New rows of a table, and in their buckets the served ones of files that did not change."""
+            made = made.withColumn("bucket", bucket_of(F.col("path")))
+            if name not in kept:
+                return made
+            return self.store.table(name, base, buckets).join(paths, "path", "left_anti").unionByName(made)
+
+        made = self._parsed(fresh)
+        chunks, symbols, links = (self._staged(n, carried(n, made[n])) for n in ("chunks", "symbols", "links"))
+        whole = lambda name, rows: rows.unionByName(self.store.table(name, base | {"parts": kept})) if name in kept else rows
+        tables = {
+            "files": files.where(F.col("bucket").isin(buckets)).drop("text"),
+            # files of one path range each, so that a page reads the row groups of its paths only
+            "chunks": chunks.repartitionByRange("bucket", "path").sortWithinPartitions("bucket", "path", "ord"),
+            "symbols": symbols,
+            "links": links,
+        }
+        posted = lexical.positional(chunks, FIELDS).join(chunks.select("chunk_id", "bucket"), "chunk_id")
+        tables["postings"] = posted.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term")
+
+        # references of changed files, and of files that import from them
+        all_links, all_symbols = whole("links", links), whole("symbols", symbols)
+        importers = graph.importers(all_links.where("kind = 'import'"), paths)
+        touched = sorted({r.bucket for r in importers.select(bucket_of(F.col("path")).alias("bucket")).distinct().collect()} | set(buckets))
+        kept["refs"] = {b: g for b, g in base.get("parts", {}).get("refs", {}).items() if int(b) not in touched}
+        tables["refs"] = self._resolved(all_links.where(F.col("bucket").isin(touched)), all_symbols, files).withColumn("bucket", bucket_of(F.col("path")))
+
+        # what ranking needs of the whole corpus is kept in the record, so that a search scans no texts for it
+        counted = lexical.corpus_stats(chunks, FIELDS, EXTRA, by="bucket").collect()  # at most BUCKETS
+        stats = {b: v for b, v in base.get("stats", {}).items() if int(b) not in buckets} | {str(r.bucket): [r.n, r.words] for r in counted}
+        n, words = (sum(v[i] for v in stats.values()) for i in (0, 1))
+        numbers = {"outcome": outcome, "stats": stats, "chunks": n, "mean_length": words / n if n else 0.0}
+
+        have = "chunk_vec" in base.get("schemas", {})
+        if have or embeddings is not None:
+            known_vectors = self.store.table("chunk_vec", base).select("input_hash", "vector").dropDuplicates(["input_hash"]) if have else None
+            rows, vectors = chunks, known_vectors
+            if embeddings is not None:  # new vectors may be of any chunk
+                rows, vectors = whole("chunks", chunks), embeddings.select("input_hash", "vector")
+                vectors = vectors if known_vectors is None else vectors.unionByName(known_vectors.join(embeddings, "input_hash", "left_anti"))
+                kept["chunk_vec"] = {}
+            hashed = rows.select("chunk_id", "bucket", F.sha2("text", 256).alias("input_hash"))
+            tables["chunk_vec"] = hashed.join(vectors, "input_hash").select("chunk_id", "input_hash", F.size("vector").alias("dimension"), "vector", "bucket")
+        if not buckets and base:  # vectors or history alone are new
+            tables = {n: df for n, df in tables.items() if n == "chunk_vec" and embeddings is not None}
+            kept |= {n: base["parts"][n] for n in base.get("parts", {}) if n not in tables and n != "history"}
+        return tables, kept, numbers
 
     @staticmethod
     def _sign(rows: DataFrame) -> str:
@@ -108,44 +180,37 @@ class Engine:
         found = rows.agg(F.count("*").alias("n"), F.sum(digest).alias("s")).first()
         return f"{found['n']}:{found['s']}"
 
-    def _tables(self, files: DataFrame) -> dict[str, DataFrame]:
+    def _parsed(self, files: DataFrame) -> dict[str, DataFrame]:
+        """Chunks, symbols, and references as they are written in ``files``."""
         scope = F.lit(self.scope)
         raw = chunking.chunked(files)
         # ids come from the raw text, what is stored is redacted
         key = lambda address, body: F.concat(F.lit("chunk-"), F.sha2(F.concat_ws("\n", scope, F.lit(PARSER), F.col("path"), address, F.sha2(body, 256)), 256))
-        held = raw.withColumn("chunk_id", key(F.col("address"), F.col("text")))
+        held = self._staged("cut", raw.withColumn("chunk_id", key(F.col("address"), F.col("text"))))
         parents = held.where("parent is null").select("path", F.col("address").alias("parent"), F.col("chunk_id").alias("parent_chunk_id"))
         safe = text.redacted(F.col("text"))
         chunks = held.join(parents, ["path", "parent"], "left").join(files.select("path", "role"), "path")
         chunks = chunks.select(
             "chunk_id", "parent_chunk_id", "path", "role", "heading", "symbol", "kind", "line_start", "line_end",
             safe.alias("text"), F.sha2(safe, 256).alias("text_hash"), "ord",
-        ).persist()
-        self._held.append(chunks)
+        )
         found = chunking.symbols(files)
         sid = F.concat(F.lit("sym-"), F.sha2(F.concat_ws("\n", scope, "path", "kind", "name", "line_start"), 256))
         found = found.withColumn("symbol_id", sid)
-        placed = graph.covering_chunk(found.select("path", F.col("symbol_id").alias("ref_id"), F.col("line_start").alias("line")).distinct(), chunks)
+        placed = graph.covering_chunk(found.select("path", F.col("symbol_id").alias("ref_id"), F.col("line_start").alias("line")).distinct(), held)
         symbols = found.join(placed.select(F.col("ref_id").alias("symbol_id"), "chunk_id"), "symbol_id", "left").dropDuplicates(["symbol_id"])
         rid = F.concat(F.lit("ref-"), F.sha2(F.concat_ws("\n", scope, "path", "kind", "name", "line", "ord"), 256))
-        refs = chunking.references(files).withColumn("ref_id", rid)
-        return {
-            "files": files.drop("text"),
-            # files of one path range each, so that a page reads the row groups of its paths only
-            "chunks": chunks.repartitionByRange("path").sortWithinPartitions("path", "ord"),
-            "symbols": symbols,
-            "refs": self._resolved(refs, symbols, files, chunks),
-            "postings": lexical.postings(chunks, FIELDS).repartitionByRange("term").sortWithinPartitions("term"),
-        }
+        links = graph.covering_chunk(chunking.references(files).withColumn("ref_id", rid), held)
+        return {"chunks": chunks, "symbols": symbols, "links": links}
 
     @staticmethod
-    def _resolved(refs: DataFrame, symbols: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
+    def _resolved(links: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
         """References with their target: a symbol of the file, else what an import of that name means."""
-        imported = graph.resolved_modules(refs.where("kind = 'import'"), files)
+        imported = graph.resolved_modules(links.where("kind = 'import'"), files)
         named = symbols.select(F.col("path").alias("target"), "name", F.col("symbol_id").alias("imported"), F.col("ord").alias("s_ord"))
         hit = imported.join(named, ["target", "name"]).groupBy("path", "name").agg(F.min_by("imported", F.struct("ord", "s_ord")).alias("imported"))
-        local = graph.local_symbols(refs.where("kind != 'import'"), symbols).select("ref_id", F.col("symbol_id").alias("local"))
-        out = graph.covering_chunk(refs, chunks).join(local, "ref_id", "left").join(hit, ["path", "name"], "left")
+        local = graph.local_symbols(links.where("kind != 'import'"), symbols).select("ref_id", F.col("symbol_id").alias("local"))
+        out = links.join(local, "ref_id", "left").join(hit, ["path", "name"], "left")
         certain = (F.col("kind") == "import") & F.col("imported").isNotNull()
         return out.select("ref_id", "path", "name", "kind", "line", "chunk_id", F.coalesce("local", "imported").alias("target_symbol_id"), F.when(certain, "certain").otherwise("uncertain").alias("confidence"))
 
@@ -165,7 +230,7 @@ class Engine:
         order = [F.round("score", 9), F.col("path"), F.col("line_start"), F.col("chunk_id")]
         lists = []
         if ran != "vectors-only":
-            hits = self._lexical(terms, chunks, named)
+            hits = self._lexical(terms, named)
             lists.append(hits)
         if ran != "lexical":
             lists.append(self._nearest(vector, named))
@@ -188,18 +253,17 @@ class Engine:
         envelope["next_cursor"] = self._cursor(offset + n, query, path, role, mode) if more > n else None
         return kept, envelope
 
-    def _lexical(self, terms: list[str], chunks: DataFrame, named: DataFrame) -> DataFrame:
+    def _lexical(self, terms: list[str], named: DataFrame) -> DataFrame:
         single = [t for t in terms if t]
         cut = self.spark.range(1).select(*[text.tokens(F.lit(t)).alias(f"t{i}") for i, t in enumerate(single)]).first() if single else []
-        tokens = sorted({t for row in cut for t in row})
         if not single or any(not row for row in cut):
             return named.limit(0).withColumn("score", F.lit(0.0)).withColumn("why", F.lit(""))
-        found, record = self.store.table("postings").where(F.col("term").isin(tokens)), self.store.current()
+        # a term that is cut into several tokens is a phrase, with a frequency of its own
+        phrases, tokens = [list(row) for row in cut], sorted({t for row in cut for t in row})
+        record = self.store.current()
+        found = lexical.phrase_postings(self.store.table("postings").where(F.col("term").isin(tokens)), phrases)
         stats = self.spark.range(1).select(F.lit(record["chunks"]).alias("n"), F.lit(record["mean_length"]).alias("mean_length"))
-        scored = lexical.bm25(found, stats, tokens)
-        phrases = [list(row) for row in cut if len(row) > 1]
-        if phrases:
-            scored = scored.join(lexical.matches_all(chunks, phrases, FIELDS).select("chunk_id"), "chunk_id", "left_semi")
+        scored = lexical.bm25(found, stats, [" ".join(p) for p in phrases])
         hits = lexical.top(scored.join(named, "chunk_id"), lexical.CANDIDATES, F.round("score", 9), "path", "line_start")
         p, h = lexical.path_boost(F.col("path"), single), lexical.heading_boost(F.col("heading"), single)
         r = lexical.role_boost(F.col("role"), classify.is_fixture(F.col("path")), single)

@@ -52,33 +52,42 @@ def content_hash(spark: SparkSession, root: str, path: str) -> str | None:
 def ignore_files(spark: SparkSession, root: str, name: str = ".gitignore", most: int = 1 << 20) -> list[tuple[str, list[str]]]:
     """(directory, lines) of each ignore file; the readers pass hidden files over, so each directory with files is asked for its own.
 
+    A repository's own list of exclusions comes first, so that the ignore files can say otherwise.
     Larger files than ``most`` bytes are refused, as none that people write is.
     """
     parent = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     found = inventory(spark, root).select(F.explode(F.transform(F.sequence(F.lit(0), F.size(F.split(parent, "/"))), lambda n: F.array_join(F.slice(F.split(parent, "/"), 1, n), "/"))).alias("base")).distinct()
     out = []
+    at, fs = _file_system(spark, f"{root}/.git/info/exclude")
+    if fs.exists(at):
+        out.append(("", _lines(spark, fs, at, most)))
     for base in sorted({"", *(r.base for r in found.collect())}):  # directories, not files
         at, fs = _file_system(spark, "/".join(filter(None, [root, base, name])))
-        if not fs.exists(at):
-            continue
-        if fs.getFileStatus(at).getLen() > most:
-            raise ValueError(f"{base}/{name} has more than {most} bytes")
-        opened = fs.open(at)
-        try:
-            out.append((base, spark._jvm.org.apache.commons.io.IOUtils.toString(opened, "UTF-8").split("\n")))
-        finally:
-            opened.close()
+        if fs.exists(at):
+            out.append((base, _lines(spark, fs, at, most)))
     return out
 
 
+def _lines(spark: SparkSession, fs, at, most: int) -> list[str]:
+    if fs.getFileStatus(at).getLen() > most:
+        raise ValueError(f"{at} has more than {most} bytes")
+    opened = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(opened, "UTF-8").split("\n")
+    finally:
+        opened.close()
+
+
 def intake(spark: SparkSession, root: str, rules: list[policy.Rule], most: int = 1 << 20) -> DataFrame:
     """Every file with the decision on it: ``skip`` is the reason it is left out, null for accepted ones.
 
-    Size and policy are decided on metadata; the reader prunes the content of files that a
-    filter on length leaves out. ``text`` is null for files that are skipped.
+    Size and policy are decided on metadata: by conditions on the file's path and size alone, with which Spark
+    leaves files out before it opens any, so what the policy forbids is never read. ``text`` is null for files that are skipped.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    files = files.withColumn("relative", relative(F.col("path"), root))
+    # the path in a file's metadata is written as in an address
+    named = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    files = files.withColumn("relative", relative(named, root))
     decided = files.withColumn("decision", policy.decision(F.col("relative"), rules))
     wanted = decided.where(F.col("decision.included") & (F.col("length") <= most))
     body = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
