@@ -340,3 +340,53 @@ def test_exclusions_of_a_repository(engine, tmp_path):
     (tmp_path / "src/src/.gitignore").write_text("!main.ts\n")
     engine.index()
     assert {r.path for r in engine.store.table("files").collect()} == {"README.md", "docs/plans/next.md", "src/main.ts", "testdata/README.md"}
+
+
+COMMITS = [(f"r{k:02d}", m, "Ann", 1000 + k, p, [k]) for k, (m, p) in enumerate([
+    ("fix the flux valve (#1)", ["src/a.ts"]), ("flux flux flux", ["docs/b.md", "src/c.ts"]), ("valve of flux_valve", []), ("unrelated", ["src/flux.ts"]), (None, None), ("x" * 600 + " valve", ["z"]),
+])]
+
+
+def test_history_of_an_engine(engine):
+    """Scores as SQLite has them over message, revision, paths and host; pages, filters, and history that stays."""
+    import sqlite3
+
+    engine.index()
+    assert engine.history("flux")[1]["hits"] == 0 and engine.history("flux")[1]["lane"] == {"enabled": False, "items": 0}
+    rows = engine.spark.createDataFrame(COMMITS, "revision_id string, message string, author string, committed_at_ms long, affected_paths array<string>, pr_hint array<int>")
+    engine.index(history=rows)
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE t USING fts5(item_id UNINDEXED, revision_id, message, paths, host, tokenize = 'unicode61')")
+    db.executemany("INSERT INTO t VALUES (?, ?, ?, ?, '')", [(r, r, m or "", " ".join(p or [])) for r, m, _, _, p, _ in COMMITS])
+    for query in ("flux", "flux valve", "flux_valve", "r03", "src/a.ts", "valve"):
+        match = " AND ".join("(" + " OR ".join(f'{f}:"{t}"' for f in ("message", "revision_id", "paths", "host")) + ")" for t in query.split())
+        want = dict(db.execute("SELECT item_id, bm25(t) FROM t WHERE t MATCH ?", (match,)).fetchall())
+        found, envelope = engine.history(query, size=20)
+        assert {r.revision_id: r.score for r in found.collect()} == pytest.approx(want) and envelope["hits"] == len(want)
+    assert {r.revision_id for r in engine.history("flux", path="src/*")[0].collect()} == {"r00", "r01", "r03"}
+    assert max(len(r.message) for r in engine.history("valve")[0].collect()) == 501
+    assert engine.history("")[1]["hits"] == 0 == engine.history("->")[1]["hits"]
+    seen, cursor = [], None
+    while cursor or not seen:
+        page, envelope = engine.history("flux", size=2, cursor=cursor)
+        seen, cursor = seen + [r.revision_id for r in page.collect()], envelope["next_cursor"]
+    assert len(seen) == len(set(seen)) == 4
+    with pytest.raises(ValueError):
+        engine.history("valve", cursor=engine.history("flux", size=1)[1]["next_cursor"])
+    engine.config.excludes.append("*.toml")
+    engine.index()
+    assert engine.history("flux", size=20)[1]["hits"] == 4  # taken over by the next generation
+
+
+def test_related_within_a_budget(engine):
+    engine.index()
+    parts = engine.store.table("chunks").where("path = 'README.md' and parent_chunk_id is not null").first()
+    chunk = parts.parent_chunk_id if parts else engine.store.table("chunks").where("path = 'src/main.ts' and symbol = 'flux'").first().chunk_id
+    every = engine.related(chunk, budget=10**6).collect()
+    assert every and [r["rank"] for r in every] == list(range(1, len(every) + 1))
+    assert len(engine.related(chunk, budget=0).collect()) == 1  # the first always stays
+    source = engine.store.table("chunks").where(F.col("chunk_id") == chunk).first()
+    tokens = lambda s: -(-len(s) // 4)
+    own = tokens(source.heading or source.path) + tokens(source.path) + 16
+    for n in range(1, len(every) + 1):
+        assert len(engine.related(chunk, budget=own + sum(r.tokens for r in every[:n])).collect()) == n

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from .functions import classify, text
 from .operators import chunking, graph, lexical, policy, reconcile, vectors
-from .sources import filesystem
+from .sources import filesystem, git
 from .sources.store import Store
 
+HISTORY = ("message", "revision_id", "paths", "host")
 FIELDS, EXTRA = ("path", "heading", "symbol", "text"), ()
 PARSER = "1"
 #: Buckets of paths: what a build writes again is the buckets of the files that changed.
@@ -88,9 +89,14 @@ class Engine:
                 return served
             tables, kept, numbers = self._changes(files, served, embeddings)
             if history is not None:
-                tables["history"] = history
-            elif "history" in served.get("parts", {}):
-                kept["history"] = served["parts"]["history"]
+                items = self._items(history)
+                posted = lexical.positional(items, HISTORY, key="item_id").repartitionByRange("term").sortWithinPartitions("term")
+                tables |= {"history": history, "history_postings": posted}
+                found = lexical.corpus_stats(items, HISTORY).first()
+                numbers["history_stats"] = [found["n"], found["mean_length"] or 0.0]
+            else:
+                kept |= {n: served["parts"][n] for n in ("history", "history_postings") if n in served.get("parts", {})}
+                numbers["history_stats"] = served.get("history_stats")
             published = self.store.publish(tables, record | numbers, kept)
             self.store.fail(None)
             return published
@@ -170,9 +176,18 @@ class Engine:
             tables["chunk_vec"] = hashed.join(vectors, "input_hash").select("chunk_id", "input_hash", F.size("vector").alias("dimension"), "vector", "bucket")
         if not buckets and base:  # vectors or history alone are new
             tables = {n: df for n, df in tables.items() if n == "chunk_vec" and embeddings is not None}
-            kept |= {n: base["parts"][n] for n in base.get("parts", {}) if n not in tables and n != "history"}
+            kept |= {n: base["parts"][n] for n in base.get("parts", {}) if n not in tables and n in BUCKETED}
         return tables, kept, numbers
 
+    def _items(self, history: DataFrame) -> DataFrame:
+        """Commits as they are searched: what a table of them lacks is empty."""
+        empty = {"message": "string", "revision_id": "string", "author": "string", "committed_at_ms": "bigint", "affected_paths": "array<string>", "pr_hint": "array<int>", "host": "string"}
+        for name, kind in empty.items():
+            history = history if name in history.columns else history.withColumn(name, F.lit(None).cast(kind))
+        own = F.concat(F.lit("hist-"), F.sha2(F.concat(F.lit(self.scope + "\n"), F.coalesce("revision_id", F.lit(""))), 256))
+        history = history if "item_id" in history.columns else history.withColumn("item_id", own)
+        return history.select("item_id", *empty, F.array_join(F.coalesce("affected_paths", F.array()), " ").alias("paths"))
+
     @staticmethod
     def _sign(rows: DataFrame) -> str:
         """A fingerprint of a table's rows in any order, repeats counted."""
@@ -253,17 +268,22 @@ class Engine:
         envelope["next_cursor"] = self._cursor(offset + n, query, path, role, mode) if more > n else None
         return kept, envelope
 
-    def _lexical(self, terms: list[str], named: DataFrame) -> DataFrame:
-        single = [t for t in terms if t]
-        cut = self.spark.range(1).select(*[text.tokens(F.lit(t)).alias(f"t{i}") for i, t in enumerate(single)]).first() if single else []
-        if not single or any(not row for row in cut):
-            return named.limit(0).withColumn("score", F.lit(0.0)).withColumn("why", F.lit(""))
+    def _matched(self, terms: list[str], table: str, chunks: int, mean_length: float, key: str) -> DataFrame | None:
+        """(key, score) of what holds every term in some field, from a table of postings; none without terms, or with one that has no token."""
+        cut = self.spark.range(1).select(*[text.tokens(F.lit(t)).alias(f"t{i}") for i, t in enumerate(terms)]).first() if terms else []
+        if not terms or any(not row for row in cut):
+            return None
         # a term that is cut into several tokens is a phrase, with a frequency of its own
         phrases, tokens = [list(row) for row in cut], sorted({t for row in cut for t in row})
-        record = self.store.current()
-        found = lexical.phrase_postings(self.store.table("postings").where(F.col("term").isin(tokens)), phrases)
-        stats = self.spark.range(1).select(F.lit(record["chunks"]).alias("n"), F.lit(record["mean_length"]).alias("mean_length"))
-        scored = lexical.bm25(found, stats, [" ".join(p) for p in phrases])
+        found = lexical.phrase_postings(self.store.table(table).where(F.col("term").isin(tokens)), phrases, key)
+        stats = self.spark.range(1).select(F.lit(chunks).alias("n"), F.lit(mean_length).alias("mean_length"))
+        return lexical.bm25(found, stats, [" ".join(p) for p in phrases], key)
+
+    def _lexical(self, terms: list[str], named: DataFrame) -> DataFrame:
+        single, record = [t for t in terms if t], self.store.current()
+        scored = self._matched(single, "postings", record["chunks"], record["mean_length"], "chunk_id")
+        if scored is None:
+            return named.limit(0).withColumn("score", F.lit(0.0)).withColumn("why", F.lit(""))
         hits = lexical.top(scored.join(named, "chunk_id"), lexical.CANDIDATES, F.round("score", 9), "path", "line_start")
         p, h = lexical.path_boost(F.col("path"), single), lexical.heading_boost(F.col("heading"), single)
         r = lexical.role_boost(F.col("role"), classify.is_fixture(F.col("path")), single)
@@ -308,10 +328,50 @@ class Engine:
             kept.append(line[: 4 * budget])
         return {"chunk_id": chunk_id, "path": chunk.path, "lines": (chunk.line_start, chunk.line_end), "text": "\n".join(kept), "truncated": len(kept) < len(lines), "state": state}
 
-    def related(self, chunk_id: str, limit: int = 10) -> DataFrame:
+    def related(self, chunk_id: str, limit: int = 10, budget: int = BUDGET) -> DataFrame:
+        """Neighbours of a chunk in order of relation, as many as the token budget allows; the first always.
+
+        What is sent of the source, and of each neighbour, is its title, its path and an excerpt, and 16 tokens more.
+        """
         chunks = self.store.table("chunks")
         edges = graph.edges_out(self.store.table("refs"), self.store.table("symbols"))
-        return graph.related(chunk_id, edges, chunks.select("chunk_id", "parent_chunk_id"), chunks, min(limit, PAGE_MOST))
+        found = graph.related(chunk_id, edges, chunks.select("chunk_id", "parent_chunk_id"), chunks, min(limit, PAGE_MOST))
+        title = lambda df: F.when(df["heading"] == "", df["path"]).otherwise(F.coalesce(df["heading"], df["path"]))
+        sent = lambda df: text.estimated_tokens(title(df)) + text.estimated_tokens(df["path"]) + 16
+        source = chunks.where(F.col("chunk_id") == chunk_id).select(sent(chunks).alias("t")).first()
+        bodies = chunks.select("chunk_id", "line_end", title(chunks).alias("title"), text.bounded(F.col("text")).alias("excerpt"), (sent(chunks) + text.estimated_tokens(text.bounded(F.col("text")))).alias("tokens"))
+        ranked = found.withColumn("rank", F.row_number().over(lexical.W.orderBy("kind_rank", "path", "line_start", "chunk_id")))  # a page
+        shown = bodies.join(F.broadcast(ranked), "chunk_id")
+        kept = lexical.within_budget(shown, F.col("tokens"), budget - (source.t if source else 0))
+        return kept.select(*found.columns, "line_end", "title", "excerpt", "tokens", "rank").orderBy("rank")
+
+    def history(self, query: str, path: str | None = None, size: int = PAGE, cursor: str | None = None) -> tuple[DataFrame, dict]:
+        """A page of commits that hold every term in message, revision, paths or host's words, and its envelope.
+
+        ``path`` is a glob that one of a commit's paths matches. A served generation without history has no hits.
+        """
+        record = self.store.current()
+        if record is None:
+            raise LookupError("nothing is published")
+        offset, size = self._offset(cursor, query, path, None, "history"), min(size, PAGE_MOST)
+        n, mean_length = record.get("history_stats") or (0, 0.0)
+        envelope = {"mode": "history", "generation_id": record["generation_id"], "lane": {"enabled": self.store.has("history"), "items": n}}
+        scored = self._matched(lexical.terms_of(query), "history_postings", n, mean_length, "item_id") if self.store.has("history_postings") else None
+        if scored is None:
+            none = "item_id string, revision_id string, message string, author string, committed_at_ms long, affected_paths array<string>, pr_hint array<int>, rank int, score double"
+            return self.spark.createDataFrame([], none), envelope | {"hits": 0, "next_cursor": None}
+        items = self._items(self.store.table("history"))
+        if path:
+            items = items.where(git.touches(F.coalesce("affected_paths", F.array()), path))
+            scored = scored.join(items.select("item_id"), "item_id", "left_semi")
+        order = [F.round("score", 9), F.col("item_id")]
+        page = lexical.page(lexical.top(scored, lexical.CANDIDATES, *order), order, offset, size + 1)
+        shown = items.join(F.broadcast(page), "item_id")  # a page
+        shown = shown.select("item_id", "revision_id", text.bounded(F.col("message")).alias("message"), "author", "committed_at_ms", "affected_paths", "pr_hint", "rank", "score").persist()
+        more = shown.count() > size
+        shown = shown.where(F.col("rank") <= offset + size).orderBy("rank")
+        hits = shown.count()
+        return shown, envelope | {"hits": hits, "next_cursor": self._cursor(offset + hits, query, path, None, "history") if more else None}
 
     def explain(self, path: str) -> dict:
         """Whether a path is taken in, and the rule that says so."""

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STAGING_SECONDS = 7 * 86_400
-TABLES = ("files", "chunks", "symbols", "links", "refs", "chunk_vec", "history", "postings")
+TABLES = ("files", "chunks", "symbols", "links", "refs", "chunk_vec", "history", "history_postings", "postings")
 
 
 class Store:
