@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tomeforge.operators import graph, intervals, selection, throttle
+from tomeforge.operators import enrichment, graph, intervals, selection, throttle
 
 
 def test_blocks_make_up_intervals(spark):
@@ -93,3 +93,37 @@ def test_throttle_by_brute_force(spark):
     got = throttle.throttled(spark.createDataFrame(rows, "event_id long, user string, at long").repartition(4), "user", "at", 10, "event_id")
     assert sorted(r.event_id for r in got.collect()) == plain_throttle(rows, 10)
     assert throttle.throttled(got.limit(0), "user", "at", 10, "event_id").count() == 0
+
+
+def plain_report(rows, most_items, most_requests):
+    out = {}
+    for scope in {r[0] for r in rows}:
+        items = sorted((k, o, r or 0) for s, k, o, r in rows if s == scope)
+        left, a = most_requests, dict.fromkeys(("attempted", "enriched", "no_association", "failed", "rate_limited", "permission_denied", "budget_exhausted"), 0)
+        for _, o, r in items:
+            if a["attempted"] >= most_items:
+                break
+            if left == 0:
+                a["budget_exhausted"] = True
+                break
+            a["attempted"] += 1
+            if r > left:
+                left, o = 0, "budget_exhausted"
+            left -= min(r, left)
+            if o in ("rate_limited", "permission_denied", "budget_exhausted"):
+                a[o] = True
+                break
+            a[{"verified": "enriched", "no_association": "no_association"}.get(o, "failed")] += 1
+        out[scope] = (len(items), *a.values(), len(items) - a["attempted"])
+    return out
+
+
+def test_asking_stops_like_a_loop(spark):
+    rng = random.Random(2)
+    outcomes = ["verified"] * 8 + ["no_association"] * 6 + ["odd", None, "rate_limited", "permission_denied", "budget_exhausted"]
+    rows = [(f"s{s}" if s else None, k, rng.choice(outcomes[: rng.choice([14, 16, 19])]), rng.choice([None, 0, 1, 1, 2, 5])) for s in range(60) for k in range(rng.choice([1, 3, 12, 40]))]
+    df = spark.createDataFrame(rows, "scope string, k int, outcome string, requests int").repartition(4)
+    for most_items, most_requests in ((10, 8), (3, 100), (25, 0)):
+        got = enrichment.report(df, "scope", "k", "outcome", "requests", most_items, most_requests)
+        assert {r[0]: tuple(r)[1:] for r in got.where("scope is not null").collect()} == {s: v for s, v in plain_report(rows, most_items, most_requests).items() if s is not None}
+    assert enrichment.report(df.limit(0), "scope", "k", "outcome", "requests", 3, 3).count() == 0

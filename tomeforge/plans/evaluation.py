@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import caches, evaluation
+from ..operators import caches, enrichment, evaluation
 from ..session import table
 
 QUERIES: dict = {}
@@ -82,3 +82,23 @@ def embedding_inputs(spark, sf_dir):
     rows = table(spark, sf_dir, "documents")
     made = caches.templated("titled", "docs", F.col("source"), F.col("text"))
     return rows.select("doc_id", made.alias("input"), F.lit(caches.fingerprint("1", "p", "m", 64, "titled")).alias("fingerprint"))
+
+
+@register("""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS items, CAST(floor(value / 100) AS INTEGER) + 1 AS r,
+  CASE event_type WHEN 'purchase' THEN 'verified' WHEN 'signup' THEN 'verified' WHEN 'click' THEN 'no_association' WHEN 'error' THEN CASE WHEN value > 200 THEN 'permission_denied' WHEN value > 100 THEN 'rate_limited' ELSE 'failed' END END AS o FROM events),
+f AS (SELECT user_id, 0 AS k, 40 AS rest, 0 AS attempted, 0 AS enriched, 0 AS no_association, 0 AS failed, '' AS ended FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT f.user_id, e.k, CASE WHEN f.rest = 0 OR e.r > f.rest THEN 0 ELSE f.rest - e.r END, attempted + CASE WHEN f.rest = 0 THEN 0 ELSE 1 END,
+    enriched + CASE WHEN f.rest > 0 AND e.r <= f.rest AND o = 'verified' THEN 1 ELSE 0 END, no_association + CASE WHEN f.rest > 0 AND e.r <= f.rest AND o = 'no_association' THEN 1 ELSE 0 END,
+    failed + CASE WHEN f.rest > 0 AND e.r <= f.rest AND coalesce(o, 'failed') = 'failed' THEN 1 ELSE 0 END,
+    CASE WHEN f.rest = 0 OR e.r > f.rest THEN 'budget_exhausted' WHEN o IN ('rate_limited', 'permission_denied') THEN o ELSE '' END
+  FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1 WHERE ended = '' AND e.k <= 20),
+z AS (SELECT user_id, max(attempted) AS attempted, max(enriched) AS enriched, max(no_association) AS no_association, max(failed) AS failed, max(ended) AS ended FROM f GROUP BY 1)
+SELECT user_id, CAST(items AS INTEGER) AS items, attempted, enriched, no_association, failed, ended = 'rate_limited' AS rate_limited, ended = 'permission_denied' AS permission_denied, ended = 'budget_exhausted' AS budget_exhausted,
+  CAST(items - attempted AS INTEGER) AS unattempted FROM z JOIN (SELECT user_id, count(*) AS items FROM events GROUP BY 1) USING (user_id)""")
+def enrichment_report(spark, sf_dir):
+    """By user, events as answers of a host: 20 items and 40 requests at most."""
+    kind, value = F.col("event_type"), F.col("value")
+    error = F.when(value > 200, "permission_denied").when(value > 100, "rate_limited").otherwise("failed")
+    outcome = F.when(kind.isin("purchase", "signup"), "verified").when(kind == "click", "no_association").when(kind == "error", error)
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", outcome.alias("outcome"), (F.floor(value / 100).cast("int") + 1).alias("requests"))
+    return enrichment.report(rows, "user_id", "event_id", "outcome", "requests", 20, 40)
