@@ -16,7 +16,7 @@ def test_names_and_flagship(spark):
 
 
 def test_imports_without_a_session_and_without_the_llm_folder(tmp_path):
-    for name in ("tomeforge", "__spark_entry__.py"):
+    for name in ("tomeforge", "jobs", "__spark_entry__.py"):
         (shutil.copytree if os.path.isdir(f"{ROOT}/{name}") else shutil.copy)(f"{ROOT}/{name}", tmp_path / name)
     for gone in (False, True):
         if gone:
