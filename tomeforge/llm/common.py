@@ -61,7 +61,8 @@ def remove(spark: SparkSession, path: str) -> None:
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
     """Hand texts to Python at most ``rows`` at a time, in this session, unless it says fewer.
 
-    Spark bounds Arrow batches by rows alone, and 10,000 long texts are more than a worker's memory.
+    Spark's own bound in bytes is 64 MB a batch by default, and a worker holds a text several times over: as
+    Arrow, as Python's string and as arrays of its words. The setting stays, as the query runs after this returns.
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
