@@ -203,7 +203,7 @@ def embed_batches(spark, sf_dir):
 WINDOWS = "SELECT path, (line - 1) // 3 AS ord, (line - 1) // 3 * 3 + 1 AS line_start, (line - 1) // 3 * 3 + 4 AS line_end, path || '#' || (line - 1) // 3 AS chunk_id FROM chunks GROUP BY ALL"
 
 
-def line_windows(spark, sf_dir):
+def overlapping_windows(spark, sf_dir):
     """Windows of four lines, every three: neighbours share a line, so the first one in order counts."""
     at = F.floor((F.col("line") - 1) / 3)
     rows = corpus.chunks(spark, sf_dir).select("path", at.alias("ord")).distinct()
@@ -213,7 +213,7 @@ def line_windows(spark, sf_dir):
 @register(f"WITH {corpus.SQL}, w AS ({WINDOWS}) SELECT c.chunk_id AS ref_id, min_by(w.chunk_id, ord) AS chunk_id FROM chunks c LEFT JOIN w ON c.path = w.path AND line BETWEEN line_start AND line_end GROUP BY 1")
 def edge_range_join(spark, sf_dir):
     points = corpus.chunks(spark, sf_dir).select("path", F.col("chunk_id").alias("ref_id"), "line")
-    return graph.covering_chunk(points, line_windows(spark, sf_dir)).select("ref_id", "chunk_id")
+    return graph.covering_chunk(points, overlapping_windows(spark, sf_dir)).select("ref_id", "chunk_id")
 
 
 @register("""WITH refs AS (SELECT DISTINCT l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(l_quantity AS BIGINT) AS ref_id, l_suppkey AS path, l_partkey % 10 AS name, CAST(l_quantity AS BIGINT) AS line FROM lineitem),
