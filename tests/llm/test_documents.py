@@ -319,4 +319,7 @@ def test_one_long_text_takes_time_in_proportion(spark):
     notice = b"licensed under the gnu general public license and released under the mit license. " * 10_000
     result = timed("license", lambda: license.scan(notice, license.PHRASES, license.NOTICES, 0.1))
     assert result[1] == 10_000 and len(result[-1]) == 20_000
-    assert max(took.values()) < 30, took
+    assert max(v for k, v in took.items() if k != "license") < 30, took
+    # some milliseconds a notice, which is more or less than a bound in seconds by machine: a quarter of them shows the growth
+    timed("a quarter", lambda: license.scan(notice[: len(notice) // 4], license.PHRASES, license.NOTICES, 0.1))
+    assert took["license"] < 8 * took["a quarter"], took
