@@ -48,6 +48,26 @@ def test_a_path_of_many_chunks_and_points(spark):
     assert time.monotonic() - began < 60
 
 
+def test_intervals_alike_are_cut_into_blocks_once(spark):
+    """5,000 symbols of two lines make a few blocks, not some thirty each: these would be sorted by the task of one small file."""
+    symbols = spark.range(5000).selectExpr("'p' as path", "'f' as name", "cast(id % 2 * 8 + 1 as int) as line_start", "cast(5000 - id as int) as ord", "concat('s', id) as symbol_id")
+    refs = spark.createDataFrame([("above", "p", "f", 3), ("both", "p", "f", 9), ("below", "p", "f", 0), ("none", "p", "g", 3)], "ref_id string, path string, name string, line int")
+
+    def cut(node):
+        children = node.children()
+        below = sum(cut(children.apply(i)) for i in range(children.size()))
+        return below + (node.metrics().apply("numOutputRows").value() if node.nodeName() == "Generate" else 0)
+
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = graph.local_symbols(refs, symbols)
+        assert {r.ref_id: r.symbol_id for r in found.collect()} == {"above": "s4998", "both": "s4999", "below": "s4999", "none": None}
+        assert 0 < cut(found._jdf.queryExecution().executedPlan()) < 500
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+
+
 @pytest.mark.parametrize("kind", ["double", "long"])
 def test_percentiles_by_brute_force(spark, kind):
     rng = random.Random(5)

@@ -28,10 +28,13 @@ def first_cover(points: DataFrame, intervals: DataFrame, keys: list[str], at: st
     """``points`` with ``value`` of the least interval, by ``order``, of equal keys that covers ``at``; null if none does.
 
     Null keys and places meet nothing, and an interval that ends before it starts covers nothing. Points that are
-    alike are looked up once.
+    alike are looked up once, and intervals alike are cut into blocks once.
     """
-    index = intervals.select(*keys, value, order.alias("__order"), F.explode(blocks(F.col(start), F.col(end))).alias("__b"))
-    index = index.groupBy(*keys, F.col("__b.k").alias("__k"), F.col("__b.at").alias("__at")).agg(F.min(F.struct("__order", value)).alias("__least"))
+    # of intervals alike the least stays before they are cut, as one small file is one task, which would sort all blocks of its rows
+    least = F.min(F.struct(order.alias("__order"), value)).alias("__least")
+    alike = intervals.groupBy(*keys, F.col(start).alias("__start"), F.col(end).alias("__end")).agg(least)
+    index = alike.select(*keys, "__least", F.explode(blocks(F.col("__start"), F.col("__end"))).alias("__b"))
+    index = index.groupBy(*keys, F.col("__b.k").alias("__k"), F.col("__b.at").alias("__at")).agg(F.min("__least").alias("__least"))
     places = points.select(*keys, at).where(F.col(at) >= 0).distinct()
     asked = places.select(*keys, at, F.explode(F.sequence(F.lit(0), F.lit(SIZES - 1))).alias("__k"))
     asked = asked.withColumn("__at", F.floor(F.col(at) / F.pow(F.lit(2.0), F.col("__k"))).cast("long"))
