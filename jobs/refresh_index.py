@@ -34,6 +34,8 @@ log = logging.getLogger("refresh_index")
 FILES = "path string, content_hash string, parser_version string, state string, size long, skip string, run int"
 CHUNKS = "chunk_id string, path string, lang string, line int, text string, tokens long, run int, source string"
 MARK = "run int, newest long, settings string, read long, without_id long, new long, changed long, unchanged long, chunks long"
+#: Documents whose ids are broadcast when the index is read.
+FEW = 100_000
 
 
 def marks(spark: SparkSession, output: str) -> DataFrame | None:
@@ -63,8 +65,14 @@ def current(spark: SparkSession, output: str) -> DataFrame:
     mark = last_mark(spark, output)
     if mark is None:
         raise LookupError(f"no finished run in {output}")
-    served = latest(spark, output, mark["run"]).where("skip is null").select("path", "run")
-    return finished(spark, f"{output}/chunks", CHUNKS, mark["run"]).join(served, ["path", "run"], "left_semi")
+    chunks = finished(spark, f"{output}/chunks", CHUNKS, mark["run"])
+    if mark["run"] == 1:
+        return chunks
+    # only documents of several runs leave chunks behind; while they are few, the chunks need no shuffle
+    runs = finished(spark, f"{output}/files", FILES, mark["run"]).groupBy(F.col("path").alias("redone")).agg(F.min("run").alias("first"), F.max("run").alias("last"))
+    redone = runs.where("first < last").select("redone", "last")
+    redone = F.broadcast(redone) if redone.count() <= FEW else redone
+    return chunks.join(redone, (F.col("path") == F.col("redone")) & (F.col("run") < F.col("last")), "left_anti")
 
 
 def run(spark: SparkSession, documents: str, output: str, config: dict) -> dict:
@@ -108,15 +116,20 @@ def run(spark: SparkSession, documents: str, output: str, config: dict) -> dict:
         decided.select(*[c.split()[0] for c in FILES.split(", ")[:-1]]).write.mode("overwrite").parquet(f"{output}/files/run={number}")
     finally:
         seen.unpersist()
-    wanted_hash = spark.read.schema(FILES).parquet(f"{output}/files/run={number}").where("skip is null").select("path", F.col("content_hash").alias("taken"))
-    # rows of one id and content are alike, so it does not matter which one stays
-    taken = rows.join(wanted_hash, "path").where("content_hash = taken").dropDuplicates(["path"])
-    cut = corpus.lines(taken.select("path", F.coalesce("source", F.lit("unknown")).alias("source"), "lang", body.alias("text")))
+    if counted["read"] - counted["without_id"] == tally.get("new", 0) + tally.get("changed", 0):
+        # every id is there once and is to be written, so each row says itself whether it is taken
+        taken = rows.where("path is not null").where(reason.isNull())
+    else:
+        wanted_hash = spark.read.schema(FILES).parquet(f"{output}/files/run={number}").where("skip is null").select("path", F.col("content_hash").alias("taken"))
+        # rows of one id and content are alike, so it does not matter which one stays
+        taken = rows.join(wanted_hash, "path").where("content_hash = taken").dropDuplicates(["path"])
+    whole = taken.select("path", F.coalesce("source", F.lit("unknown")).alias("source"), "lang", body.alias("text"))
+    # a large source is several files, a small one few; documents are dealt whole, as their chunks' ids would double what is shuffled
+    dealt = whole.repartition("source", F.pmod(F.xxhash64("path"), F.lit(config["files_a_source"])))
+    cut = corpus.lines(dealt)
     chunks = cut.select("path", "source", "lang", "line", F.concat(F.lit("line:"), "line").alias("address"), F.col("body").alias("text"))
     chunks = reconcile.chunk_ids(chunks, config["scope"], config["parser"]).withColumn("tokens", text.estimated_tokens(F.col("text"))).drop("address")
-    # a large source is several files, a small one few
-    dealt = chunks.repartition("source", F.pmod(F.xxhash64("path"), F.lit(config["files_a_source"])))
-    dealt.write.mode("overwrite").partitionBy("source").parquet(f"{output}/chunks/run={number}")
+    chunks.write.mode("overwrite").option("compression", "zstd").partitionBy("source").parquet(f"{output}/chunks/run={number}")
     made = spark.read.schema(CHUNKS).parquet(f"{output}/chunks/run={number}").count()
     counts = {k: tally.get(k, 0) for k in ("new", "changed", "unchanged")}
     log.info("run %d: %s; %d chunks to %s", number, counts, made, output)

@@ -107,6 +107,38 @@ def test_ties_repeats_settings_and_empty_input(spark, tmp_path, config):
     assert index_rows(spark, out) == plain_index([(1, "new", "1", "en")])
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    context = spark.sparkContext
+    scala, jvm = context._jsc.sc(), context._jvm
+    scala.listenerBus().waitUntilEmpty()
+    stages = scala.statusStore().stageList(None, False, False, context._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_are_shuffled_once(spark, tmp_path, config):
+    """A first load shuffles its documents once, not their chunks; reading the index shuffles no chunks while few documents are of several runs."""
+    docs, out = f"{tmp_path}/docs", f"{tmp_path}/out"
+    texts = {i: "\n".join(hashlib.sha256(f"{i} {k}".encode()).hexdigest() for k in range(300)) for i in range(1, 41)}
+    add(spark, docs, [doc(i, t, str(i % 3)) for i, t in texts.items()] + [doc(None, "no id"), doc(41, "key AKIA" + "A" * 16)], DOCS)
+    before = shuffled(spark)
+    refresh_index.run(spark, docs, out, config)
+    once = sum(map(len, texts.values())) // 2  # half a byte a hexadecimal digit, were it packed well
+    assert 0 < shuffled(spark) - before < 3 * once
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        want = [(i, t, str(i % 3), "en") for i, t in texts.items()]
+        assert index_rows(spark, out) == plain_index(want)
+        assert "Join" not in refresh_index.current(spark, out)._jdf.queryExecution().toString()
+        add(spark, docs, [doc(1, "one\nline"), doc(2, "key AKIA" + "A" * 16), doc(3, " "), doc(42, "new"), doc(42, "new")], DOCS)
+        assert refresh_index.run(spark, docs, out, config)["run"] == 2
+        assert index_rows(spark, out) == plain_index([(1, "one\nline", "1", "en"), (42, "new", "1", "en"), *want[3:]])
+        assert "SortMergeJoin" not in refresh_index.current(spark, out)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def ledger_rows(spark, output):
     return sorted((tuple(map(str, r)) for r in event_ledger.ledger(spark, output).select("day", "user_id", "event_type", "events", "without_value", "total", "first_ts", "last_ts").collect()))
 
