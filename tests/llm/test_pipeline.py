@@ -6,7 +6,7 @@ import os
 import pytest
 
 import corpus_pipeline as pipeline
-from tomeforge.llm import simhash
+from tomeforge.llm import shingles, simhash
 from tests.llm.test_corpus import components_by_all_pairs, parts_of, plain_fingerprint
 from tests.llm.test_documents import measured, spans_of
 
@@ -57,6 +57,18 @@ def test_one_of_each_group_of_near_copies(stages):
     assert collections.Counter(r.doc_id for r in stages[2].collect()) == collections.Counter(low.values())
 
 
+def test_near_copies_by_fingerprints_alone(spark):
+    """Without any band, the grid of fingerprints brings sets together, and their exact similarity decides."""
+    long = [f"w{i}" for i in range(400)]
+    texts = [" ".join(long), " ".join(long[:-1] + ["end"]), "one two three four five " * 60 + "a b c d e f g h", "one two three four five " * 60 + "i j k l m n o p"]
+    fps = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    assert all((fps[a] ^ fps[a + 1]).bit_count() <= 4 for a in (0, 2))
+    docs = spark.createDataFrame(list(enumerate([*texts, "", None, texts[0].upper()])), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in shingles.near_copies(docs, miss=1.0).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 4, 6: 0}
+    assert {r.doc_id: r.component_id for r in shingles.near_copies(docs).collect()} == got
+
+
 def test_no_personal_data_is_left(stages):
     before, after = ({r.doc_id: r for r in s.collect()} for s in stages[2:4])
     assert set(before) == set(after) and not any(spans_of(r.text) for r in after.values())

@@ -53,23 +53,32 @@ def _masks(max_distance: int, groups: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(masks, groups - max_distance)]
 
 
-def fingerprint(text: bytes, shingle: int = 4) -> int:
-    """Majority of the bits of the XXH64 of each word shingle, repeats included; 0 without words."""
+def hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The XXH64 of each word shingle in order, repeats included; a text of fewer words is one shingle, none without words."""
     found = text.lower().split()
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(found))
     spans = zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist())
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
+
+
+def majority(found: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 without any."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 14):
-        bits = np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for at in range(0, len(found), 1 << 14):
+        bits = np.unpackbits(found[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, shingle: int = 4) -> int:
+    """Majority of the bits of the XXH64 of each word shingle, repeats included; 0 without words."""
+    return majority(hashes(text, shingle))
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
