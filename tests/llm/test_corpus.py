@@ -11,6 +11,7 @@ import xxhash
 
 from tomeforge.llm import chat, embedding, mixing, queries, shingles, simhash, substring
 from tomeforge.llm.common import connected_components
+from tests.test_jobs import shuffled
 
 
 def parts_of(n, links):
@@ -96,6 +97,22 @@ def test_first_of_each(spark, edge, empty):
     assert simhash.first_of_each(empty).count() == 0
 
 
+def test_first_of_each_shuffles_few_texts(spark):
+    """Where few rows go, the texts of the others stay where they are, also when their keys are too many for a broadcast."""
+    texts = [" ".join(hashlib.sha256(f"{i} {k}".encode()).hexdigest() for k in range(300)) for i in range(200)]
+    docs = spark.createDataFrame([*enumerate(texts), (200, texts[7]), (201, texts[9]), (3, texts[3]), (None, "no id")], "doc_id long, text string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = shuffled(spark)
+        kept = simhash.first_of_each(docs).collect()
+        written = shuffled(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert collections.Counter(map(tuple, kept)) == collections.Counter([*enumerate(texts), (None, "no id")])
+    assert written < sum(map(len, texts)) // 4  # half a byte a hexadecimal digit, were all of it packed well
+
+
 @pytest.mark.parametrize("groups", [5, 8, 9])
 def test_any_number_of_groups_loses_no_link(spark, groups):
     rng = np.random.default_rng(3)

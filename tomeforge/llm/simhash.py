@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, connected_components, find, in_blocks, release, runs
+from .common import MARKS, bounded_batches, checkpointed, connected_components, find, in_blocks, release, runs
 
 EVEN = 0x5555555555555555
 SEED = 42
@@ -173,8 +173,9 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The rows of ``docs``, all columns, with one row of each group of near duplicates: the one of the smallest id.
 
     ``groups_of`` is what names the groups, with its ``options``. Rows of one id are told apart by a digest of all their columns, and of rows alike in every
-    column one stays. Groups whose ids are all null keep one row as well. Texts are not
-    shuffled, but for rows that are repeated whole; ``docs`` is read twice.
+    column one stays. Groups whose ids are all null keep one row as well. ``docs`` is read again for
+    the rows that stay. A broadcast of at most ``MARKS`` digests of the keys that go or are repeated says which
+    rows stay for certain; only the texts of the others are shuffled, and their keys decide.
     """
     columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
     digest = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
@@ -182,8 +183,12 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = docs.select(key.alias("key"), *columns)
     text = f"c{docs.columns.index(text_col)}"
     groups = groups_of(keyed, "key", text, **options)
-    keep = checkpointed(groups.where(F.col("key") == F.col("component_id")).groupBy("key").agg(F.count("*").alias("n")))
-    kept = keyed.join(keep.where("n = 1").select("key"), "key", "left_semi")
-    if not (again := keep.where("n > 1").select("key")).isEmpty():
-        kept = kept.unionByName(keyed.join(again, "key", "left_semi").dropDuplicates(["key"]))
+    keep = checkpointed(groups.groupBy("key").agg(F.count("*").alias("n"), F.bool_or(F.col("key") == F.col("component_id")).alias("stays")))
+    mark = F.pmod(F.xxhash64("key"), F.lit(MARKS)).alias("__mark")
+    marks = F.broadcast(keep.where("n > 1 or not stays").select(mark).distinct())
+    marked = keyed.select("*", mark)
+    others = marked.join(marks, "__mark", "left_semi").drop("__mark")
+    kept = marked.join(marks, "__mark", "left_anti").drop("__mark").unionByName(others.join(keep.where("n = 1 and stays").select("key"), "key", "left_semi"))
+    if not (again := keep.where("n > 1 and stays").select("key")).isEmpty():
+        kept = kept.unionByName(others.join(again, "key", "left_semi").dropDuplicates(["key"]))
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
