@@ -37,6 +37,41 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 3, 64])
+def test_components_of_more_links_than_one_task_joins(spark, most):
+    rng = np.random.default_rng(2)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 200, (130, 2))] + [(300 + i, 301 + i) for i in range(40)] + [(999, 400 + i) for i in range(30)]
+    want = parts_of(1000, links)
+    got = collections.Counter(map(tuple, connected_components(spark.createDataFrame(links, "a long, b long").repartition(5), most).collect()))
+    assert got == collections.Counter((i, want[i]) for i in {x for a, b in links if a != b for x in (a, b)})
+
+
+def tasks_of(spark):
+    """How many tasks all stages so far have run."""
+    context, jvm = spark.sparkContext, spark.sparkContext._jvm
+    scala = context._jsc.sc()
+    scala.listenerBus().waitUntilEmpty()
+    stages = scala.statusStore().stageList(None, False, False, context._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).numCompleteTasks() for i in range(stages.size()))
+
+
+def test_few_links_in_many_partitions_take_few_tasks(spark):
+    """Each task leaves files and a record of itself, however few rows it has."""
+    nodes = np.random.default_rng(4).permutation(2000).tolist()
+    links = spark.createDataFrame(list(zip(nodes, nodes[1:])), "a long, b long").repartition(40)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        before = tasks_of(spark)
+        got = connected_components(links).collect()
+        tasks = tasks_of(spark) - before
+    finally:
+        spark.conf.set(name, was)
+    assert collections.Counter(map(tuple, got)) == collections.Counter((i, 0) for i in nodes)
+    assert tasks < 150, tasks
+
+
 # SimHash
 
 

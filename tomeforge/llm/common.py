@@ -155,29 +155,45 @@ def wanted_rows(rows: DataFrame, key: str, wanted: DataFrame, named: str) -> Dat
     return rows.withColumn("__mark", mark(key)).join(marks, "__mark", "left_semi").drop("__mark").join(wanted, F.col(key).eqNullSafe(F.col(named)))
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links of a batch as stars: each node with the smallest one it is joined to within the batch."""
+#: Links that one task joins by itself. The number is fixed, so that no task grows with the input.
+TOGETHER = 1 << 16
+
+
+def _stars(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The links of a partition, ``most`` at a time, as stars: each node with the smallest one it is joined to by them."""
+
+    def stars(parent: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array([find(parent, x) for x in list(parent)], pa.int64())], names=["u", "v"])
+
+    parent: dict = {}
+    seen = 0
     for batch in batches:
-        parent: dict = {}
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if seen == most:
+                yield stars(parent)
+                parent, seen = {}, 0
+            seen += 1
             p, q = find(parent, a), find(parent, b)
             if p != q:
                 parent[max(p, q)] = min(p, q)
-        nodes = list(parent)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(parent, x) for x in nodes], pa.int64())], names=["u", "v"])
+    yield stars(parent)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, most: int = TOGETHER) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b), longs: the smallest node reachable.
 
-    Links are first made stars within each Arrow batch, which takes most long paths away.
-    Alternates the large-star and small-star steps until the edges no longer change. Each
+    Links are first made stars, ``most`` at a time, within each partition and then within partitions put
+    together to about that many. Links that are not more than that are done by then.
+    Others alternate the large-star and small-star steps until the edges no longer change. Each
     step is a minimum a node (partially aggregated) and an equi-join, so a node with very
     many links is a skewed join that adaptive execution splits, never a collected group.
     The state is checkpointed each round. Self-links, repeats and nulls are ignored.
     """
-    state = edges.where(F.col("a") != F.col("b")).select("a", "b").mapInArrow(_stars, "u long, v long")
-    state = checkpointed(state.where("u != v").distinct())
+    join = lambda batches: _stars(batches, most)
+    links = checkpointed(edges.where(F.col("a") != F.col("b")).select("a", "b").mapInArrow(join, "u long, v long"))
+    n = links.count()
+    state = links.coalesce(max(1, -(-n // most))).mapInArrow(join, "u long, v long")
+    state = checkpointed(state.distinct() if n > most else state)
 
     def lowest(pairs: DataFrame) -> DataFrame:
         return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("m")), "u")
@@ -185,7 +201,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     def sign(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
-    before = sign(state)
+    before = sign(state) if n > most else (0,)
     while before[0]:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = lowest(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
